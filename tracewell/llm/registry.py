@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tracewell.llm import neardup
+from tracewell.llm import decontaminate, neardup
 
 
 def queries() -> dict:
     return {
+        "op2_benchmark_decontamination": decontaminate.op2,
         "op9_minhash_near_dedup": neardup.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_benchmark_decontamination": decontaminate.ORACLE_OP2,
         "op9_minhash_near_dedup": neardup.ORACLE_OP9,
     }
