@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tracewell.llm import decontaminate, neardup
+from tracewell.llm import decontaminate, neardup, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_benchmark_decontamination": decontaminate.op2,
+        "op7_quality_classifier": quality.op7,
+        "op8_toxicity": toxicity.op8,
         "op9_minhash_near_dedup": neardup.op9,
     }
 
