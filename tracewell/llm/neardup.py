@@ -8,13 +8,13 @@ Plan, for documents whose shingle sets have a Jaccard similarity of `numerator /
 2.  Documents that share a band key meet in a bucket.  A bucket never emits its pairs: each member is linked to the
     bucket's smallest member (its hub), and of a document's hubs the most similar by the sketches is confirmed first.
 3.  A pair is confirmed on the two whole texts.  Confirmed links give components.
-4.  Buckets that still span several components are looked at again: the members outside a bucket's largest component
-    are the queries, set against all members in blocks of bounded size, and the XOR population count of the sketches
-    decides inside the join which pairs of *different* components come out.  The best few for each (document,
-    component) are confirmed, and that repeats with a growing number of them until no unconfirmed pair is left.  So no
-    link between components is lost to a cap, and a group of thousands of copies costs one link a copy.
+4.  Buckets that still span several components are settled, a few bands at a time.  A semi-join keeps the members that
+    the XOR population count of the sketches lets through to a member of another component.  The members outside a
+    bucket's largest component are the queries, set against all members in blocks of bounded size inside one task:
+    most similar first, on whole shingle sets, and two components that a link joined are not compared again.  So pairs
+    never become rows, no link between components is lost to a cap, and thousands of copies cost one link a copy.
 
-The population-count bound is set 7 standard deviations under the threshold, so it hardly ever rejects a true link,
+The population-count bound is set 5 standard deviations under the threshold, so it hardly ever rejects a true link,
 and 30 bands of 4 miss a pair at similarity 0.85 with probability (1 - 0.85**4)**30 = 2e-10.
 
 Cases: null or blank text has an empty set, is linked with nothing and is its own component.  Fewer words than w: the
@@ -37,7 +37,9 @@ from tracewell.llm.common import cut, slot_filter
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 30, 4, 256
 #: Members of a bucket that one task sets against the queries at a time.
-BLOCK = 2048
+BLOCK = 1024
+#: Bands whose buckets are settled together: first a few, which join most components, then the rest.
+BAND_ROUNDS = ((0, 1), (2, 7), (8, BANDS - 1))
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
@@ -149,7 +151,7 @@ def estimate(flips: int) -> float:
 
 
 def _flip_bound(threshold: float) -> int:
-    low = threshold - 7 * math.sqrt(max(threshold * (1 - threshold), 1e-4) / SAMPLES)
+    low = threshold - 5 * math.sqrt(max(threshold * (1 - threshold), 1e-4) / SAMPLES)
     return math.ceil(flips_at(max(low, 0)))
 
 
@@ -203,39 +205,102 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def _untested(members: DataFrame, comps: DataFrame, sketches: DataFrame, tested: DataFrame, bound: int, block: int) -> DataFrame:
-    """(a, b, flips, other): pairs of one bucket and different components that the sketches let through."""
+def _settle(width: int, numerator: int, denominator: int, bound: int):
+    """Links between components of one block of a bucket, at most one for each two components that it joins.
+
+    Rows come sorted by (key, member block, query block); query i takes the members of other components that the
+    sketches let through, the most similar first, and each link found joins two components for all that follow.
+    """
+
+    def links(ids, comps, is_query, is_member, sketch, texts) -> list[tuple[int, int]]:
+        numbers = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        root, sets, words, out = np.arange(len(numbers)), {}, _WordHashes(), []
+        comp = np.array([numbers[c] for c in comps])
+        at = np.flatnonzero(is_member)
+
+        def whole(i):
+            if i not in sets:
+                sets[i] = shingle_set(texts[i], width, words)
+            return sets[i]
+
+        for i in np.flatnonzero(is_query).tolist():
+            near = at[root[comp[at]] != root[comp[i]]]
+            flips = np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1)
+            order = np.argsort(flips, kind="stable")
+            for j in near[order[: np.count_nonzero(flips <= bound)]].tolist():
+                if root[comp[i]] == root[comp[j]]:
+                    continue
+                x, y = whole(i), whole(j)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if denominator * both >= numerator * (len(x) + len(y) - both):
+                    out.append((ids[i], ids[j]))
+                    root[root == root[comp[j]]] = root[comp[i]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = []
+                for *key, i, c, q, m, s0, s1, s2, s3, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                    if key != group:
+                        found += links(*_columns(rows)) if rows else []
+                        group, rows = key, []
+                    rows.append((i, c, q, m, (s0, s1, s2, s3), t))
+                if found:
+                    yield _pairs(found)
+        if rows and (found := links(*_columns(rows))):
+            yield _pairs(found)
+
+    return run
+
+
+def _columns(rows):
+    ids, comps, query, member, sketch, texts = zip(*rows, strict=True)
+    return ids, comps, np.array(query), np.array(member), np.array(sketch, np.int64).view(np.uint64), texts
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+
+def _between(members: DataFrame, comps: DataFrame, sketches: DataFrame, docs: DataFrame, bound: int, block: int, width: int, numerator: int, denominator: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between different components within these buckets; enough of them to join what any link joins."""
     at = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        sizes.groupBy("key")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"))
-        .where("components > 1")
-        .select("key", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    mixed = at.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one != other").select("key")
+    full = cut(at.join(mixed, "key").join(sketches, "id"))
+    q, m = full.alias("q"), full.alias("m")
+    near = (F.col("q.key") == F.col("m.key")) & (F.col("q.component") != F.col("m.component")) & (_flips("q", "m") <= bound)
+    involved = cut(q.join(m, near, "left_semi"))  # a row for each document and bucket, no pairs
+    if involved.isEmpty():
+        return involved.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sizes = involved.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    plan = sizes.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / block).cast("int").alias("m_blocks"), F.greatest(F.lit(1), F.ceil((F.sum("n") - F.max("n")) / block)).cast("int").alias("q_blocks")
     )
-    full = at.join(mixed, "key").join(sketches, "id")
-    base = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    queries = full.where("component != main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = queries.alias("q").join(
-        base.alias("m"),
-        (F.col("q.key") == F.col("m.key")) & (F.col("q.block") == F.col("m.block")) & (F.col("q.component") != F.col("m.component")) & (_flips("q", "m") <= bound),
-    )
-    pairs = met.select(F.least("q.id", "m.id").alias("b"), F.greatest("q.id", "m.id").alias("a"), _flips("q", "m").alias("flips"), F.least("q.component", "m.component").alias("c1"), F.greatest("q.component", "m.component").alias("c2"))
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+    rows = involved.join(plan, "key").withColumns({"mb": F.pmod(F.xxhash64("id"), "m_blocks").cast("int"), "qb": F.pmod(F.xxhash64("id", F.lit(1)), "q_blocks").cast("int"), "q": F.col("component") != F.col("main")})
+    as_member = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("key", "mb", "qb", "id", "component", F.lit(False).alias("q"), F.lit(True).alias("m"), "s0", "s1", "s2", "s3")
+    as_query = rows.where("q").withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1))).select("key", "mb", "qb", "id", "component", F.lit(True).alias("q"), F.lit(False).alias("m"), "s0", "s1", "s2", "s3")
+    dealt = as_member.union(as_query).groupBy("key", "mb", "qb", "id", "component").agg(F.max("q").alias("q"), F.max("m").alias("m"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4)))
+    ids = involved.select("id").distinct()
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = slot_filter(named, F.col("id"), ids, F.col("id")).groupBy("id").agg(F.max("text").alias("text"))
+    ready = dealt.join(texts, "id").select("key", "mb", "qb", "id", "component", "q", "m", "s0", "s1", "s2", "s3", "text")
+    ready = ready.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
+    return ready.mapInArrow(_settle(width, numerator, denominator, bound), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, first: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs; see the module's text."""
-    from pyspark.sql import Window
-
-    threshold = numerator / denominator
-    bound = _flip_bound(threshold)
+    bound = _flip_bound(numerator / denominator)
+    how = (width, numerator, denominator, id_col, text_col)
     sig = cut(signatures(docs, width, id_col, text_col))
     known = sig.where("n_shingles > 0 and id is not null")
-    # copies are thousands of equal rows: the sums are made before the shuffle
+    # copies are thousands of equal rows: their sums are made before the shuffle
     classes = cut(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
     sketches = classes.groupBy(F.col("rep").alias("id")).agg(*(F.first(f"s{i}").alias(f"s{i}") for i in range(4)))
-    in_bands = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    in_bands = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     buckets = in_bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub != most").select("key", "hub")
     members = cut(in_bands.join(buckets, "key"))
     stars = members.where("id != hub").select("id", "hub").distinct()
@@ -247,26 +312,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, numerator: int = 85, denomi
         .where(F.col("flips") <= bound)
     )
     best = scored.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    tested = cut(best)
-    links = cut(confirm(tested, docs, width, numerator, denominator, id_col, text_col))
+    links = cut(confirm(best, docs, *how))
     comps = components(links)
-    members = members.select("key", "id")
-    most = first
-    while True:
-        left = cut(_untested(members, comps, sketches, tested, bound, block))
-        if left.isEmpty():
-            break
-        order = Window.partitionBy("c1", "c2", "a").orderBy("flips", "b")
-        mirror = Window.partitionBy("c1", "c2", "b").orderBy("flips", "a")
-        chosen = left.withColumn("i", F.row_number().over(order)).withColumn("j", F.row_number().over(mirror)).where((F.col("i") <= most) | (F.col("j") <= most))
-        now = cut(chosen.select("a", "b").distinct())
-        tested = cut(tested.union(now))
-        found = cut(confirm(now, docs, width, numerator, denominator, id_col, text_col))
+    for first, last in BAND_ROUNDS:
+        some = members.where(F.col("band").between(first, last)).select("key", "id")
+        found = cut(_between(some, comps, sketches, docs, bound, block, *how))
         if not found.isEmpty():
             links = cut(links.union(found))
             comps = components(links)
-        most *= 4
-    # only documents of classes with copies or links have another id than their own
     own = classes.select("set_key", "rep").join(comps, classes.rep == comps.id, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sig.select("id", "n_shingles", "set_key").join(own, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
