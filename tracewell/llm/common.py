@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,26 @@ def bounded_sample(df: DataFrame, key: Column, group: Column, per_group: int, sa
         .where(u * F.col("__n") < F.lit(float(per_group)))
         .drop("__g", "__n")
     )
+
+
+def beside_text(docs: DataFrame, text_col: str, added: str, run: Callable[[list[str | None]], list[pa.Array]], keep_text: bool = True) -> DataFrame:
+    """(row, text, ...added): `run` makes the added columns of some texts; row is a struct of all other columns, so that no
+    name can clash with another."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), F.col(text_col).alias("text"))
+    kind = dict(packed.dtypes)["row"]
+    names = ["row", *(["text"] if keep_text else []), *(f.split()[0] for f in added.split(", "))]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                kept = [part.column(0), *([part.column(1)] if keep_text else [])]
+                yield pa.RecordBatch.from_arrays([*kept, *run(part.column(1).to_pylist())], names=names)
+
+    return packed.mapInArrow(each, f"row {kind}, " + ("text string, " if keep_text else "") + added)
+
+
+def unpacked(df: DataFrame, columns: list[str], text_col: str) -> list[Column]:
+    """The original columns of what beside_text() returned, in their order."""
+    return [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]

@@ -202,7 +202,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _search(shared):
+def _search(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         shard, parts, counts = _Shard(windows), [], []
@@ -225,7 +225,7 @@ def _search(shared):
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 counts += [shard.add(t) for t in part.column("text").to_pylist()]
-                parts.append(part)
+                parts.append(part.drop_columns("text") if not keep_text else part)
                 if shard.words >= SHARD_WORDS or shard.rows >= SHARD_DOCS or sum(p.nbytes for p in parts) > 32 << 20:
                     yield from flush()
                     shard, parts, counts = _Shard(windows), [], []
@@ -234,20 +234,22 @@ def _search(shared):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, spans, items), a row for each row of docs: word spans [first, last) to remove, and the items
-    whose windows occur.  keep_text: also the text."""
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+    """(row, n_words, spans, items), a row for each row of docs: a struct of its other columns, the word spans
+    [first, last) to remove, and the items whose windows occur.  keep_text: also the text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
-    schema = "doc_id long, text string, n_words long, spans array<struct<first:long,last:long>>, items array<long>"
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    out = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
+    fields = {"row": dict(out.dtypes)["row"], "text": "string", "n_words": "long", "spans": "array<struct<first:long,last:long>>", "items": "array<long>"}
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in rows], width))
-        out = out.mapInArrow(_search(shared), schema)
-    return out if keep_text else out.drop("text")
+        keep = keep_text or block < blocks - 1
+        out = out.mapInArrow(_search(shared, keep), ", ".join(f"{k} {v}" for k, v in fields.items() if keep or k != "text"))
+    return out
 
 
 def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -266,10 +268,10 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """Whole `documents` against whole `benchmark`."""
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 

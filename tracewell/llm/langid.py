@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_sample, fold
+from tracewell.llm.common import beside_text, bounded_sample, fold
 
 FOLDS, HELD_OUT = 5, 0
 DICT_BYTES, BLOCK, PART_CHARS, MAX_LANGS = 96 << 10, 1024, 1200, 512
@@ -102,14 +101,12 @@ def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """(doc_id, lang_pred, score, lead), a row for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                lang, score, lead = zip(*map(shared.value.predict, part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())], names=["doc_id", "lang_pred", "score", "lead"])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        lang, score, lead = zip(*map(shared.value.predict, texts), strict=True)
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, lead double")
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return beside_text(thin, "text", "lang_pred string, score double, lead double", run, keep_text=False).select("row.doc_id", "lang_pred", "score", "lead")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -49,10 +49,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return w.select("source", "source_size", F.when(F.col("full") | first_open.isNull(), capped).otherwise(F.least(capped, first_open["level"] * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies), a row for each row of docs."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    thin = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), id_hash(F.col(id_col)).alias("hash")))
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def plan_mix(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """(s, source_size, target, whole, threshold), a row for each source of (source, size, hash)."""
     plan = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -73,12 +75,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         )
     # the last hash itself goes with the target if its middle does
     within = F.col("under") + F.col("words") / 2 <= F.col("lack")
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("prefix") + F.when(within, 1).otherwise(0)).alias("threshold"))
-    copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")
-    out = thin.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", F.least(copies, F.lit(most).cast("long")))
+    return cut(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("prefix") + F.when(within, 1).otherwise(0)).alias("threshold")))
+
+
+def _copies(hash_: Column, most: int) -> Column:
+    return F.least(F.col("whole") + (hash_ < F.col("threshold")).cast("long"), F.lit(most).cast("long"))
+
+
+def _thin(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies), a row for each row of docs."""
+    thin = _thin(docs, id_col, text_col, source_col)
+    plan = plan_mix(thin, weights, budget, most)
+    out = thin.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("hash"), most))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with `copy` from 1 on, which must be a new name."""
+    plan = plan_mix(_thin(docs, id_col, text_col, source_col), weights, budget, most).select(F.struct("*").alias("__plan"))
+    joined = docs.join(plan, F.col(f"`{source_col}`").eqNullSafe(F.col("__plan.s")))
+    copies = F.least(F.col("__plan.whole") + (id_hash(F.col(id_col)) < F.col("__plan.threshold")).cast("long"), F.lit(most).cast("long"))
+    rows = joined.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.expr("cast(array() as array<long>)"))))
+    return rows.drop("__plan")
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     """Whole `documents`."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

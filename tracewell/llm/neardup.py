@@ -15,7 +15,7 @@ Plan, for documents whose shingle sets have a Jaccard similarity of `numerator /
     never become rows, no link between components is lost to a cap, and thousands of copies cost one link a copy.
 
 The population-count bound is set 5 standard deviations under the threshold, so it hardly ever rejects a true link,
-and 30 bands of 4 miss a pair at similarity 0.85 with probability (1 - 0.85**4)**30 = 2e-10.
+and 30 bands of 4 miss a pair at similarity 0.85 with probability (1 - 0.85**4)**30 = 2e-10, at 0.8 with 1e-7.
 
 Cases: null or blank text has an empty set, is linked with nothing and is its own component.  Fewer words than w: the
 whole sequence is one shingle.  Equal rows are one class.  Rows of one doc_id count as one document.  A null doc_id is
@@ -145,7 +145,7 @@ def flips_at(similarity: float) -> float:
     return SKETCH_BITS / 2 * (1 - math.exp(-2 * flipped / SKETCH_BITS))
 
 
-def estimate(flips: int) -> float:
+def estimate(flips: float) -> float:
     """Similarity that the population count of two sketches' XOR speaks for."""
     return 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(max(1 - 2 * flips / SKETCH_BITS, 1e-9))
 
@@ -291,7 +291,7 @@ def _between(members: DataFrame, comps: DataFrame, sketches: DataFrame, docs: Da
     return ready.mapInArrow(_settle(width, numerator, denominator, bound), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, numerator: int = 85, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs; see the module's text."""
     bound = _flip_bound(numerator / denominator)
     how = (width, numerator, denominator, id_col, text_col)
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, numerator: int = 85, denomi
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """Whole `documents`: (doc_id, n_shingles, component_id, kept)."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, numerator=85)
 
 
 ORACLE_OP9 = r"""

@@ -15,14 +15,12 @@ Extra columns are passed over; equal texts have equal scores.  A doc_id labelled
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_sample, fold
+from tracewell.llm.common import beside_text, bounded_sample, fold
 
 DIM, WIDTH, STRIDE, FILTERS, HALF = 6, 8, 4, 24, 256
 LAGS = range(2, 41)
@@ -207,18 +205,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return Network().fit([bytes(r.t)[:TRAIN_BYTES] for r in rows], y, weights / weights.mean(), epochs=max(EPOCHS, min(60, 20000 // len(rows))))
 
 
-def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score), a row for each row of docs."""
+def with_scores(docs: DataFrame, model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(row, text, score), see common.beside_text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield part.select([0]).append_column("score", pa.array(shared.value.score(texts), pa.float64()))
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(shared.value.score([(t or "").encode("utf-8", "surrogatepass") for t in texts]), pa.float64())]
+
+    return beside_text(docs, text_col, "score double", run, keep_text)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score), a row for each row of docs."""
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_scores(thin, model, keep_text=False).select("row.doc_id", "score")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

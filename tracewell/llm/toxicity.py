@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded_sample, fold
+from tracewell.llm.common import beside_text, bounded_sample, fold
 
 FOLDS, HELD_OUT, TRAIN_CHARS = 5, 0, 60_000
 PREFIXES, LEVELS = (4, 5, 6), 3
@@ -231,17 +230,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     return model
 
 
-def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score), a row for each row of docs."""
+def with_scores(docs: DataFrame, model: Classifier, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(row, text, score), see common.beside_text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    return beside_text(docs, text_col, "score double", lambda texts: [pa.array(shared.value.score(texts), pa.float64())], keep_text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                yield part.select([0]).append_column("score", pa.array(shared.value.score(part.column(1).to_pylist()), pa.float64()))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score), a row for each row of docs."""
+    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_scores(thin, model, keep_text=False).select("row.doc_id", "score")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
