@@ -1 +1 @@
-
+"""Queries, and what plans share."""

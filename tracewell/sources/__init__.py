@@ -1 +1 @@
-
+"""Text formats as tables."""
