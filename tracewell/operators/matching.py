@@ -59,8 +59,12 @@ def match_edits(edits: DataFrame, added: DataFrame) -> DataFrame:
     window = added.groupBy("file").agg(F.min_by("line_no", "pos").alias("ws"), F.max_by("line_no", "pos").alias("we"))
     near = half_covered("line_start", "line_end", "ws", "we")
     out = edits.join(exact, "edit_id", "left").join(alike, "edit_id", "left").join(window, "file", "left")
-    chosen = F.when(F.col("a").isNotNull(), F.struct(F.col("a.s"), F.col("a.e"), F.lit("exact"))).when(F.col("b").isNotNull(), F.struct(F.col("b.s"), F.col("b.e"), F.lit("normalized"))).when(near, F.struct("ws", "we", F.lit("proximity")))
-    kept = out.withColumn("m", chosen.cast("struct<s:int,e:int,how:string>")).where("m is not null")
+
+    def place(s: str, e: str, how: str):
+        return F.struct(F.col(s).cast("int").alias("s"), F.col(e).cast("int").alias("e"), F.lit(how).alias("how"))
+
+    chosen = F.when(F.col("a").isNotNull(), place("a.s", "a.e", "exact")).when(F.col("b").isNotNull(), place("b.s", "b.e", "normalized")).when(near, place("ws", "we", "proximity"))
+    kept = out.withColumn("m", chosen).where("m is not null")
     return kept.select(*edits.columns, F.col("m.s").alias("match_start"), F.col("m.e").alias("match_end"), F.col("m.how").alias("strategy"))
 
 

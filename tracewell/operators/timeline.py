@@ -17,7 +17,7 @@ def turns(resolved: DataFrame) -> DataFrame:
     """A row for each turn: prompt and instant of its first line (by file, then line), whether any line's origin is a
     guess, and the least confidence of those."""
     some = resolved.where("status != 'no_provenance'").withColumn("a", approximate("derived_from"))
-    first = F.min_by(F.struct("prompt", "ts", "model"), F.struct("file", "line"))
+    first = F.min_by(F.struct("prompt", "ts", "model"), F.struct("file", "line", "ts", "prompt", "model"))
     t = some.groupBy("conversation_id", "turn_index").agg(first.alias("f"), F.bool_or("a.approximate").alias("approximate"), F.min("a.confidence").alias("confidence"), F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("files"))
     return t.select("conversation_id", "turn_index", "f.prompt", "f.ts", "f.model", "approximate", "confidence", "lines", "files")
 
