@@ -4,10 +4,11 @@
     the held-out fold: a term is a word, or a word beginning of 4 to 6 letters of which 1, 2 or 3 different words occur
     in the document; terms are taken greedily while they cover enough toxic documents that no earlier one covers and
     hardly any clean one.  Near copies count as one document.  One voter votes "clean" where no lexicon votes.
-2.  Label model.  Each voter has, for either class, probabilities of its votes (toxic, clean, none).  They start from
-    the labelled rows and are estimated by expectation maximisation over labelled and unlabelled rows together.  From
-    the residuals given the class come the voters' correlations; a voter's evidence is divided by one plus its positive
-    correlations, so voters that say the same thing don't count twice.
+2.  Label model.  Each voter has, for either class, probabilities of its votes (toxic, clean, none).  They are
+    estimated by expectation maximisation over labelled rows, whose class is given, and unlabelled ones together; a voter
+    that doesn't vote gives no evidence.  From
+    the residuals given the class, of labelled rows if there are any, come the voters' correlations; a voter's evidence is divided by one plus the squares of
+    its positive correlations, so voters that say the same thing don't count twice.
 3.  Classifier.  A logistic regression over terms and patterns learns the posterior labels.
 
 Learning takes at most about `per_class` labelled rows of each class and as many rows of any kind, chosen by a hash of
@@ -79,6 +80,11 @@ class Wanted:
         self.begins = frozenset(t.split("*")[0] for t in names if "*" in t)
 
 
+def _least(n_bad: float) -> float:
+    """Toxic documents, copies counting once, that a term needs."""
+    return max(2.5, 0.004 * n_bad)
+
+
 def mine(found: list[set[str]], y: np.ndarray, weight: np.ndarray, most: int = 60, pool: int = 2000) -> tuple[list[str], list[str]]:
     """Terms that cover the toxic documents (lexicon voters), and the pool of telling terms they come from."""
     bad, good = Counter(), Counter()
@@ -87,7 +93,7 @@ def mine(found: list[set[str]], y: np.ndarray, weight: np.ndarray, most: int = 6
         for x in t:
             counter[x] += w
     n_bad, n_good = max(weight[y == 1].sum(), 1), max(weight[y == 0].sum(), 1)
-    least = max(2.5, 0.004 * n_bad)
+    least = _least(n_bad)
     telling = [x for x, k in bad.items() if k >= least and (k + 0.1) / n_bad > 25 * (good[x] + 0.3) / n_good]
     telling.sort(key=lambda x: (-bad[x] / (1 + 3 * good[x] * n_bad / n_good), -len(x), x))
     telling = telling[:pool]
@@ -122,7 +128,7 @@ class LabelModel:
     """Probabilities of each voter's votes given the class, and discounts for correlated voters."""
 
     def fit(self, v: np.ndarray, weight: np.ndarray, labels: np.ndarray, rounds: int = 20) -> LabelModel:
-        """labels: 0, 1 or -1 for unknown; they only set where the estimation starts."""
+        """labels: 0, 1 or -1 for unknown; known ones hold the two classes to their meaning while the others are estimated."""
         is_vote = np.stack([v == x for x in (-1, 0, 1)], 2).astype(np.float64)
         known = labels >= 0
         if known.any() and 0 < labels[known].mean() < 1:
@@ -132,9 +138,11 @@ class LabelModel:
             start, use = (v == 1).any(axis=1).astype(np.float64), weight
         self.discount = np.ones(v.shape[1])
         self._maximise(is_vote, start, use)
+        if use is not weight:
+            self._correlate(v, start, use)  # before voters that say the same can agree on a class of their own
         for i in range(rounds):
-            post = self._posterior(is_vote)
-            if i == rounds // 2:
+            post = np.where(known, labels, self._posterior(is_vote))
+            if i == rounds // 2 and use is weight:
                 self._correlate(v, post, weight)
             self._maximise(is_vote, post, weight)
         return self
@@ -147,7 +155,9 @@ class LabelModel:
             self.p.append(k / k.sum(axis=1, keepdims=True))
 
     def _posterior(self, is_vote) -> np.ndarray:
-        log_odds = np.einsum("nmv,mv->nm", is_vote, np.log(self.p[1] / self.p[0])) @ self.discount
+        evidence = np.log(self.p[1] / self.p[0])
+        evidence[:, 1] = 0  # who doesn't vote says nothing
+        log_odds = np.einsum("nmv,mv->nm", is_vote, evidence) @ self.discount
         return 1 / (1 + np.exp(-np.clip(log_odds + np.log(self.prior / (1 - self.prior)), -30, 30)))
 
     def _correlate(self, v, post, weight):
@@ -160,7 +170,7 @@ class LabelModel:
             total += np.clip(cov / sd[:, None] / sd[None, :], -1, 1) / 2
         np.fill_diagonal(total, 0)
         self.correlation = total
-        self.discount = 1 / (1 + np.maximum(total, 0).sum(axis=1))
+        self.discount = 1 / (1 + (np.maximum(total, 0) ** 2).sum(axis=1))
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
         return self._posterior(np.stack([v == x for x in (-1, 0, 1)], 2).astype(np.float64))
@@ -211,16 +221,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     more = docs.where((share * total < per_class) & (fold(F.col(id_col), folds) != held_out)).select(text, F.lit(-1).alias("y")).collect()
     rows = sorted((r.y, r.t) for r in [*rows, *more])
     texts, y = [t for _, t in rows], np.array([a for a, _ in rows])
-    found = [terms(t) for t in texts]
     copies = Counter(clusters := [(a, _cluster(t)) for a, t in rows])
     weight = np.array([1 / copies[c] for c in clusters])
     taken = Counter(y[y >= 0].tolist())
     share_of = {c: counts[c] / taken[c] for c in taken}
     natural = weight * np.array([share_of.get(a, 1.0) / max([1e-9, *share_of.values()]) if a >= 0 else 1.0 for a in y.tolist()])
     labelled = y >= 0
+    # only terms that enough toxic documents have are looked for in all the others: few are held at a time
+    support: Counter = Counter()
+    for i in np.flatnonzero(y == 1).tolist():
+        for x in terms(texts[i]):
+            support[x] += weight[i]
+    least = _least(weight[y == 1].sum())
+    seeds = {w for s in _SEED_WORDS.values() for w in s}
+    held = Wanted(sorted({x for x, k in support.items() if k >= least} | seeds))
+    del support
+    found = [terms(t, held) for t in texts]
     lexicon, pool = mine([f for f, k in zip(found, labelled, strict=True) if k], y[labelled], weight[labelled]) if len(taken) == 2 else ([], [])
     v = votes(texts, found, lexicon) if texts else np.zeros((0, 1))
-    model = Classifier(sorted({*pool, *lexicon, *(w for s in _SEED_WORDS.values() for w in s)}))
+    model = Classifier(sorted({*pool, *lexicon, *seeds}))
     if texts:
         target = LabelModel().fit(v, natural, y).posterior(v)
         model.fit(texts, found, target, weight)
