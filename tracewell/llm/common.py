@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Upper bound on the distinct slots of `slot_filter`, and so on what it broadcasts (16 bytes a slot).
 SLOTS = 1 << 20
@@ -67,8 +68,8 @@ def beside_text(docs: DataFrame, text_col: str, added: str, run: Callable[[list[
     name can clash with another."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     packed = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), F.col(text_col).alias("text"))
-    kind = dict(packed.dtypes)["row"]
-    names = ["row", *(["text"] if keep_text else []), *(f.split()[0] for f in added.split(", "))]
+    schema = T.StructType([*packed.schema.fields[: 2 if keep_text else 1], *T.StructType.fromDDL(added).fields])
+    names = schema.names
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +78,7 @@ def beside_text(docs: DataFrame, text_col: str, added: str, run: Callable[[list[
                 kept = [part.column(0), *([part.column(1)] if keep_text else [])]
                 yield pa.RecordBatch.from_arrays([*kept, *run(part.column(1).to_pylist())], names=names)
 
-    return packed.mapInArrow(each, f"row {kind}, " + ("text string, " if keep_text else "") + added)
+    return packed.mapInArrow(each, schema)
 
 
 def unpacked(df: DataFrame, columns: list[str], text_col: str) -> list[Column]:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 10
 #: Bytes of benchmark text that are broadcast at a time, and words in a shard's index.
@@ -42,12 +43,13 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray):
         text = np.append(symbols, 0).astype(np.int64)
-        n = self.n = len(text)
+        n, self.most = len(text), int(text.max())
+        self.n = n
         sa = _suffix_array(text)
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 2))])
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(text))])
         x = text[sa - 1]
         self.levels = []
-        for bit in reversed(range(max(1, int(text.max()).bit_length()))):
+        for bit in reversed(range(max(1, self.most.bit_length()))):
             b = (x >> bit) & 1
             zeros = np.concatenate([[0], np.cumsum(1 - b)]).astype(np.int32)
             self.levels.append((bit, zeros, int(zeros[-1])))
@@ -78,7 +80,7 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For patterns (a row each): the index of the pattern and the position, for each occurrence."""
-        which = np.flatnonzero((patterns < len(self.start) - 1).all(axis=1))
+        which = np.flatnonzero((patterns <= self.most).all(axis=1))
         lo, hi = np.zeros(len(which), np.int64), np.full(len(which), self.n, np.int64)
         for j in reversed(range(patterns.shape[1])):
             c = patterns[which, j]
@@ -104,7 +106,7 @@ def _suffix_array(text: np.ndarray) -> np.ndarray:
     rank, k = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
     while True:
         after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
+        after[: max(0, n - k)] = rank[k:] + 1
         key = rank * (n + 1) + after
         order = np.argsort(key, kind="stable")
         moved = key[order]
@@ -243,12 +245,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, te
     blocks = max(1, -(-size // block_bytes))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     out = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
-    fields = {"row": dict(out.dtypes)["row"], "text": "string", "n_words": "long", "spans": "array<struct<first:long,last:long>>", "items": "array<long>"}
+    schema = out.schema
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in rows], width))
         keep = keep_text or block < blocks - 1
-        out = out.mapInArrow(_search(shared, keep), ", ".join(f"{k} {v}" for k, v in fields.items() if keep or k != "text"))
+        out = out.mapInArrow(_search(shared, keep), T.StructType([f for f in schema.fields if keep or f.name != "text"]))
     return out
 
 

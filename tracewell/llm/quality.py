@@ -28,19 +28,18 @@ TRAIN_BYTES, EPOCHS, BATCH = 4096, 14, 64
 FOLDS, HELD_OUT = 4, 2
 
 
-def _halves(data: np.ndarray) -> int:
-    """Half-chunks of a text: at least one whole chunk."""
-    return max(2, -(-len(data) // HALF))
+#: Zeros before and after each text, so that no window and no lag reaches into another text.
+BEFORE, AFTER = WIDTH - STRIDE, max(LAGS)
 
 
 def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded to whole halves, and the number of halves of each."""
+    """Bytes of all texts, each padded to whole halves, one whole chunk at least, and the number of halves of each."""
     raw = [np.frombuffer(t, np.uint8) for t in texts]
-    halves = np.array([_halves(r) for r in raw])
+    halves = np.array([max(2, -(-(BEFORE + len(r) + AFTER) // HALF)) for r in raw])
     x = np.zeros(int(halves.sum()) * HALF, np.uint8)
     at = 0
     for r, n in zip(raw, halves.tolist(), strict=True):
-        x[at : at + len(r)] = r
+        x[at + BEFORE : at + BEFORE + len(r)] = r
         at += n * HALF
     return x, halves
 
@@ -97,16 +96,16 @@ class Network:
             x, halves = _padded(texts[i:j])
             out[i:j] = self._combine(self._features(x, halves)[1], halves)
             i = j
-        return out
+        return np.round(out, 5)  # what is beyond depends on which texts share a product of matrices
 
     def _score_long(self, text: bytes) -> float:
-        """A very long text in parts; each part begins with what its first windows and lags look back on or over."""
+        """A very long text in parts; each part begins with the half before it, for the lags that look back."""
         rows, part = [], 1 << 18
         for at in range(0, len(text), part):
             before = HALF if at else 0
             x, halves = _padded([text[at - before : at + part + WIDTH]])
-            f = self._features(x, halves)[1]
-            rows.append(f[before // HALF :][: -(-len(text[at : at + part]) // HALF)])
+            f = self._features(x, halves)[1][before // HALF :]
+            rows.append(f[: part // HALF] if at + part < len(text) else f)
         f = np.concatenate(rows)
         return float(self._combine(f, np.array([len(f)]))[0])
 

@@ -83,7 +83,7 @@ def _writer(folder: str):
                     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
                     fs.create_dir(root, recursive=True)
                     name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-                    path, out = f"{folder}/{name}", fs.open_output_stream(f"{root}/{name}")
+                    path, out = f"{folder}/{name}", fs.open_output_stream(f"{root}/{name}", compression=None)
                 payload = memoryview(cols["html"][i].cast(pa.binary()).as_buffer())
                 head, http, with_payload = _record(*(cols[n][i].as_py() for n in ("page_id", "url", "payload_digest", "payload_bytes", "refers_to")))
                 member = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -162,7 +162,7 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_payload: bool = Tr
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, at = pyarrow.fs.FileSystem.from_uri(path)
-                with fs.open_input_stream(at, buffer_size=1 << 18) as stream:
+                with fs.open_input_stream(at, compression=None, buffer_size=1 << 18) as stream:
                     for row in read_archive(stream, chunk, with_payload):
                         rows.append(row)
                         size += 200 + len(row[6] or b"")
