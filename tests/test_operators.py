@@ -1,0 +1,193 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tracewell import schema
+from tracewell.functions.text import line_hash
+from tracewell.operators import capture, index, maintenance, matching, resolve, search, timeline
+
+
+def edits(spark, *rows):
+    """Flat edits from (commit, idx, file, start, end, conversation, turn, tool_use, ts, hashes)."""
+    shape = "commit_sha string, edit_idx int, file string, line_start int, line_end int, conversation_id string, turn_index int, tool_use_id string, ts string, content_hashes array<string>"
+    df = spark.createDataFrame(rows, shape)
+    return df.select(
+        "commit_sha", "edit_idx", "file", "line_start", "line_end", "content_hashes", F.lit(None).cast("string").alias("original_blob_sha"), F.concat(F.lit("p"), "edit_idx").alias("prompt"), "conversation_id", "turn_index", "tool_use_id",
+        F.lit(None).cast("string").alias("preceding_turns_summary"), F.lit("m").alias("model"), F.lit("t").alias("tool"), "ts", F.lit(None).cast(schema.DERIVED_FROM).alias("derived_from"),
+    )
+
+
+def blame(spark, *rows):
+    return spark.createDataFrame(rows, "line_id int, commit_sha string, file string, line int, current_hash string")
+
+
+def test_resolve_statuses_and_best_candidate(spark):
+    e = edits(
+        spark, ("c", 0, "f", 2, 4, "A", 0, None, "2026-01-01", ["h2", "h3"]), ("c", 1, "f", 1, 9, "B", 1, None, "2026-01-02", ["x"] * 9), ("c", 2, "f", 1, 9, "B", 2, None, "2026-01-02", ["x"] * 9), ("d", 0, "f", 1, 1, "A", 0, None, "2026-01-01", ["q"])
+    )
+    b = blame(spark, (1, "c", "f", 2, "h2"), (2, "c", "f", 3, "zz"), (3, "c", "f", 9, "x"), (4, "c", "f", 10, "x"), (5, "e", "f", 1, "x"), (6, None, "f", 1, "x"), (7, "d", "g", 1, "q"), (8, "d", "f", 1, "q"), (9, "c", "f", 4, "h3"))
+    got = {r.line_id: (r.status, r.reason, r.edit_idx) for r in resolve.resolve(b, e).collect()}
+    assert got == {
+        1: ("unchanged", None, 0), 2: ("drifted", None, 2), 3: ("unchanged", None, 2), 4: ("no_provenance", "no_matching_note", None), 5: ("no_provenance", "no_note_for_commit", None),
+        6: ("no_provenance", "no_blame", None), 7: ("no_provenance", "no_matching_note", None), 8: ("unchanged", None, 0), 9: ("drifted", None, 2),
+    }
+
+
+def test_index_changes(spark):
+    a = edits(spark, ("c", 0, "f", 1, 1, "A", 0, None, "1", ["h"]), ("c", 1, "f", 2, 3, "A", 0, None, "2", ["i", "j"]), ("d", 0, "g", 1, 1, "A", 1, None, "3", ["k"]))
+    notes = index.rebuild_notes(a)
+    assert sorted(map(str, index.flatten_edits(notes).collect())) == sorted(map(str, a.collect()))
+    assert tuple(index.stats(notes).first()) == (2, 3) and index.flatten_hashes(a).count() == 4
+    private = edits(spark, ("c", 0, "z", 1, 1, "P", 0, None, "9", ["h"]))
+    assert sorted((r.commit_sha, r.file) for r in index.overlay(a, private).collect()) == [("c", "z"), ("d", "g")]
+    assert index.delete(a, private, ["commit_sha"]).count() == 1
+    s = index.stamp(a, "commit_sha", "edit_idx")
+    assert index.is_fresh(s, index.stamp(a.repartition(4), "commit_sha", "edit_idx")).first().fresh
+    assert not index.is_fresh(s, index.stamp(private, "commit_sha", "edit_idx")).first().fresh
+    cache = spark.createDataFrame([("c", ["x"], None), ("d", None, "version 9")], "commit_sha string, edits array<string>, error string")
+    public = spark.createDataFrame([("c", ["p"], None), ("d", ["p"], None)], "commit_sha string, edits array<string>, error string")
+    got = index.cached_or_public(spark.createDataFrame([("c",), ("d",), ("e",)], "commit_sha string"), cache, public)
+    assert {r.commit_sha: r.edits for r in got.collect()} == {"c": ["x"], "d": ["p"], "e": None}
+
+
+def test_search_limit_and_flag(spark):
+    rows = spark.createDataFrame([(f"c{i}", 0, f"t{i}", "rate limit" if i != 3 else "pirate") for i in range(6)], "commit_sha string, edit_idx int, ts string, prompt string")
+    got = search.search(rows, "RATE", 2).orderBy("rank").collect()
+    assert [(r.commit_sha, r.truncated) for r in got] == [("c5", True), ("c4", True)]
+    assert not search.search(rows, "rate", 5).first().truncated and search.search(rows, "none", 5).count() == 0
+
+
+def test_chains_with_a_cycle(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(101, 102), (102, 101), (30, None)], "id long, parent long")
+    got = {(r.id, r.ancestor): r.depth for r in search.chains(links).collect()}
+    assert all(got[(i, j)] == j - i for i in range(31) for j in range(i, 31))
+    assert {k[1] for k in got if k[0] == 101} == {101, 102}
+
+
+def window(spark, needle, added):
+    n = spark.createDataFrame([(1, i, x) for i, x in enumerate(needle)], "pair int, pos int, h string")
+    a = spark.createDataFrame([(1, i, x) for i, x in enumerate(added)], "pair int, pos int, h string")
+    r = matching.best_windows(n, a, most_lines=20).collect()
+    return (r[0].needle_start, r[0].added_start, r[0].length) if r else None
+
+
+@pytest.mark.parametrize(("needle", "added", "want"), [("abc", "xabcy", (0, 1, 3)), ("abcd", "xxa", None), ("ab", "b", (1, 0, 1)), ("aba", "ab-ba", (0, 0, 2)), ("aaa", "aaaa", (0, 0, 3)), ("", "a", None), ("a", "b", None), ("a" * 21, "a" * 21, None)])
+def test_best_window(spark, needle, added, want):
+    assert window(spark, needle, added) == want
+
+
+def test_edits_are_matched_in_three_ways(spark):
+    e = spark.createDataFrame(
+        [(1, "f", ["b", "", "c"], 1, 3), (2, "f", [" x  y", "“z”"], 1, 2), (3, "f", ["no"], 1, 4), (4, "f", ["no"], 20, 30), (5, "g", ["b"], 1, 1), (6, "f", ["c", "b"], 90, 99)], "edit_id int, file string, after array<string>, line_start int, line_end int"
+    )
+    a = spark.createDataFrame([("f", p, n, c) for p, (n, c) in enumerate([(3, "a"), (4, "b"), (5, "c"), (9, " x y "), (10, '"z"')])], "file string, pos int, line_no int, content string")
+    got = {r.edit_id: (r.match_start, r.match_end, r.strategy) for r in matching.match_edits(e, a).collect()}
+    assert got == {1: (4, 5, "exact"), 2: (9, 10, "normalized"), 3: (3, 10, "proximity")}
+
+
+def test_sessions_and_commits(spark):
+    s = spark.createDataFrame([("s", 100000, 100000)], "session_id string, start long, end long")
+    c = spark.createDataFrame([(h, 100000 + h * 3600, h) for h in (-5, -4, 3, 4, 5)], "sha int, committed_at long, pos int")
+    met = matching.session_commits(s, c)
+    assert sorted(r.sha for r in met.collect()) == [-4, 3, 4]
+    assert matching.best_commits(met.withColumn("confidence", F.lit(0.7))).first().sha == -4
+    m = spark.createDataFrame([(0.5, "A@x"), (0.6, "a@X"), (0.9, "b@x"), (0.9, None)], "confidence double, author_email string")
+    status = lambda **k: [r.status for r in matching.accepted(m, "a@x", **k).collect()]
+    assert status() == ["skipped-low-confidence", "written", "skipped-cross-author", "skipped-cross-author"]
+    assert status(any_author=True, include_low=True) == ["written"] * 4
+
+
+def test_paths_take_the_longest_suffix(spark):
+    p = spark.createDataFrame([(1, "/w/src/a.rs"), (2, "a.rs"), (3, "/w/b.rs")], "id int, path string")
+    f = spark.createDataFrame([("a.rs",), ("src/a.rs",), ("c.rs",)], "file string")
+    assert {r.id: r.file for r in matching.locate_files(p, f).collect()} == {1: "src/a.rs", 2: "a.rs"}
+
+
+def test_merge_keeps_the_latest_of_each_key(spark):
+    local = edits(spark, ("c", 0, "f", 1, 1, "A", 0, "u", "2026-01-02", ["l"]), ("c", 1, "f", 1, 1, "A", 1, None, "2026-01-01", ["l"]), ("c", 2, "f", 5, 6, "A", 1, None, "2026-01-01", ["l"]))
+    other = edits(spark, ("c", 0, "f", 1, 1, "A", 0, "u", "2026-01-02", ["r"]), ("c", 1, "f", 1, 1, "A", 1, None, "2026-01-03", ["r"]), ("d", 0, "f", 1, 1, "A", 1, None, "2026-01-03", ["r"]))
+    got = maintenance.merge(local, other).orderBy("commit_sha", "edit_idx").collect()
+    assert [(r.commit_sha, r.edit_idx, r.line_start, r.content_hashes) for r in got] == [("c", 0, 5, ["l"]), ("c", 1, 1, ["l"]), ("c", 2, 1, ["r"]), ("d", 0, 1, ["r"])]
+
+
+def test_rewrites_move_notes(spark):
+    e = edits(spark, ("a", 0, "f", 1, 1, "A", 0, None, "2", ["a"]), ("a", 1, "f", 1, 1, "A", 0, None, "1", ["b"]), ("b", 0, "f", 1, 1, "A", 0, None, "3", ["c"]), ("n", 0, "f", 1, 1, "B", 0, None, "0", ["own"]), ("k", 0, "f", 1, 1, "B", 0, None, "0", ["kept"]))
+    pairs = lambda *x: spark.createDataFrame(x, "old string, new string")
+    show = lambda p: sorted((r.commit_sha, r.edit_idx, r.content_hashes[0]) for r in maintenance.rewrite(e, p).collect() if r.commit_sha != "k")
+    assert show(pairs(("a", "z"))) == [("b", 0, "c"), ("n", 0, "own"), ("z", 0, "a"), ("z", 1, "b")]
+    assert show(pairs(("a", "z"), ("b", "z"))) == [("n", 0, "own"), ("z", 0, "c")]
+    assert show(pairs(("a", "n"))) == [("b", 0, "c"), ("n", 0, "own"), ("n", 1, "a")]
+    assert show(pairs(("a", "a"))) == [("a", 0, "a"), ("a", 1, "b"), ("b", 0, "c"), ("n", 0, "own")]
+
+
+def test_backfill_merge_keeps_the_first(spark):
+    prior = edits(spark, ("c", 0, "f", 1, 1, "A", 0, None, "1", ["old"]))
+    new = edits(spark, ("c", 0, "f", 1, 1, "A", 0, "u", "2", ["new"]), ("c", 1, "f", 2, 2, "A", 0, None, "2", ["new"]))
+    assert [r.content_hashes for r in maintenance.backfill_merge(prior, new).orderBy("edit_idx").collect()] == [["old"], ["new"]]
+    assert maintenance.backfill_merge(prior, new).count() == maintenance.backfill_merge(maintenance.backfill_merge(prior, new), new).count()
+
+
+def test_repair_gc_and_privacy(spark):
+    notes = spark.createDataFrame([("a",), ("n2",), ("b",)], "commit_sha string")
+    pairs = spark.createDataFrame([("a", "n1"), ("b", "n2"), ("x", "y"), ("a", "a")], "old string, new string")
+    assert {r.old: r.status for r in maintenance.repair_pairs(pairs, notes).collect()} == {"a": "migrated", "b": "skipped-existing"}
+    assert maintenance.unreachable(notes, spark.createDataFrame([("a",)], "commit_sha string")).count() == 2
+    live = spark.createDataFrame([("s", 100), ("s", 5), ("t", 5), ("u", None)], "session_id string, ts long")
+    assert sorted(r.session_id for r in maintenance.stale_sessions(live, F.lit(110), 20).collect()) == ["t", "u"]
+    lines = spark.createDataFrame([(schema.PUBLIC_REF, "1" * 40, schema.PUBLIC_REF, "x"), (schema.PUBLIC_REF, "0" * 40, schema.PUBLIC_REF, "x"), ("h", "1", schema.PRIVATE_REF, "x"), ("h", "1", "h", "x")], "local_ref string, local_sha string, remote_ref string, remote_sha string")
+    assert [r.verdict for r in maintenance.push_verdicts(lines).collect()] == ["scan", "skip", "block", "skip"]
+    e = spark.createDataFrame([("a", 0, "public"), ("a", 1, "private"), ("b", 0, "private"), ("c", 0, "public")], "commit_sha string, edit_idx int, visibility string")
+    got = maintenance.mark_private(e, spark.createDataFrame([("a",), ("b",)], "commit_sha string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, "private"), ("b", 0, "private"), ("c", 0, "public")]
+
+
+def test_compaction(spark):
+    e = edits(spark, ("old", 0, "f", 1, 1, "A", 0, None, "2020", ["x"]), ("new", 0, "f", 1, 1, "A", 0, None, "2030", ["x"])).withColumn("preceding_turns_summary", F.lit("s")).withColumn("original_blob_sha", F.lit("gone"))
+    blobs = spark.createDataFrame([("there",)], "blob string")
+    got = {r.commit_sha: (r.preceding_turns_summary, r.original_blob_sha, r.compacted) for r in maintenance.compact(e, F.lit("2025"), blobs).collect()}
+    assert got == {"old": (None, None, True), "new": ("s", "gone", False)}
+
+
+def test_timeline(spark):
+    rows = [("A", 0, "f", i, "unchanged", "p0", "2026-01-02") for i in (1, 2)] + [("A", 1, "f", 9, "drifted", 'say "x"', "2026-01-01"), (None, None, "f", 3, "no_provenance", None, None), (None, None, "f", 4, "no_provenance", None, None), (None, None, "f", 6, "no_provenance", None, None)]
+    r = spark.createDataFrame(rows, "conversation_id string, turn_index int, file string, line int, status string, prompt string, ts string").withColumns({"model": F.lit("m"), "derived_from": F.lit(None).cast(schema.DERIVED_FROM)})
+    turns = timeline.turns(r)
+    more = spark.createDataFrame([("A", 0, "again", "t", 1, 0), ("B", 5, "lost", "t", 2, 1), ("B", 5, "first", "t", 1, 3)], "conversation_id string, turn_index int, prompt string, ts string, commit_pos int, edit_idx int").withColumns({"model": F.lit("m"), "derived_from": F.lit(None).cast(schema.DERIVED_FROM)})
+    full = timeline.with_superseded(turns, more)
+    assert {(t.conversation_id, t.turn_index): (t.prompt, t.superseded) for t in full.collect()} == {("A", 0): ("p0", False), ("A", 1): ('say "x"', False), ("B", 5): ("first", True)}
+    assert sorted((x.line_start, x.line_end) for x in timeline.no_provenance(r).collect()) == [(3, 4), (6, 6)]
+    assert tuple(timeline.totals(turns, r).first()) == (2, 1, 3)
+    bullets = {(t.conversation_id, t.turn_index): t.bullet for t in timeline.turn_lines(full, timeline.turn_files(r)).collect()}
+    assert bullets[("A", 0)] == '**"p0"** — _f (2 lines)_' and bullets[("B", 5)].startswith('~~"first"~~ _(superseded')
+    assert timeline.markdown(full, timeline.turn_files(r)).count() == 2
+    line = full.select(timeline.summary_line(F.lit(1), F.lit(2), F.lit(1), "agent").alias("s")).first().s
+    assert line == "This PR contains 1 turn across 2 agent sessions, plus 1 line without provenance."
+
+
+def test_lookup_budget(spark):
+    lines = spark.createDataFrame([(f, n) for f in "abc" for n in range(4)], "file string, line int")
+    got = {(r.file, r.line): r.looked_up for r in timeline.capped(lines, 6).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "b"} == {("b", 0): True, ("b", 1): True, ("b", 2): False, ("b", 3): False} and not any(k[0] == "c" for k in got)
+
+
+def test_capture_to_note(spark):
+    p = spark.createDataFrame([("s", "mail a@b.co", "/w", None, "t1", 1), ("s", "x\n# prov:private", "/w", None, "t2", 2), ("s", "third", "/w", None, "t3", 5), (".bad", "x", "/w", None, "t", 1)], "session_id string, prompt string, cwd string, transcript_path string, at string, seq int")
+    turns = capture.prompts(p)
+    assert sorted((r.prompt, r.private, r.turn_index) for r in turns.collect()) == [("mail [REDACTED:email]", False, 0), ("third", False, 1), ("x\n# prov:private", True, 0)]
+    at = capture.current_turns(spark.createDataFrame([("s", 0), ("s", 1), ("s", 3), ("s", 6)], "session_id string, seq int"), turns)
+    assert sorted((r.seq, r.private, r.turn_index) for r in at.collect()) == [(0, False, 0), (1, False, 0), (3, True, 0), (6, False, 1)]
+    done = {(r.private, r.turn_index): r.completed_at for r in capture.finish_turns(turns, "now").collect()}
+    assert done == {(False, 0): None, (False, 1): "now", (True, 0): "now"}
+    uses = spark.createDataFrame([("s", 1, "Write", None, None, "/w/f", "", "a\nb", None, "t9")], "session_id string, turn_index int, tool_name string, tool string, tool_use_id string, file string, before string, after string, model string, ts string")
+    staged = capture.edit_records(uses, "/w").withColumn("edit_id", F.lit(0))
+    added = spark.createDataFrame([("f", 0, 7, "a"), ("f", 1, 8, "b")], "file string, pos int, line_no int, content string")
+    sessions = spark.createDataFrame([("s", "mod", "t0")], "session_id string, model string, started_at string")
+    note = capture.flush("c1", staged, added, turns.where("not private"), sessions, picked_from="c0").first()
+    assert (note.file, note.line_start, note.line_end, note.prompt, note.model, note.tool, note.derived_from.source_commit) == ("f", 7, 8, "third", "mod", schema.DEFAULT_TOOL, "c0")
+    b = blame(spark, (1, "c1", "f", 8, None)).withColumn("current_hash", line_hash(F.lit("b")))
+    assert resolve.resolve(b, capture.flush("c1", staged, added, turns.where("not private"), sessions)).first().status == "unchanged"
+
+
+def test_substantial(spark):
+    f = spark.createDataFrame([("long", "x\n" * 9), ("short", "x"), ("gone", None), ("untracked", "x\n" * 20)], "file string, text string")
+    e = spark.createDataFrame([("long",), ("short",), ("gone",)], "file string")
+    assert {r.file: r.substantial for r in resolve.is_substantial(f, e, 10).collect()} == {"long": True, "short": False, "gone": True, "untracked": False}

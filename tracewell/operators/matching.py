@@ -63,7 +63,7 @@ def match_edits(edits: DataFrame, added: DataFrame) -> DataFrame:
     def place(s: str, e: str, how: str):
         return F.struct(F.col(s).cast("int").alias("s"), F.col(e).cast("int").alias("e"), F.lit(how).alias("how"))
 
-    chosen = F.when(F.col("a").isNotNull(), place("a.s", "a.e", "exact")).when(F.col("b").isNotNull(), place("b.s", "b.e", "normalized")).when(near, place("ws", "we", "proximity"))
+    chosen = F.when(F.col("a").isNotNull(), place("a.s", "a.e", "exact")).when(F.col("b").isNotNull(), place("b.s", "b.e", "normalized")).when(near & F.col("ws").isNotNull(), place("ws", "we", "proximity"))
     kept = out.withColumn("m", chosen).where("m is not null")
     return kept.select(*edits.columns, F.col("m.s").alias("match_start"), F.col("m.e").alias("match_end"), F.col("m.how").alias("strategy"))
 
