@@ -105,6 +105,18 @@ def closure(seeds: DataFrame, parents: DataFrame) -> DataFrame:
     return reach.unionByName(seeds.select("commit_sha")).distinct()
 
 
+def commit_range(parents: DataFrame, base: str, head: str) -> DataFrame:
+    """(commit_sha, pos): what head reaches and base doesn't, the oldest first; parents (commit_sha, parent)."""
+    from tracewell.operators.search import chains
+
+    up = chains(parents.select(F.col("commit_sha").alias("id"), "parent"))
+    of = lambda sha: up.where(F.col("id") == sha).select("ancestor", "depth")
+    mine = of(head).join(of(base).select("ancestor"), "ancestor", "left_anti")
+    # far ancestors are old; a range is as long as a change, not as its history
+    pos = F.row_number().over(Window.partitionBy(F.lit(head)).orderBy(F.desc("depth"), "ancestor"))
+    return mine.select(F.col("ancestor").alias("commit_sha"), pos.alias("pos"))
+
+
 def stale_sessions(activity: DataFrame, now, ttl_seconds: int, at: str = "ts", session: str = "session_id") -> DataFrame:
     """Sessions whose last activity is more than ttl_seconds before now; one without any counts as stale."""
     last = activity.groupBy(session).agg(F.max(at).alias("last"))

@@ -56,6 +56,6 @@ def chains(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         if longer.isEmpty():
             return paths
         paths = keep(paths.unionByName(longer))
-        jump = keep(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.to").alias("to")))
+        jump = keep(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.to").alias("to")).distinct())
         width *= 2
     return paths

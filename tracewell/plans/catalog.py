@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schema
 from tracewell.functions import redact, text, timefmt
-from tracewell.operators import capture, index, maintenance, matching, reports, resolve, search, timeline
+from tracewell.operators import backfill, capture, index, maintenance, matching, reports, resolve, search, timeline
 from tracewell.plans import adapters
 from tracewell.plans.adapters import RESOLVED_SQL, TWINS_SQL, edits_sql, table
 from tracewell.plans.materialize import shared_folder
@@ -611,6 +611,20 @@ def edit_matching(spark, d):
     return matching.match_edits(edits, added).select(F.col("edit_id").alias("pair"), "match_start", "match_end", "strategy")
 
 
+@query(f"WITH w AS ({SQL['longest_common_window']}), {TWINS_SQL} SELECT t.pair AS session_id, CASE WHEN w.pair IS NULL THEN 'skipped-no-match' ELSE 'written' END AS status, w.length AS lines FROM t LEFT JOIN w USING (pair)")
+def backfill_outcomes(spark, d):
+    """Each document as a session of one edit, the document before it as the one commit of its time."""
+    t = adapters.twins(spark, d).select(F.col("pair").cast("string").alias("session_id"), (F.col("pair") * 100000).alias("at"), "text", "other", F.col("pair").alias("pos"))
+    sessions = t.select("session_id", F.col("at").alias("start"), F.col("at").alias("end"))
+    commits = t.select(F.col("session_id").alias("sha"), F.col("at").alias("committed_at"), F.lit("a@x").alias("author_email"), "pos")
+    none = {c: F.lit(None).cast("string") for c in ("tool_use_id", "model", "tool", "transcript_path")}
+    edits = t.select("session_id", F.lit(0).alias("edit_no"), F.lit("/w/f").alias("file"), F.col("text").alias("after"), F.lit(0).alias("turn_index"), F.lit("p").alias("prompt"), F.lit("t").alias("ts")).withColumns(none)
+    added = t.select(F.col("session_id").alias("sha"), F.lit("f").alias("file"), F.posexplode(text.split_lines("other")).alias("pos", "line")).select("sha", "file", "pos", (F.col("pos") + 1).alias("line_no"), text.line_hash("line").alias("hash"))
+    outcomes, flat = backfill.backfill(sessions, edits, commits, added, author="a@X")
+    n = flat.select(F.col("conversation_id").alias("session_id"), F.size("content_hashes").cast("long").alias("lines"))
+    return outcomes.join(n, "session_id", "left").select(F.col("session_id").cast("long").alias("session_id"), "status", "lines")
+
+
 @query(
     """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0, least(l_quantity::INT, l_linenumber + p_size - 1) - greatest(1, l_linenumber) + 1)::INT AS overlap, greatest(0, least(l_quantity::INT, l_linenumber + p_size - 1) - greatest(1, l_linenumber) + 1) * 2 >= l_quantity::INT AS near
   FROM lineitem JOIN part ON p_partkey = l_partkey"""
