@@ -9,6 +9,7 @@ from tracewell import schema
 from tracewell.functions.redact import redact
 from tracewell.functions.text import is_private, line_hash, split_lines
 from tracewell.operators import matching
+from tracewell.plans.materialize import keep
 
 
 def edit_matches(edits: DataFrame, pairs: DataFrame, added: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def best_sessions(sessions: DataFrame, edits: DataFrame, commits: DataFrame, add
 
     sessions (session_id, start, end), commits (sha, committed_at, author_email, pos)."""
     pairs = matching.session_commits(sessions.select("session_id", "start", "end"), commits)
-    found = edit_matches(edits, pairs, added)
+    found = keep(edit_matches(edits, pairs, added))  # read for the scores and for the edits
     total = edits.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
     scored = found.groupBy("session_id", "sha").agg(F.count(F.lit(1)).alias("matched")).join(total, "session_id").join(commits, "sha")
     scored = scored.withColumn("confidence", matching.confidence("matched", "total").cast("float"))
