@@ -85,6 +85,36 @@ def _least(n_bad: float) -> float:
     return max(2.5, 0.004 * n_bad)
 
 
+def _telling(bad: dict, good: dict, n_bad: float, n_good: float) -> list[str]:
+    """Terms with enough support and far more frequent among toxic documents, the best first."""
+    least = _least(n_bad)
+    found = [x for x, k in bad.items() if k >= least and (k + 0.1) / n_bad > 25 * (good.get(x, 0) + 0.3) / n_good]
+    return sorted(found, key=lambda x: (-bad[x] / (1 + 3 * good.get(x, 0) * n_bad / n_good), -len(x), x))
+
+
+def _candidates(texts: list[str], y: np.ndarray, weight: np.ndarray, pool: int = 2000) -> set[str]:
+    """The telling terms, found without holding the terms of all documents: first hashes are counted, then the terms
+    whose hash has enough support, then those among clean documents."""
+    toxic, clean = (np.flatnonzero(y == c).tolist() for c in (1, 0))
+    if not toxic or not clean:
+        return set()
+    n_bad, n_good = (max(weight[y == c].sum(), 1) for c in (1, 0))
+    hashes = [np.fromiter(map(hash, terms(texts[i])), np.int64) for i in toxic]
+    names, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    support = np.bincount(at, np.repeat(weight[toxic], [len(h) for h in hashes]), minlength=len(names))
+    often = set(names[support >= _least(n_bad) - 1e-9].tolist())
+    bad: Counter = Counter()
+    for i in toxic:
+        for x in terms(texts[i]):
+            if hash(x) in often:
+                bad[x] += weight[i]
+    wanted, good = Wanted(sorted(bad)), Counter()
+    for i in clean:
+        for x in terms(texts[i], wanted):
+            good[x] += weight[i]
+    return set(_telling(bad, good, n_bad, n_good)[:pool])
+
+
 def mine(found: list[set[str]], y: np.ndarray, weight: np.ndarray, most: int = 60, pool: int = 2000) -> tuple[list[str], list[str]]:
     """Terms that cover the toxic documents (lexicon voters), and the pool of telling terms they come from."""
     bad, good = Counter(), Counter()
@@ -94,9 +124,7 @@ def mine(found: list[set[str]], y: np.ndarray, weight: np.ndarray, most: int = 6
             counter[x] += w
     n_bad, n_good = max(weight[y == 1].sum(), 1), max(weight[y == 0].sum(), 1)
     least = _least(n_bad)
-    telling = [x for x, k in bad.items() if k >= least and (k + 0.1) / n_bad > 25 * (good[x] + 0.3) / n_good]
-    telling.sort(key=lambda x: (-bad[x] / (1 + 3 * good[x] * n_bad / n_good), -len(x), x))
-    telling = telling[:pool]
+    telling = _telling(bad, good, n_bad, n_good)[:pool]
     bad_rows = set(np.flatnonzero(y == 1).tolist())
     has = {x: {i for i in bad_rows if x in found[i]} for x in telling}
     chosen: list[str] = []
@@ -220,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     share = F.pmod(F.xxhash64(F.lit("any"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     more = docs.where((share * total < per_class) & (fold(F.col(id_col), folds) != held_out)).select(text, F.lit(-1).alias("y")).collect()
     rows = sorted((r.y, r.t) for r in [*rows, *more])
+    del more
     texts, y = [t for _, t in rows], np.array([a for a, _ in rows])
     copies = Counter(clusters := [(a, _cluster(t)) for a, t in rows])
     weight = np.array([1 / copies[c] for c in clusters])
@@ -227,15 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     share_of = {c: counts[c] / taken[c] for c in taken}
     natural = weight * np.array([share_of.get(a, 1.0) / max([1e-9, *share_of.values()]) if a >= 0 else 1.0 for a in y.tolist()])
     labelled = y >= 0
-    # only terms that enough toxic documents have are looked for in all the others: few are held at a time
-    support: Counter = Counter()
-    for i in np.flatnonzero(y == 1).tolist():
-        for x in terms(texts[i]):
-            support[x] += weight[i]
-    least = _least(weight[y == 1].sum())
     seeds = {w for s in _SEED_WORDS.values() for w in s}
-    held = Wanted(sorted({x for x, k in support.items() if k >= least} | seeds))
-    del support
+    held = Wanted(sorted(_candidates(texts, y, weight) | seeds))
     found = [terms(t, held) for t in texts]
     lexicon, pool = mine([f for f, k in zip(found, labelled, strict=True) if k], y[labelled], weight[labelled]) if len(taken) == 2 else ([], [])
     v = votes(texts, found, lexicon) if texts else np.zeros((0, 1))
