@@ -48,19 +48,23 @@ def slot_filter(df: DataFrame, df_key: Column, wanted: DataFrame, wanted_key: Co
     )
 
 
-def bounded_sample(df: DataFrame, key: Column, group: Column, per_group: int, salt: str) -> DataFrame:
-    """About per_group rows of each group, 2 * per_group at most on average, chosen by a hash of the key.
+#: Groups that bounded_sample takes at most: their counts come to the driver.
+MAX_GROUPS = 4096
 
-    Two passes and no sort: the groups are counted, then each keeps the rows whose hash lies under its own share.
-    """
-    counts = df.groupBy(group.alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+
+def bounded_sample(df: DataFrame, key: Column, group: Column, per_group: int, salt: str) -> DataFrame:
+    """About per_group rows of each group, chosen by a hash of the key.
+
+    Two passes and no shuffle of rows: the groups are counted, then each keeps the rows whose hash lies under its own
+    share, so a group of a third of all rows costs no more than any other."""
+    counts = {r.g: r.n for r in df.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect() if r.g is not None}
+    if len(counts) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    if not counts:
+        return df.limit(0)
+    shares = F.create_map(*(F.lit(x) for g, n in sorted(counts.items()) for x in (g, per_group / n)))
     u = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (
-        df.withColumn("__g", group)
-        .join(counts, "__g")
-        .where(u * F.col("__n") < F.lit(float(per_group)))
-        .drop("__g", "__n")
-    )
+    return df.where(u < F.try_element_at(shares, group))
 
 
 def beside_text(docs: DataFrame, text_col: str, added: str, run: Callable[[list[str | None]], list[pa.Array]], keep_text: bool = True) -> DataFrame:
