@@ -39,7 +39,7 @@ SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 30, 4, 256
 #: Members of a bucket that one task sets against the queries at a time.
 BLOCK = 1024
 #: Bands whose buckets are settled together: first a few, which join most components, then the rest.
-BAND_ROUNDS = ((0, 1), (2, 7), (8, BANDS - 1))
+BAND_ROUNDS = ((0, 1), (2, BANDS - 1))
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
@@ -51,7 +51,7 @@ class _WordHashes(dict):
     """64-bit hashes of words; forgets them all once there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
