@@ -122,8 +122,9 @@ def one_pass(text: Column, kind: str, pattern: str) -> tuple[Column, Column]:
         parts = pieces(text)
         found = F.size(F.filter(parts, is_high_entropy))
         swapped = F.array_join(F.transform(parts, lambda p: F.when(is_high_entropy(p), F.lit(marker(kind))).otherwise(p)), "")
-        # only texts with a long word are taken apart
-        long = text.rlike(rf"[^{SPACE[1:]}{{8,}}")
+        # only texts with a word of enough bytes are taken apart; a character has four at most
+        least = ENTROPY_BYTES // 4
+        long = F.exists(F.regexp_extract_all(text, F.lit(rf"[^{SPACE[1:]}{{{least},}}"), F.lit(0)), lambda w: F.octet_length(w) >= ENTROPY_BYTES)
         return F.when(long, swapped).otherwise(text), F.when(long, found).otherwise(0)
     replacement = (r"$1" if kind == "key-value-secret" else "") + marker(kind)
     return F.regexp_replace(text, pattern, replacement), F.regexp_count(text, F.lit(pattern))

@@ -179,5 +179,6 @@ def secrets_in_push(edits: DataFrame, rules: tuple[str, ...] = (), columns: tupl
     for c in columns:
         out = redact.redact(out.withColumn("__in", F.coalesce(F.col(c), F.lit(""))), "__in", rules, out=f"__r_{c}").drop("__in")
         kinds = F.concat(kinds, F.map_keys(f"__r_{c}.counts"))
-    found = out.select("commit_sha", F.explode(kinds).alias("kind"))
+    # an outer explode infers no filter, which would be pushed below the passes with all of them copied into it
+    found = out.select("commit_sha", F.explode_outer(kinds).alias("kind")).where("kind is not null")
     return found.groupBy("commit_sha").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

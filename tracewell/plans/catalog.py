@@ -207,7 +207,8 @@ def redact_documents(spark, d):
 )
 def redact_counts_by_kind(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = redact.redact(docs, "text").select("doc_id", F.explode("redacted.counts").alias("kind", "n"))
+    # an outer explode infers no filter, and a filter would be pushed below the passes with all of them copied into it
+    found = redact.redact(docs, "text").select("doc_id", F.explode_outer("redacted.counts").alias("kind", "n")).where("kind is not null")
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").cast("long").alias("replacements"))
 
 
