@@ -67,3 +67,22 @@ def test_chains_of_links_are_one_component(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40) if i != 20], "a long, b long")
     got = {r.id: r.component for r in neardup.components(links).collect()}
     assert got == {i: 0 if i <= 20 else 21 for i in range(41)}
+
+
+def test_a_pair_whose_sketches_differ_by_chance_is_found(spark):
+    common = [f"c6848x{j}" for j in range(17)]
+    texts = [" ".join(common), " ".join([*common, *(f"e6848x{j}" for j in range(3))])]  # 17 of 20 words, 62 flips
+    got = neardup.near_duplicates(docs(spark, texts), width=1, numerator=85).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.8, 0.5, 1.0])
+def test_the_flip_bound_misses_no_more_than_the_bands(threshold):
+    rates, bound, bands = neardup.miss_rates(threshold), neardup._flip_bound(threshold), (1 - threshold**neardup.ROWS) ** neardup.BANDS
+    assert len(rates) == neardup.SKETCH_BITS + 1 and rates[bound] <= bands and (bound == 0 or rates[bound - 1] > bands)
+    rng = np.random.default_rng(7)
+    flips = []
+    for k in rng.binomial(neardup.SAMPLES, 1 - threshold, 4000):
+        flips.append(int((np.bincount(rng.integers(0, neardup.SKETCH_BITS, 2 * k), minlength=neardup.SKETCH_BITS) & 1).sum()))
+    for at in (20, 40, 60, 80):
+        assert abs(np.mean(np.array(flips) > at) - rates[at]) < 0.04

@@ -14,8 +14,8 @@ Plan, for documents whose shingle sets have a Jaccard similarity of `numerator /
     most similar first, on whole shingle sets, and two components that a link joined are not compared again.  So pairs
     never become rows, no link between components is lost to a cap, and thousands of copies cost one link a copy.
 
-The population-count bound is set 5 standard deviations under the threshold, so it hardly ever rejects a true link,
-and 30 bands of 4 miss a pair at similarity 0.85 with probability (1 - 0.85**4)**30 = 2e-10, at 0.8 with 1e-7.
+30 bands of 4 miss a pair at similarity 0.85 with probability (1 - 0.85**4)**30 = 2e-10, at 0.8 with 1e-7.  The
+population-count bound comes from the exact law of the flips at the threshold, so that it misses no more than the bands.
 
 Cases: null or blank text has an empty set, is linked with nothing and is its own component.  Fewer words than w: the
 whole sequence is one shingle.  Equal rows are one class.  Rows of one doc_id count as one document.  A null doc_id is
@@ -150,9 +150,23 @@ def estimate(flips: float) -> float:
     return 1 + SKETCH_BITS / (4 * SAMPLES) * math.log(max(1 - 2 * flips / SKETCH_BITS, 1e-9))
 
 
+def miss_rates(similarity: float) -> np.ndarray:
+    """For each bound from 0 to SKETCH_BITS: how probably two sets of this similarity have more flips than it.
+
+    Each of the samples differs with probability 1 - similarity, and then throws two bits of the XOR, anywhere."""
+    odd, law = np.zeros(SKETCH_BITS + 1), np.zeros(SKETCH_BITS + 1)
+    odd[0] = 1.0
+    up, down = 1 - np.arange(SKETCH_BITS) / SKETCH_BITS, np.arange(1, SKETCH_BITS + 1) / SKETCH_BITS
+    for k in range(SAMPLES + 1):
+        law += math.comb(SAMPLES, k) * (1 - similarity) ** k * similarity ** (SAMPLES - k) * odd
+        for _ in range(2):
+            odd = np.append(0.0, odd[:-1] * up) + np.append(odd[1:] * down, 0.0)
+    return np.append(np.cumsum(law[:0:-1])[::-1], 0.0)
+
+
 def _flip_bound(threshold: float) -> int:
-    low = threshold - 5 * math.sqrt(max(threshold * (1 - threshold), 1e-4) / SAMPLES)
-    return math.ceil(flips_at(max(low, 0)))
+    """The least bound that misses a pair at the threshold no more often than the bands do."""
+    return int(np.argmax(miss_rates(threshold) <= (1 - threshold**ROWS) ** BANDS))
 
 
 def _flips(a: str, b: str):
