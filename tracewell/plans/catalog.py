@@ -18,6 +18,8 @@ from tracewell.streaming.capture import session_windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Queries over whole tables and documents whose like above has a filter or a cut in its SQL; tests hold them against brute force.
+WHOLE: dict = {}
 #: White space of text.SPACE as DuckDB's regular expressions write it.
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NOT_WS = "[^" + WS[1:]
@@ -605,8 +607,18 @@ def longest_common_window(spark, d):
 )
 def edit_matching(spark, d):
     """Lines 2 to 4 of a document as a staged edit, against the lines of the document before it as a commit's."""
-    t = adapters.twins(spark, d)
-    after = F.slice(text.split_lines("text"), 2, 3)
+    return _edit_matching(adapters.twins(spark, d), F.slice(text.split_lines("text"), 2, 3))
+
+
+def edit_matching_whole(spark, d):
+    """As edit_matching, but all lines of a document are the edit."""
+    return _edit_matching(adapters.twins(spark, d), text.split_lines("text"))
+
+
+WHOLE["edit_matching_whole"] = edit_matching_whole
+
+
+def _edit_matching(t, after):
     edits = t.select(F.col("pair").alias("edit_id"), F.col("pair").cast("string").alias("file"), after.alias("after"), F.lit(1).alias("line_start"), F.size(after).alias("line_end"))
     added = t.select(F.col("pair").cast("string").alias("file"), F.posexplode(text.split_lines("other")).alias("pos", "content")).withColumn("line_no", F.col("pos") + 1)
     return matching.match_edits(edits, added).select(F.col("edit_id").alias("pair"), "match_start", "match_end", "strategy")
@@ -675,7 +687,19 @@ def hunk_expand(spark, d):
     """WITH c AS (SELECT conv_id, turn, text, '{' || chr(10) || text || chr(10) AS l, '{' || chr(10) || role || chr(10) || text || chr(10) AS i FROM conversations WHERE turn % 2 = 0 AND text NOT LIKE '%<<<<%') SELECT conv_id, turn, sha256(l || '}' || chr(10)) AS local_sha256, sha256(i || '}' || chr(10)) AS incoming_sha256 FROM c"""
 )
 def conflict_split(spark, d):
-    c = table(spark, d, "conversations").where("turn % 2 = 0 and text not like '%<<<<%'")
+    return _conflict_split(table(spark, d, "conversations").where("turn % 2 = 0 and text not like '%<<<<%'"))
+
+
+def conflict_split_whole(spark, d):
+    """As conflict_split, but every row of conversations, texts with marker lines of their own too."""
+    return _conflict_split(table(spark, d, "conversations"))
+
+
+WHOLE["conflict_split_whole"] = conflict_split_whole
+
+
+def _conflict_split(c):
+    c = c.withColumns({x: F.coalesce(x, F.lit("")) for x in ("role", "text")})
     body = F.expr("concat('{\\n<<<<<<< ours\\n', text, '\\n=======\\n', role, '\\n', text, '\\n>>>>>>> theirs\\n}\\n')")
     parts = gittext.split_conflicts(c.select(F.struct("conv_id", "turn").alias("k"), body.alias("body")), "k", "body")
     return parts.select("k.conv_id", "k.turn", F.sha2("local", 256).alias("local_sha256"), F.sha2("incoming", 256).alias("incoming_sha256"))
