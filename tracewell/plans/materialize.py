@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where nothing is set."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where nothing is set, a local master gets a temporary folder, which goes when the process ends; any other master is
+    an error, since no folder of one machine can serve several."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-"))
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            own = tempfile.mkdtemp(prefix="tracewell-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(named or own)
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def keep(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and goes on from the written rows, so a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
