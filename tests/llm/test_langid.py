@@ -26,6 +26,6 @@ def test_nothing_to_learn_and_rejection(spark):
     nothing = langid.train(docs(spark, ["abc"]).withColumn("lang", F.lit(None).cast("string")))
     assert langid.predictions(docs(spark, ["abc", None]), nothing).where("lang_pred != 'und'").count() == 0
     assert langid.predictions(docs(spark, ["a"]).limit(0), nothing).count() == 0
-    close = langid.Model({"a": ["some text"], "b": ["some text"]}, {"a": 2, "b": 1}, reject_margin=0.1)
+    close = langid.Model({"a": [b"some text"], "b": [b"some text"]}, {"a": 2, "b": 1}, reject_margin=0.1)
     assert close.predict("some text")[0] == "und"
-    assert langid.Model({"a": ["some text"], "b": ["some text"]}, {"a": 2, "b": 3}).predict("some text")[0] == "b"
+    assert langid.Model({"a": [b"some text"], "b": [b"some text"]}, {"a": 2, "b": 3}).predict("some text")[0] == "b"

@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Upper bound on the distinct slots of `slot_filter`, and so on what it broadcasts (16 bytes a slot).
-SLOTS = 1 << 20
-
+from tracewell.plans.materialize import keep as cut
+from tracewell.plans.materialize import shared_folder as shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-shared-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+__all__ = ["beside_text", "bounded_sample", "cut", "fold", "labelled_texts", "salted", "shared_dir", "slot_filter", "slot_split", "unpacked"]
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from the written rows, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Upper bound on the distinct slots of `slot_filter`, and so on what it broadcasts (16 bytes a slot).
+SLOTS = 1 << 20
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -48,23 +37,61 @@ def slot_filter(df: DataFrame, df_key: Column, wanted: DataFrame, wanted_key: Co
     )
 
 
-#: Groups that bounded_sample takes at most: their counts come to the driver.
-MAX_GROUPS = 4096
+def slot_split(df: DataFrame, df_key: Column, wanted: DataFrame, wanted_key: Column, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be among wanted's keys, rows whose key isn't); bounded like slot_filter."""
+    named = F.broadcast(cut(wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(slots)).alias("__slot")).distinct()))
+    with_slot = df.withColumn("__slot", F.pmod(F.xxhash64(df_key), F.lit(slots)))
+    return tuple(with_slot.join(named, "__slot", how).drop("__slot") for how in ("left_semi", "left_anti"))
+
+
+def salted(many: DataFrame, few: DataFrame, on: list[str], spread: Column, how: str = "inner", parts: int = 8) -> DataFrame:
+    """many join few, where few has a row for each key and a key may be in a third of many's rows: each key's rows are
+    dealt into parts by a hash of `spread`, and few's row goes to each part."""
+    dealt = many.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    every = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(every, [*on, "__part"], how).drop("__part")
+
+
+#: Groups whose shares bounded_sample states in the plan; with more of them the counts are joined.
+STATED = 1024
 
 
 def bounded_sample(df: DataFrame, key: Column, group: Column, per_group: int, salt: str) -> DataFrame:
-    """About per_group rows of each group, chosen by a hash of the key.
-
-    Two passes and no shuffle of rows: the groups are counted, then each keeps the rows whose hash lies under its own
-    share, so a group of a third of all rows costs no more than any other."""
-    counts = {r.g: r.n for r in df.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect() if r.g is not None}
-    if len(counts) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    if not counts:
+    """About per_group rows of each group that isn't null, chosen by a hash of the key.
+
+    Two passes and, but for very many groups, no shuffle of rows: the groups are counted, then each keeps the rows whose
+    hash lies under its own share, so a group of a third of all rows costs no more than any other."""
+    counts = df.groupBy(group.alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where("__g is not null")
+    few = counts.limit(STATED + 1).collect()
+    if not few:
         return df.limit(0)
-    shares = F.create_map(*(F.lit(x) for g, n in sorted(counts.items()) for x in (g, per_group / n)))
     u = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return df.where(u < F.try_element_at(shares, group))
+    if len(few) <= STATED:
+        shares = F.create_map(*(F.lit(x) for r in sorted(few, key=str) for x in (r[0], per_group / r[1])))
+        return df.where(u < F.try_element_at(shares, group))
+    thinned = df.withColumns({"__g": group, "__u": u})
+    return salted(thinned, counts, ["__g"], F.col("__u")).where(F.col("__u") * F.col("__n") < per_group).drop("__g", "__u", "__n")
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, most_bytes: int) -> list[tuple[str, int]]:
+    """(whole text, label) of the chosen labelled ids (id, y), in the order of a hash of the id.
+
+    An id's rows count as one, with the text of the smallest hash.  Rows are taken while their texts fit most_bytes
+    together; what doesn't fit any more is left out as a row, so no text is ever cut."""
+    thin = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    named = F.broadcast(chosen.select("id", "y").distinct())
+    size = F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").alias("size"))
+    sizes = thin.join(named, "id").groupBy("id", "y").agg(F.min(size).alias("s")).select("id", "y", "s.h", "s.size").collect()
+    taken, left = {}, most_bytes
+    for r in sorted(sizes, key=lambda r: (r.h, str(r.id), r.y)):
+        if r.size <= left:
+            left -= r.size
+            taken.setdefault((r.id, r.h), []).append(r.y)
+    if not taken:
+        return []
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(taken, key=str), chosen.select("id", F.lit(0).cast("long").alias("h")).schema))
+    texts = thin.withColumn("h", F.xxhash64("t")).join(wanted, ["id", "h"]).groupBy("id", "h").agg(F.min("t").alias("t")).collect()
+    return [(r.t, y) for r in sorted(texts, key=lambda r: (r.h, str(r.id))) for y in sorted(taken[(r.id, r.h)])]
 
 
 def beside_text(docs: DataFrame, text_col: str, added: str, run: Callable[[list[str | None]], list[pa.Array]], keep_text: bool = True) -> DataFrame:

@@ -5,18 +5,22 @@ bytes, so that it can't become its own dictionary; each block is compressed with
 the smallest total is the answer.  `reject_margin` is the lead, as a share of the runner-up's size, under which the
 operator answers `und`; 0 never rejects for a narrow lead.
 
-Dictionaries hold up to DICT_BYTES of up to about `per_lang` documents with that language outside the held-out fold,
-chosen by a hash of the id; prediction takes whole texts.
-
-Cases: null texts and texts without a letter are `und` with score 0.  Of languages with equal sizes the one with more
-rows wins, then the first by name.  Nothing learned: every text is `und`.  Equal texts have equal answers.  Extra
-columns are passed over.
+Dictionaries are made of the whole texts of about `per_lang` documents at most with that language outside the held-out
+fold, chosen by a hash of the id: where these have more letters than a dictionary holds, each gives its share, in pieces
+of PIECE bytes from its first letter to its last.  Prediction takes whole texts.
+
+Cases: null texts and texts without a letter (a character of category L) are `und` with score 0.  Of languages with
+equal sizes the one with more rows wins, then the first by name.  Nothing learned: every text is `und`.  Equal texts
+have equal answers.  Any number of languages is learned; beyond ALL_BYTES / DICT_BYTES of them their dictionaries get
+shorter.  Extra columns are passed over.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +31,13 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import beside_text, bounded_sample, fold
 
 FOLDS, HELD_OUT = 5, 0
-DICT_BYTES, BLOCK, PART_CHARS, MAX_LANGS = 96 << 10, 1024, 1200, 512
+#: Bytes of a dictionary, of all of them, of a compressed block, and of a piece of a training text.
+DICT_BYTES, ALL_BYTES, BLOCK, PIECE = 96 << 10, 64 << 20, 1024, 64
 #: Matches from 3 bytes on: syllables tell languages apart, and the levels' own settings look for longer ones.
 SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 3, "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 3, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't decimal digits are word characters to the pattern, but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str | None) -> bytes:
@@ -38,19 +45,27 @@ def letters(text: str | None) -> bytes:
     return _NO_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
 
 
+def pieces(data: bytes, share: int) -> bytes:
+    """About `share` bytes of the data, evenly from all over it."""
+    if len(data) <= share:
+        return data
+    n = max(1, share // PIECE)
+    starts = [round(i * (len(data) - PIECE) / max(1, n - 1)) for i in range(n)]
+    return b"".join(data[at : at + PIECE] for at in starts)
+
+
 class Model:
-    def __init__(self, samples: dict[str, list[str]], sizes: dict[str, int], reject_margin: float = 0.0):
+    def __init__(self, samples: dict[str, list[bytes]], sizes: dict[str, int], reject_margin: float = 0.0, dict_bytes: int = DICT_BYTES):
+        """samples: the letters of each language's documents; sizes: how many rows each language has."""
         self.langs = sorted(samples, key=lambda x: (-sizes[x], x))
         self.reject_margin = reject_margin
+        most = min(dict_bytes, max(1024, ALL_BYTES // max(1, len(samples))))
         self.dicts = []
         for lang in self.langs:
-            data, size = [], 0
-            for text in sorted(samples[lang]):
-                data.append(letters(text))
-                size += len(data[-1]) + 1
-            # every document gives its share, so none fills the dictionary
-            share = max(64, DICT_BYTES // max(1, len(data))) if size > DICT_BYTES else None
-            self.dicts.append(b" ".join(d[:share] for d in data)[:DICT_BYTES])
+            data = sorted(d for d in samples[lang] if d)
+            whole = sum(len(d) + 1 for d in data) <= most
+            share = most // max(1, len(data))
+            self.dicts.append(b" ".join(d if whole else pieces(d, share) for d in data)[:most])
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "coders"}
@@ -85,15 +100,30 @@ class Model:
         return ("und" if lead < self.reject_margin else self.langs[best]), score, lead
 
 
+def _letters(shares: dict[str, int]):
+    """(lang, d): letters of training texts; where they are more than twice the document's share, pieces of the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lang = part.column("lang").to_pylist()
+                found = [pieces(letters(t), 2 * shares[x]) for t, x in zip(part.column("t").to_pylist(), lang, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(found, pa.binary())], names=["lang", "d"])
+
+    return run
+
+
 def train(docs: DataFrame, per_lang: int = 400, folds: int = FOLDS, held_out: int = HELD_OUT, reject_margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from documents with a language outside the held-out fold; per_lang, and MAX_LANGS, bound what comes to the driver."""
-    known = docs.select(F.col(id_col).alias("id"), F.substring(F.coalesce(text_col, F.lit("")), 1, PART_CHARS).alias("t"), F.col(lang_col).alias("lang")).where((fold(F.col("id"), folds) != held_out) & F.col("lang").isNotNull())
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    samples: dict[str, list[str]] = {lang: [] for lang in sizes}
-    for r in bounded_sample(known, F.col("id"), F.col("lang"), per_lang, "language").select("lang", "t").collect():
-        samples[r.lang].append(r.t)
+    """Learns from documents with a language outside the held-out fold; per_lang bounds what comes to the driver."""
+    known = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"), F.col(lang_col).cast("string").alias("lang")).where((fold(F.col("id"), folds) != held_out) & F.col("lang").isNotNull())
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    samples: dict[str, list[bytes]] = {lang: [] for lang in sizes}
+    # rows of one id are chosen together, however many they are: equal texts count once
+    chosen = bounded_sample(known, F.col("id"), F.col("lang"), per_lang, "language").select("lang", "t").distinct()
+    shares = {lang: max(PIECE, DICT_BYTES // min(per_lang, n)) for lang, n in sizes.items()}
+    for r in chosen.mapInArrow(_letters(shares), "lang string, d binary").collect():
+        samples[r.lang].append(bytes(r.d))
     return Model({k: v for k, v in samples.items() if v}, sizes, reject_margin)
 
 

@@ -5,12 +5,14 @@ outputs are max-pooled over overlapping chunks of 2 * HALF bytes (every HALF byt
 chunk also has the largest share of its bytes that repeat the byte some lag earlier, which filters of a few bytes
 can't see.  A document's chunks are combined by their mean and their maximum into one probability.
 
-Training takes at most about `per_class` labelled documents of each class (chosen by a hash of the id, rows of the
-held-out fold left out), and up to TRAIN_BYTES of each; scoring takes whole texts.  Both run on the same code.
+Training takes the whole texts of about `per_class` labelled documents of each class at most (chosen by a hash of the
+id, rows of the held-out fold left out), fewer where they don't fit `most_bytes` together; scoring takes whole texts.
+Both run on the same code.
 
 Cases: null and empty texts are one chunk of padding and have a score like any other text.  Labels that are null are
 left out.  Without labelled rows of both classes every score is the share of 1 among those there are, or 1 if none.
-Extra columns are passed over; equal texts have equal scores.  A doc_id labelled twice counts twice.
+Extra columns are passed over; equal texts have equal scores.  A doc_id labelled 0 and 1 counts as both; its rows are
+one document, that with the text of the smallest hash.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import beside_text, bounded_sample, fold
+from tracewell.llm.common import beside_text, bounded_sample, fold, labelled_texts
 
 DIM, WIDTH, STRIDE, FILTERS, HALF = 6, 8, 4, 24, 256
 LAGS = range(2, 41)
-TRAIN_BYTES, EPOCHS, BATCH = 4096, 14, 64
+EPOCHS, BATCH = 14, 64
+#: Bounds of what is learned from: labelled rows of a class, and bytes of all their texts.
+PER_CLASS, MOST_BYTES = 1200, 32 << 20
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -187,21 +191,19 @@ class Constant:
         return np.full(len(texts), self.p)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text"):
-    """Learns from labelled documents outside the held-out fold; per_class bounds what comes to the driver."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where((fold(F.col("id"), folds) != held_out) & F.col("y").isin(0, 1))
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text"):
+    """Learns from labelled documents outside the held-out fold; per_class and most_bytes bound what comes to the driver."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where((fold(F.col("id"), folds) != held_out) & F.col("y").isin(0, 1)).distinct()
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Constant(float(next(iter(counts), 1)))
-    chosen = bounded_sample(known, F.col("id"), F.col("y"), per_class, "quality")
-    start = F.encode(F.substring(F.coalesce(text_col, F.lit("")), 1, TRAIN_BYTES), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("id"), start.alias("t")).join(F.broadcast(chosen), "id").orderBy("id", "y", "t").collect()
-    if len({r.y for r in rows}) < 2:
+    rows = labelled_texts(docs, bounded_sample(known, F.col("id"), F.col("y"), per_class, "quality"), id_col, text_col, most_bytes)
+    if len({y for _, y in rows}) < 2:
         return Constant(counts.get(1, 0) / sum(counts.values()))
-    y = np.array([r.y for r in rows])
+    y = np.array([y for _, y in rows])
     taken = np.bincount(y, minlength=2)
     weights = np.array([counts[0] / taken[0], counts[1] / taken[1]])[y]  # the classes' shares among all labelled rows
-    return Network().fit([bytes(r.t)[:TRAIN_BYTES] for r in rows], y, weights / weights.mean(), epochs=max(EPOCHS, min(60, 20000 // len(rows))))
+    return Network().fit([t.encode("utf-8", "surrogatepass") for t, _ in rows], y, weights / weights.mean(), epochs=max(EPOCHS, min(60, 20000 // len(rows))))
 
 
 def with_scores(docs: DataFrame, model, text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -11,11 +11,12 @@
     its positive correlations, so voters that say the same thing don't count twice.
 3.  Classifier.  A logistic regression over terms and patterns learns the posterior labels.
 
-Learning takes at most about `per_class` labelled rows of each class and as many rows of any kind, chosen by a hash of
-the id; up to TRAIN_CHARS of each.  Scoring takes whole texts.
+Learning takes the whole texts of about `per_class` labelled rows of each class at most and as many rows of any kind,
+chosen by a hash of the id; fewer where they don't fit `most_bytes` together.  Scoring takes whole texts.
 
 Cases: null and empty texts have no term and no pattern, and get the score of the bias.  Null labels are left out.
-Without labelled rows of both classes only the seeds vote.  Equal texts have equal scores.  Extra columns are passed over.
+Without labelled rows of both classes only the seeds vote.  Equal texts have equal scores.  Rows of one doc_id are one
+document to learn from, that with the text of the smallest hash.  Extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -29,9 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import beside_text, bounded_sample, fold
+from tracewell.llm.common import beside_text, bounded_sample, fold, labelled_texts
 
-FOLDS, HELD_OUT, TRAIN_CHARS = 5, 0, 60_000
+FOLDS, HELD_OUT = 5, 0
+#: Bounds of what is learned from: labelled rows of a class (and rows of any kind), and bytes of all their texts.
+PER_CLASS, MOST_BYTES = 1500, 24 << 20
+#: Lexicon voters that are mined at most, and telling terms that the classifier looks at.
+VOTERS, POOL = 60, 2000
 PREFIXES, LEVELS = (4, 5, 6), 3
 #: Seed lexicons of plain insults: one voter each.
 SEEDS = {
@@ -40,32 +45,32 @@ SEEDS = {
     "fr": "stupide idiot crétin ordure minable dégoûtant",
     "es": "estúpido idiota imbécil escoria patético asqueroso",
 }
+_SHOUTED, _SHOUTING, _MASKED = re.compile(r"[A-Z]{3}"), re.compile(r"(?:\b[A-Z]{3,}\b[^A-Za-z]+){4}"), re.compile(r"\w[*#@$]{2,}\w")
+_ADDRESSES = frozenset("you your du dein tu ton vous usted".split())
+#: Patterns of a text and its lower-case words: one voter each.
 PATTERNS = {
-    "shouting": re.compile(r"(?:\b[A-Z]{3,}\b[^A-Za-z]+){4}"),
-    "exclaiming": re.compile(r"!!+"),
-    "masked word": re.compile(r"\b\w+[*#@$]{2,}\w+\b"),
-    "addressing": re.compile(r"\b(?:you|your|du|dein|tu|ton|vous|usted)\b", re.I),
-    "question run": re.compile(r"\?\?+"),
+    "shouting": lambda text, words: _SHOUTED.search(text) is not None and _SHOUTING.search(text) is not None,
+    "exclaiming": lambda text, words: "!!" in text,
+    "masked word": lambda text, words: _MASKED.search(text) is not None,
+    "addressing": lambda text, words: not _ADDRESSES.isdisjoint(words),
+    "question run": lambda text, words: "??" in text,
 }
 _WORD = re.compile(r"[^\W\d_]+")
 _SEED_WORDS = {lang: frozenset(words.split()) for lang, words in SEEDS.items()}
 
 
+def words_of(text: str | None) -> set[str]:
+    return set(_WORD.findall((text or "").lower()))
+
+
 def terms(text: str | None, wanted=None) -> set[str]:
-    """Words, and word beginnings as `begin*n` if at least n different words of the text have them."""
-    words = set(_WORD.findall((text or "").lower()))
-    if wanted is None:
-        begins = Counter(w[:n] for w in words for n in PREFIXES if len(w) >= n)
-        found = words
-    else:
-        kept = wanted.begins
-        begins = Counter(p for w in words for p in (w[:4], w[:5], w[:6]) if p in kept)
-        for p in [p for p in begins if len(p) < PREFIXES[0]]:
-            del begins[p]
-        if any(len(w) in (4, 5) and w in kept for w in words):  # a short word is its own longer slice
-            begins = Counter(w[:n] for w in words for n in PREFIXES if len(w) >= n and w[:n] in kept)
-        found = words & wanted.words
-    return found | {f"{p}*{n}" for p, k in begins.items() for n in range(1, min(k, LEVELS) + 1)}
+    """Words, and word beginnings as `begin*n` if at least n different words of the text have them; with `wanted` only
+    words and beginnings that it names."""
+    words = words_of(text)
+    if wanted is not None:
+        return {wanted.names[i] for i in wanted.numbers(words)}
+    begins = Counter(w[:n] for w in words for n in PREFIXES if len(w) >= n)
+    return words | {f"{p}*{n}" for p, k in begins.items() for n in range(1, min(k, LEVELS) + 1)}
 
 
 def _cluster(text: str) -> int:
@@ -74,10 +79,42 @@ def _cluster(text: str) -> int:
 
 
 class Wanted:
+    """Terms by number, and what each word means to them."""
+
     def __init__(self, names):
-        self.index = {t: i for i, t in enumerate(names)}
-        self.words = frozenset(t for t in names if "*" not in t)
-        self.begins = frozenset(t.split("*")[0] for t in names if "*" in t)
+        self.names = list(names)
+        self.index = {t: i for i, t in enumerate(self.names)}
+        # for each beginning, the numbers of its terms by how many words they ask for
+        self.begins: dict[str, list[int | None]] = {}
+        for t, i in self.index.items():
+            begin, star, n = t.partition("*")
+            if star:
+                self.begins.setdefault(begin, [None] * LEVELS)[int(n) - 1] = i
+        self.known: dict[str, tuple | None] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": {}}
+
+    def _look(self, word: str) -> tuple | None:
+        found = (self.index.get(word), *(word[:n] for n in PREFIXES if len(word) >= n and word[:n] in self.begins))
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[word] = found = found if found != (None,) else None
+        return found
+
+    def numbers(self, words: set[str]) -> list[int]:
+        """Numbers of the terms that these words make."""
+        known, out, begins = self.known, [], {}
+        for w in words:
+            found = known[w] if w in known else self._look(w)
+            if found is not None:
+                if found[0] is not None:
+                    out.append(found[0])
+                for p in found[1:]:
+                    begins[p] = begins.get(p, 0) + 1
+        for p, k in begins.items():
+            out += [i for i in self.begins[p][:k] if i is not None]
+        return out
 
 
 def _least(n_bad: float) -> float:
@@ -92,7 +129,7 @@ def _telling(bad: dict, good: dict, n_bad: float, n_good: float) -> list[str]:
     return sorted(found, key=lambda x: (-bad[x] / (1 + 3 * good.get(x, 0) * n_bad / n_good), -len(x), x))
 
 
-def _candidates(texts: list[str], y: np.ndarray, weight: np.ndarray, pool: int = 2000) -> set[str]:
+def _candidates(texts: list[str], y: np.ndarray, weight: np.ndarray, pool: int = POOL) -> set[str]:
     """The telling terms, found without holding the terms of all documents: first hashes are counted, then the terms
     whose hash has enough support, then those among clean documents."""
     toxic, clean = (np.flatnonzero(y == c).tolist() for c in (1, 0))
@@ -115,7 +152,7 @@ def _candidates(texts: list[str], y: np.ndarray, weight: np.ndarray, pool: int =
     return set(_telling(bad, good, n_bad, n_good)[:pool])
 
 
-def mine(found: list[set[str]], y: np.ndarray, weight: np.ndarray, most: int = 60, pool: int = 2000) -> tuple[list[str], list[str]]:
+def mine(found: list[set[str]], y: np.ndarray, weight: np.ndarray, most: int = VOTERS, pool: int = POOL) -> tuple[list[str], list[str]]:
     """Terms that cover the toxic documents (lexicon voters), and the pool of telling terms they come from."""
     bad, good = Counter(), Counter()
     for t, label, w in zip(found, y, weight, strict=True):
@@ -147,7 +184,8 @@ def votes(texts: list[str], found: list[set[str]], lexicon: list[str]) -> np.nda
     n = len(_SEED_WORDS) + len(lexicon)
     for i, (text, t) in enumerate(zip(texts, found, strict=True)):
         out[i, :n] = [bool(s & t) for s in _SEED_WORDS.values()] + [x in t for x in lexicon]
-        out[i, n:-1] = [bool(p.search(text)) for p in PATTERNS.values()]
+        words = words_of(text)
+        out[i, n:-1] = [p(text, words) for p in PATTERNS.values()]
         out[i, -1] = 0 if out[i, :n].any() else -1
     return out
 
@@ -211,13 +249,17 @@ class Classifier:
         self.wanted = Wanted(names)
         self.w = np.zeros(len(names) + len(PATTERNS) + 1)
 
-    def _rows(self, texts: list[str], found: list[set[str]]) -> list[list[int]]:
-        n, index = len(self.wanted.index), self.wanted.index
-        return [[index[t] for t in f if t in index] + [n + j for j, p in enumerate(PATTERNS.values()) if p.search(text)] + [len(self.w) - 1] for text, f in zip(texts, found, strict=True)]
+    def _rows(self, texts: list[str]) -> list[list[int]]:
+        n, last = len(self.wanted.index), len(self.w) - 1
+        out = []
+        for text in texts:
+            words = words_of(text)
+            out.append([*self.wanted.numbers(words), *(n + j for j, p in enumerate(PATTERNS.values()) if p(text, words)), last])
+        return out
 
-    def fit(self, texts, found, target: np.ndarray, weight: np.ndarray, rounds: int = 400) -> Classifier:
+    def fit(self, texts, target: np.ndarray, weight: np.ndarray, rounds: int = 400) -> Classifier:
         x = np.zeros((len(texts), len(self.w)), np.float32)
-        for i, r in enumerate(self._rows(texts, found)):
+        for i, r in enumerate(self._rows(texts)):
             x[i, r] = 1
         self.w[-1], m, s = -2.0, np.zeros_like(self.w), np.zeros_like(self.w)
         pull = np.full(len(self.w), 2e-4)
@@ -230,25 +272,23 @@ class Classifier:
         return self
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        texts = [t or "" for t in texts]
-        rows = self._rows(texts, [terms(t, self.wanted) for t in texts])
+        rows = self._rows([t or "" for t in texts])
         z = np.array([self.w[r].sum() for r in rows]) if rows else np.empty(0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Learns from labelled rows outside the held-out fold and from unlabelled rows; per_class bounds what comes to the driver."""
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("t")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where((fold(F.col("id"), folds) != held_out) & F.col("y").isin(0, 1))
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, voters: int = VOTERS, pool: int = POOL,
+    folds: int = FOLDS, held_out: int = HELD_OUT, id_col: str = "doc_id", text_col: str = "text",
+) -> Classifier:
+    """Learns from labelled rows outside the held-out fold and from unlabelled rows; per_class and most_bytes bound what comes to the driver."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where((fold(F.col("id"), folds) != held_out) & F.col("y").isin(0, 1)).distinct()
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = bounded_sample(known, F.col("id"), F.col("y"), per_class, "toxicity")
-    rows = docs.select(F.col(id_col).alias("id"), text).join(F.broadcast(chosen), "id").select("t", "y").collect()
+    rows = labelled_texts(docs, bounded_sample(known, F.col("id"), F.col("y"), per_class, "toxicity"), id_col, text_col, most_bytes)
     # rows of any kind, their labels unseen
-    total = docs.count()
-    share = F.pmod(F.xxhash64(F.lit("any"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    more = docs.where((share * total < per_class) & (fold(F.col(id_col), folds) != held_out)).select(text, F.lit(-1).alias("y")).collect()
-    rows = sorted((r.y, r.t) for r in [*rows, *more])
-    del more
+    others = docs.select(F.col(id_col).alias("id"), F.lit(-1).alias("y")).where(F.col("id").isNotNull() & (fold(F.col("id"), folds) != held_out))
+    rows += labelled_texts(docs, bounded_sample(others, F.col("id"), F.col("y"), per_class, "any"), id_col, text_col, most_bytes)
+    rows = sorted((y, t) for t, y in rows)
     texts, y = [t for _, t in rows], np.array([a for a, _ in rows])
     copies = Counter(clusters := [(a, _cluster(t)) for a, t in rows])
     weight = np.array([1 / copies[c] for c in clusters])
@@ -257,14 +297,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     natural = weight * np.array([share_of.get(a, 1.0) / max([1e-9, *share_of.values()]) if a >= 0 else 1.0 for a in y.tolist()])
     labelled = y >= 0
     seeds = {w for s in _SEED_WORDS.values() for w in s}
-    held = Wanted(sorted(_candidates(texts, y, weight) | seeds))
+    held = Wanted(sorted(_candidates(texts, y, weight, pool) | seeds))
     found = [terms(t, held) for t in texts]
-    lexicon, pool = mine([f for f, k in zip(found, labelled, strict=True) if k], y[labelled], weight[labelled]) if len(taken) == 2 else ([], [])
+    lexicon, telling = mine([f for f, k in zip(found, labelled, strict=True) if k], y[labelled], weight[labelled], voters, pool) if len(taken) == 2 else ([], [])
     v = votes(texts, found, lexicon) if texts else np.zeros((0, 1))
-    model = Classifier(sorted({*pool, *lexicon, *seeds}))
+    model = Classifier(sorted({*telling, *lexicon, *seeds}))
     if texts:
         target = LabelModel().fit(v, natural, y).posterior(v)
-        model.fit(texts, found, target, weight)
+        model.fit(texts, target, weight)
     else:
         model.w[-1] = -2.0
     model.lexicon = lexicon
