@@ -49,7 +49,7 @@ def test_spans_and_items_are_those_of_brute_force(spark, block_bytes):
         r = got[i]
         assert r.text == t and r.n_words == n
         assert {k for s in r.spans for k in range(s["first"], s["last"])} == hit
-        assert set(r["items"]) == found - {None}
+        assert set(r["items"]) == {str(x) for x in found - {None}}
         assert all(a["last"] < b["first"] for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
@@ -64,3 +64,26 @@ def test_spans_are_cut_out_of_the_text():
     assert dc.remove_spans("a b c", [(0, 3)]) == ""
     assert dc.remove_spans(None, [(0, 1)]) is None
     assert dc.remove_spans("Émile reste ici", [(0, 1)]) == " reste ici"
+
+
+def test_item_ids_need_not_be_numbers(spark):
+    bench = spark.createDataFrame([("b-2", "one two three"), ("a,1", "two three four"), ("b-2", "one two three")], "item_id string, text string")
+    assert dc.contamination(docs(spark, ["zero one two three four"]), bench).first()["items"] == ["a,1", "b-2"]
+
+
+def test_windows_of_a_whole_block_are_small():
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"word{i}" for i in range(200_000)])
+    items = [(str(i), " ".join(words[np.minimum(rng.zipf(1.3, 2000), 200_000) - 1])) for i in range(400)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    windows = dc.Windows(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scale = dc.BLOCK_BYTES / size
+    assert peak * scale < 300 << 20 and len(pickle.dumps(windows)) * scale < 100 << 20
+    n, (starts, ends, owner) = next(iter(windows.by_length.items()))
+    assert n == 10 and ends[-1] == len(owner) >= len(starts) and windows.items_of(10, 0)

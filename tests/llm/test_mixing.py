@@ -48,3 +48,13 @@ def test_repeated_ids_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", None), (2, None, "s")], "doc_id long, text string, source string")
     assert mixing.mix(rows).count() == 4
     assert mixing.mix(rows.limit(0)).count() == 0 and mixing.mixed(rows.limit(0)).count() == 0
+
+
+def test_names_that_clash_and_many_sources(spark, monkeypatch):
+    table = docs(spark, ["a b", "c", None, "d e f"] * 20, extra=True).withColumnsRenamed({"score": "copy", "row": "s", "items": "whole"})
+    got = mixing.mixed(table)
+    assert got.columns == [*table.columns, "copy_"] and {r["copy"] for r in got.collect()} == {0.5}
+    few = sorted(map(str, mixing.mix(table).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(map(str, mixing.mix(table).collect())) == few
+    assert sorted(map(str, mixing.mixed(table).collect())) == sorted(map(str, got.collect()))

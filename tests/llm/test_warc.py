@@ -34,6 +34,10 @@ def test_archives_read_back_whole(spark, folder):
     assert kinds == sorted(((r[0], "revisit" if r[0] in revisits else "response", revisits.get(r[0])) for r in ROWS), key=str)
     page = b"".join(bodies[(13, "response", "u", "")])
     assert page == b"x" * 100
+    longest = max((b"".join(x) for x in bodies.values()), key=len)
+    assert longest.startswith(BIG.encode()) and max(c.chunk_no for c in chunks) == -(-len(BIG.encode()) // (1 << 14)) - 1
+    made = sorted((tuple(r) for r in warc.records(warc.read_chunks(manifest, chunk=1 << 14), chunk=1 << 14).collect()), key=str)
+    assert made == sorted(((*w, "revisit" if w[0] in revisits else "response", revisits.get(w[0])) for w in want), key=str)
 
 
 def test_records_are_standard_members(spark, folder):

@@ -10,11 +10,12 @@ exact, and keeps the index to a few hundredths of the words.  Over that text:
 * what the occurrences cover is merged into spans of words to remove.
 
 The benchmark is taken in blocks of bounded size, each one more map over the same rows, so there is no shuffle and no
-pair of document and item beyond those that do occur.
+pair of document and item beyond those that do occur.  A block's windows are arrays (Windows): its words as numbers one
+after another, and where windows begin; blocks are settled one after another, with the rows written in between.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  Cases: null or wordless text has no word, no
-hit, no item.  An item without words has no window; one with a null id marks words but is not listed.  Items repeated
-under one id count once.  Empty tables give empty results (no benchmark: no hits).  Further columns are passed over.
+hit, no item.  An item without words has no window; one with a null id marks words but is not listed.  Item ids may be
+of any type; they are listed as strings.  Items repeated under one id count once.  Empty tables give empty results (no benchmark: no hits).  Further columns are passed over.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.common import cut
+
 WINDOW = 10
 #: Bytes of benchmark text that are broadcast at a time, and words in a shard's index.
 BLOCK_BYTES, SHARD_WORDS, SHARD_DOCS = 16 << 20, 1 << 18, 1 << 15
@@ -117,24 +120,70 @@ def _suffix_array(text: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def _same(text: np.ndarray, n: int) -> np.ndarray:
+    """For each place where n symbols follow: a number, equal for equal runs of n symbols."""
+
+    def joined(a: np.ndarray, size: int, b: np.ndarray) -> np.ndarray:
+        both = a[: max(0, len(b) - size)] * (int(b.max(initial=0)) + 1) + b[size:]
+        return np.unique(both, return_inverse=True)[1].astype(np.int64)
+
+    power, size, out, done = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, None, 0
+    while True:
+        if n & size:
+            out, done = (power, size) if out is None else (joined(out, done, power), done + size)
+        if done == n:
+            return out
+        power, size = joined(power, size, power), 2 * size
+
+
 class Windows:
-    """Distinct windows of some items: words to symbols, patterns by length, and the items of each pattern."""
+    """Distinct windows of some items as arrays: the words of all items as numbers, and for each length of windows where
+    each of them begins and which items have it."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], width: int = WINDOW):
-        found: dict[tuple[bytes, ...], set] = {}
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WINDOW):
+        # 0: in no window, 1: between runs
+        self.symbols: dict[bytes, int] = {}
+        self.ids = sorted({i for i, _ in items if i is not None})
+        number, parts, begins, at = {x: k for k, x in enumerate(self.ids)}, [], {}, 0
         for item, text in items:
             words = words_of(text)
-            for at in range(max(1, len(words) - width + 1) if words else 0):
-                found.setdefault(tuple(words[at : at + width]), set()).add(item)
-        # 0: in no window, 1: between runs
-        self.symbols = {w: i for i, w in enumerate(sorted({w for p in found for w in p}), 2)}
-        self.by_length = {}
-        for p, ids in sorted(found.items()):
-            self.by_length.setdefault(len(p), ([], []))
-            self.by_length[len(p)][0].append([self.symbols[w] for w in p])
-            self.by_length[len(p)][1].append(sorted(i for i in ids if i is not None))
-        self.by_length = {n: (np.array(p, np.int64), ids) for n, (p, ids) in self.by_length.items()}
-        self.member = {n: np.isin(np.arange(len(self.symbols) + 2), p) for n, (p, _) in self.by_length.items()}
+            if not words:
+                continue
+            parts.append(np.fromiter((self.symbols.setdefault(w, len(self.symbols) + 2) for w in words), np.int32, len(words)))
+            n = min(len(words), width)
+            begins.setdefault(n, []).append((at, len(words) - n + 1, number.get(item, -1)))
+            at += len(words)
+        self.text = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        del parts
+        self.by_length, self.member = {}, {}
+        for n, found in begins.items():
+            first, count, item = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            starts = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            owner = np.repeat(item, count)
+            self.member[n] = np.zeros(len(self.symbols) + 2, bool)
+            for j in range(n):
+                self.member[n][self.text[starts + j]] = True
+            same = _same(self.text, n)[starts]
+            order = np.lexsort((owner, same))
+            starts, owner, same = starts[order], owner[order], same[order]
+            new = np.append(True, same[1:] != same[:-1])
+            listed = (np.append(True, owner[1:] != owner[:-1]) | new) & (owner >= 0)
+            ends = np.cumsum(listed)[np.append(np.flatnonzero(new)[1:], len(new)) - 1]
+            self.by_length[n] = (starts[new].astype(np.int32), np.append(0, ends).astype(np.int32), owner[listed].astype(np.int32))
+
+    def items_of(self, n: int, pattern: int) -> list[str]:
+        _, ends, owner = self.by_length[n]
+        return [self.ids[i] for i in owner[ends[pattern] : ends[pattern + 1]].tolist()]
+
+    def candidates(self, n: int, present: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of patterns, their symbols) of the windows of n words all of which are present, some at a time."""
+        starts = self.by_length[n][0]
+        which = np.arange(len(starts), dtype=np.int32)
+        for j in range(n):
+            which = which[present[self.text[starts[which] + j]]]
+        for at in range(0, len(which), most):
+            some = which[at : at + most]
+            yield some, self.text[starts[some][:, None] + np.arange(n)].astype(np.int64)
 
     def runs(self, symbols: np.ndarray) -> np.ndarray:
         """Whether each word lies in a run that can hold a whole window."""
@@ -175,12 +224,15 @@ class _Shard:
         rows, at = np.concatenate(rows), np.concatenate(at)
         index = FMIndex(np.concatenate(parts))
         change, items = np.zeros(len(rows) + 1, np.int64), {}
-        for n, (patterns, ids) in self.windows.by_length.items():
-            which, where = index.search(patterns)
-            np.add.at(change, where, 1)
-            np.add.at(change, where + n, -1)
-            for row, pattern in np.unique(np.stack([rows[where], which], 1), axis=0).tolist() if len(where) else ():
-                items.setdefault(row, set()).update(ids[pattern])
+        present = np.zeros(len(self.windows.symbols) + 2, bool)
+        present[np.concatenate(parts)] = True
+        for n in self.windows.by_length:
+            for numbers, patterns in self.windows.candidates(n, present):
+                which, where = index.search(patterns)
+                np.add.at(change, where, 1)
+                np.add.at(change, where + n, -1)
+                for row, pattern in np.unique(np.stack([rows[where], numbers[which]], 1), axis=0).tolist() if len(where) else ():
+                    items.setdefault(row, set()).update(self.windows.items_of(n, pattern))
         covered = np.cumsum(change)[:-1] > 0
         out = {}
         for row in items:
@@ -220,7 +272,7 @@ def _search(shared, keep_text: bool):
                     items[i] = sorted({*items[i], *ids})
                 n = pa.array(counts[at : at + part.num_rows], pa.int64())
                 at += part.num_rows
-                new = {"n_words": n, "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.int64()))}
+                new = {"n_words": n, "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(k, part.column(k)) for k in part.schema.names], names=part.schema.names)
 
         for batch in batches:
@@ -240,17 +292,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, te
     """(row, n_words, spans, items), a row for each row of docs: a struct of its other columns, the word spans
     [first, last) to remove, and the items whose windows occur.  keep_text: also the text."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    out = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"))
+    out = docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     schema = out.schema
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Windows([tuple(r) for r in rows], width))
         keep = keep_text or block < blocks - 1
         out = out.mapInArrow(_search(shared, keep), T.StructType([f for f in schema.fields if keep or f.name != "text"]))
+        if block < blocks - 1:
+            out = cut(out)  # so that a task never holds the windows of two blocks
+            shared.destroy()
     return out
 
 
@@ -274,7 +329,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return found.select(
         "row.doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 
 

@@ -13,7 +13,11 @@ target by at most half the words under one hash.
 
 Hashes are the first 60 bits of the id's md5, so reruns agree.  Cases: null text has size 0; documents of size 0 count
 as taken 0 words.  Rows of one doc_id share a hash and are taken together.  A null source is a source of its own; a null
-doc_id hashes like the empty string.  An empty table gives an empty result.  Extra columns are passed over.
+doc_id hashes like the empty string.  An empty table gives an empty result.  Extra columns are passed over; where one is
+named `copy`, the number of a copy is in `copy_`, and so on.
+
+The plan has a row for each source.  Up to BROADCAST of them are broadcast, so texts aren't dealt out by source; plans
+of more sources are joined with each source's rows dealt into parts.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, salted
 
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
 LEVELS, BITS = 5, 12
+#: Rows of a plan that are broadcast at most (about 100 bytes each).
+BROADCAST = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,6 +59,15 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def with_plan(rows: DataFrame, plan: DataFrame, source: Column, spread: Column) -> DataFrame:
+    """rows with the columns of their source's row in the plan (s, ...), which is written out."""
+    keyed = plan.withColumn("__none", F.col("s").isNull()).withColumn("__source", F.coalesce("s", F.lit(""))).drop("s")
+    at = rows.withColumns({"__none": source.isNull(), "__source": F.coalesce(source, F.lit(""))})
+    if plan.count() <= BROADCAST:
+        return at.join(F.broadcast(keyed), ["__none", "__source"]).drop("__none", "__source")
+    return salted(at, keyed, ["__none", "__source"], spread).drop("__none", "__source")
+
+
 def plan_mix(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """(s, source_size, target, whole, threshold), a row for each source of (source, size, hash)."""
     plan = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
@@ -62,7 +77,7 @@ def plan_mix(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     plan = cut(plan.withColumns({"prefix": F.lit(0).cast("long"), "under": F.lit(0).cast("long")}))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        at = thin.join(plan.select(F.col("source").alias("s"), "prefix", "under", "lack"), F.col("source").eqNullSafe(F.col("s")))
+        at = with_plan(thin, plan.select(F.col("source").alias("s"), "prefix", "under", "lack"), F.col("source"), F.col("hash"))
         inside = at.where(F.shiftright("hash", shift + BITS) == F.col("prefix")) if level > 1 else at
         sums = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.first("under").alias("under"), F.first("lack").alias("lack"))
         run = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
@@ -83,23 +98,26 @@ def _copies(hash_: Column, most: int) -> Column:
 
 
 def _thin(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")))
+    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), a row for each row of docs."""
     thin = _thin(docs, id_col, text_col, source_col)
     plan = plan_mix(thin, weights, budget, most)
-    out = thin.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("hash"), most))
+    out = with_plan(thin, plan, F.col("source"), F.col("hash")).withColumn("copies", _copies(F.col("hash"), most))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with `copy` from 1 on, which must be a new name."""
-    plan = plan_mix(_thin(docs, id_col, text_col, source_col), weights, budget, most).select(F.struct("*").alias("__plan"))
-    joined = docs.join(plan, F.col(f"`{source_col}`").eqNullSafe(F.col("__plan.s")))
-    copies = F.least(F.col("__plan.whole") + (id_hash(F.col(id_col)) < F.col("__plan.threshold")).cast("long"), F.lit(most).cast("long"))
-    rows = joined.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.expr("cast(array() as array<long>)"))))
+    """The mix itself: each row of docs as often as it is taken, with its number from 1 on in a new column `copy`."""
+    plan = plan_mix(_thin(docs, id_col, text_col, source_col), weights, budget, most).select("s", F.struct("whole", "threshold").alias("__plan"))
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
+    joined = with_plan(docs, plan, F.col(f"`{source_col}`").cast("string"), id_hash(F.col(f"`{id_col}`")))
+    copies = F.least(F.col("__plan.whole") + (id_hash(F.col(f"`{id_col}`")) < F.col("__plan.threshold")).cast("long"), F.lit(most).cast("long"))
+    rows = joined.withColumn(name, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.expr("cast(array() as array<long>)"))))
     return rows.drop("__plan")
 
 

@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, shared_dir
+from tracewell.llm.common import cut, salted, shared_dir, slot_split
+from tracewell.plans.materialize import remove
 
 CHUNK, LEAST, DATE = 64 << 10, 100, "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,14 +45,20 @@ def record_id(page_id: int | None, digest: str) -> str:
 
 
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, html, payload_digest, payload_bytes, refers_to), a row for each row of pages."""
+    """(page_id, url, html, payload_digest, payload_bytes, refers_to), a row for each row of pages.
+
+    Only digests are dealt out to find equal payloads; of the pages only those whose digest may occur under several ids
+    are, and one digest's pages go to several tasks."""
     html = F.coalesce("html", F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     named = base.withColumns({"payload_digest": F.sha2("html", 256), "payload_bytes": F.octet_length("html").cast("long")})
     thin = named.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    firsts = thin.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("most")).where("refers_to < most").drop("most")
-    revisits = thin.distinct().join(firsts, "payload_digest").where("page_id > refers_to")
-    return named.join(revisits, ["page_id", "payload_digest"], "left")
+    firsts = cut(thin.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("most")).where("first < most").select("payload_digest", "first"))
+    some, others = slot_split(named, F.col("payload_digest"), firsts, F.col("payload_digest"))
+    met = salted(some, firsts, ["payload_digest"], F.col("page_id"), "left", parts=32)
+    refers_to = F.when(F.col("page_id") > F.col("first"), F.col("first"))
+    names = ("page_id", "url", "html", "payload_digest", "payload_bytes")
+    return met.select(*names, refers_to.alias("refers_to")).unionByName(others.select(*names, F.lit(None).cast("long").alias("refers_to")))
 
 
 def _record(page_id, url, digest: str, size: int, refers_to) -> tuple[bytes, bytes, bool]:
@@ -114,7 +121,7 @@ def _fields(stream) -> dict[str, str]:
     return out
 
 
-def read_archive(stream, chunk: int = CHUNK, with_payload: bool = True) -> Iterator[tuple]:
+def read_archive(stream, chunk: int = CHUNK) -> Iterator[tuple]:
     """Chunk rows of one archive's records."""
     data = gzip.GzipFile(fileobj=stream)
     while line := data.readline(1 << 16):
@@ -143,13 +150,13 @@ def read_archive(stream, chunk: int = CHUNK, with_payload: bool = True) -> Itera
             done += len(part)
             if done == left and sha.hexdigest() != digest:
                 raise ValueError(f"{base[0]} doesn't have the digest in its header")
-            yield (*base, no, part if with_payload else None, done, sha.hexdigest(), done == left)
+            yield (*base, no, part, done, sha.hexdigest(), done == left)
             no += 1
             if done == left:
                 break
 
 
-def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_payload: bool = True) -> DataFrame:
+def read_chunks(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The chunked record table of the archives that the manifest names."""
     names = [f.split()[0] for f in CHUNKS.split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
@@ -163,9 +170,9 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_payload: bool = Tr
             for path in batch.column("path").to_pylist():
                 fs, at = pyarrow.fs.FileSystem.from_uri(path)
                 with fs.open_input_stream(at, compression=None, buffer_size=1 << 18) as stream:
-                    for row in read_archive(stream, chunk, with_payload):
+                    for row in read_archive(stream, chunk):
                         rows.append(row)
-                        size += 200 + len(row[6] or b"")
+                        size += 200 + len(row[6])
                         if size > 4 << 20:
                             yield table(rows)
                             rows, size = [], 0
@@ -175,13 +182,22 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK, with_payload: bool = Tr
     return manifest.select("path").mapInArrow(run, CHUNKS)
 
 
+def records(chunks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the chunked record table: each record's last
+    chunk has the length and the digest of all its chunks.  A chunk that isn't as long as it says is an error."""
+    grown = F.col("bytes_so_far") - F.col("chunk_no") * chunk
+    whole = (F.col("record_type") == "revisit") | (F.octet_length("chunk") == grown)
+    checked = chunks.where(F.when(whole, F.col("last")).otherwise(F.raise_error(F.concat(F.lit("a chunk is missing of "), "record_id"))))
+    return checked.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
-    """Whole `pages`, written to archives in the shared folder and read back."""
+    """Whole `pages`, written to archives in the shared folder and read back; the archives go once their rows are written."""
     folder = shared_dir(spark)
-    folder = folder if ":" in folder else f"file://{folder}"
-    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{folder}/warc-{uuid.uuid4().hex}")
-    chunks = read_chunks(manifest, with_payload=False)
-    return chunks.where("last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+    folder = f"{folder if ':' in folder else f'file://{folder}'}/warc-{uuid.uuid4().hex}"
+    out = cut(records(read_chunks(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder))))
+    remove(spark, folder)
+    return out
 
 
 ORACLE_OP3 = """
