@@ -86,3 +86,18 @@ def test_the_flip_bound_misses_no_more_than_the_bands(threshold):
         flips.append(int((np.bincount(rng.integers(0, neardup.SKETCH_BITS, 2 * k), minlength=neardup.SKETCH_BITS) & 1).sum()))
     for at in (20, 40, 60, 80):
         assert abs(np.mean(np.array(flips) > at) - rates[at]) < 0.04
+
+
+def test_an_id_of_several_texts_is_the_one_of_the_smallest_hash(spark):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "one two")
+    rows = spark.createDataFrame([(5, a), (5, b), (2, a), (3, b), (4, c), (5, None), (9, "x"), (9, "x")], "doc_id long, text string")
+    first = min((r for r in rows.where("doc_id = 5").selectExpr("text", "xxhash64(text) h").collect()), key=lambda r: r.h).text
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(rows).collect()), key=str)
+    own = {a: 2, b: 3, None: 5}[first]
+    want = [(2, 3, 2), (3, 3, 3), (4, 1, 4), (5, 3, own), (5, 3, own), (5, 0, own), (9, 1, 9), (9, 1, 9)]
+    assert got == sorted(want, key=str)
+
+
+def test_ids_that_are_no_numbers_are_null(spark):
+    rows = spark.createDataFrame([("x1", "a b c d"), ("7", "a b c d")], "doc_id string, text string")
+    assert sorted(map(str, neardup.near_duplicates(rows).select("doc_id", "component_id", "kept").collect())) == ["Row(doc_id=7, component_id=7, kept=True)", "Row(doc_id=None, component_id=None, kept=True)"]

@@ -85,7 +85,7 @@ def edited_text(text: Column, n: Column, following: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row of docs."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(F.col(id_col).try_cast("long"), F.lit(LEAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     h1, h2 = digests(F.col("canon"), bits)
     hashed = base.withColumn("canon", canonical(F.col("text"))).withColumns({"h1": h1, "h2": h2}).drop("canon", "doc_id")
     rows = with_next(hashed)

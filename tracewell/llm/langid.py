@@ -135,7 +135,7 @@ def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         lang, score, lead = zip(*map(shared.value.predict, texts), strict=True)
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())]
 
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    thin = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return beside_text(thin, "text", "lang_pred string, score double, lead double", run, keep_text=False).select("row.doc_id", "lang_pred", "score", "lead")
 
 

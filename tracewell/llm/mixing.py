@@ -98,7 +98,7 @@ def _copies(hash_: Column, most: int) -> Column:
 
 
 def _thin(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")))
+    return cut(docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("hash")))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

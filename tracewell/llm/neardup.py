@@ -8,18 +8,22 @@ Plan, for documents whose shingle sets have a Jaccard similarity of `numerator /
 2.  Documents that share a band key meet in a bucket.  A bucket never emits its pairs: each member is linked to the
     bucket's smallest member (its hub), and of a document's hubs the most similar by the sketches is confirmed first.
 3.  A pair is confirmed on the two whole texts.  Confirmed links give components.
-4.  Buckets that still span several components are settled, a few bands at a time.  A semi-join keeps the members that
-    the XOR population count of the sketches lets through to a member of another component.  The members outside a
-    bucket's largest component are the queries, set against all members in blocks of bounded size inside one task:
-    most similar first, on whole shingle sets, and two components that a link joined are not compared again.  So pairs
-    never become rows, no link between components is lost to a cap, and thousands of copies cost one link a copy.
+4.  Buckets that still span several components are settled, a few bands at a time.  The members outside a bucket's
+    largest component are the queries, set against all members in blocks inside a task: first blocks of SKETCH_BLOCK
+    members without their texts, which keep the members that the XOR population count of the sketches lets through to
+    a member of another component; then blocks of BLOCK members or BLOCK_BYTES of shingles of these: most similar
+    first, on whole shingle sets, and two components that a link joined are not compared again.  So pairs never become
+    rows, no link between components is lost to a cap, and thousands of copies cost one link a copy.
+
+A key, hub or label that a third of all rows have is dealt into parts wherever it is joined on (common.salted, _dealt).
 
 30 bands of 4 miss a pair at similarity 0.85 with probability (1 - 0.85**4)**30 = 2e-10, at 0.8 with 1e-7.  The
 population-count bound comes from the exact law of the flips at the threshold, so that it misses no more than the bands.
 
 Cases: null or blank text has an empty set, is linked with nothing and is its own component.  Fewer words than w: the
-whole sequence is one shingle.  Equal rows are one class.  Rows of one doc_id count as one document.  A null doc_id is
-never linked; its component_id is null and it is kept.  An empty table gives an empty result.
+whole sequence is one shingle.  Equal rows are one class.  Rows of one doc_id count as one document, whose links are those
+of its text of the smallest hash; n_shingles is each row's own.  A null doc_id is never linked; its component_id is null
+and it is kept.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, slot_filter
+from tracewell.llm.common import cut, salted, slot_filter
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 30, 4, 256
-#: Members of a bucket that one task sets against the queries at a time.
-BLOCK = 1024
+#: Members of a bucket that one task sets against the queries at a time: by sketches alone, and with their texts.
+SKETCH_BLOCK, BLOCK, BLOCK_BYTES = 4096, 1024, 32 << 20
+#: Rows of one key that stay together where keys are dealt into parts.
+TOGETHER = 256
 #: Bands whose buckets are settled together: first a few, which join most components, then the rest.
 BAND_ROUNDS = ((0, 1), (2, BANDS - 1))
 _U = np.uint64
@@ -122,21 +128,38 @@ def _signatures(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(pa.int64()),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel())),
                         *(pa.array(sketch[:, i]) for i in range(sketch.shape[1])),
                     ],
-                    names=["id", "n_shingles", "set_key", "bands", "s0", "s1", "s2", "s3"],
+                    names=["id", "h", "n_shingles", "set_key", "bands", "s0", "s1", "s2", "s3"],
                 )
 
     return run
 
 
 def signatures(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_key, bands, s0..s3), a row for each row of docs."""
-    schema = "id long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_signatures(width), schema)
+    """(id, h, n_shingles, set_key, bands, s0..s3), a row for each row of docs; h is the hash of the text."""
+    schema = "id long, h long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+    return _named(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(_signatures(width), schema)
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).alias("text"))
+
+
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of these ids; of an id's texts that of the smallest hash."""
+    return slot_filter(_named(docs, id_col, text_col), F.col("id"), ids, F.col("id")).groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", F.col("t.text").alias("text"))
+
+
+def _dealt(many: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """many with `part`, so that TOGETHER rows of a key or so have the same one, and (key, parts) of keys with several."""
+    hot = cut(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")).where("parts > 1"))
+    with_parts = salted(many, hot, [key], F.col(by), "left")
+    return with_parts.withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), hot
 
 
 def flips_at(similarity: float) -> float:
@@ -169,10 +192,6 @@ def _flip_bound(threshold: float) -> int:
     return int(np.argmax(miss_rates(threshold) <= (1 - threshold**ROWS) ** BANDS))
 
 
-def _flips(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-
-
 def _confirm(width: int, numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, right = _WordHashes(), object(), None
@@ -193,11 +212,12 @@ def _confirm(width: int, numerator: int, denominator: int):
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose whole texts are that similar.  Only texts that the pairs name are moved."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = slot_filter(named, F.col("id"), ids, F.col("id")).groupBy("id").agg(F.max("text").alias("text"))
+    texts = _texts(docs, ids, id_col, text_col)
+    dealt, hot = _dealt(pairs.select("a", "b"), "b", "a")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("left_text"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right_text"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right_text")).join(hot, "b", "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    rows = dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "left_text", "right_text")
     return rows.mapInArrow(_confirm(width, numerator, denominator), "a long, b long")
 
 
@@ -210,10 +230,10 @@ def components(links: DataFrame) -> DataFrame:
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
+        near = salted(both, labels.withColumnRenamed("id", "b"), ["b"], F.col("a")).groupBy("a").agg(F.min("component").alias("near"))
         moved = labels.join(near, labels.id == near.a, "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("component").alias("further"))
-        new = cut(moved.join(jump, "new", "left").select("id", "old", F.least("new", "further").alias("component")))
+        new = cut(salted(moved, jump, ["new"], F.col("id"), "left").select("id", "old", F.least("new", "further").alias("component")))
         if new.where(F.col("old") != F.col("component")).isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")
@@ -234,7 +254,8 @@ def _settle(width: int, numerator: int, denominator: int, bound: int):
 
         def whole(i):
             if i not in sets:
-                sets[i] = shingle_set(texts[i], width, words)
+                column, row = texts[i]
+                sets[i] = shingle_set(column[row].as_py(), width, words)
             return sets[i]
 
         for i in np.flatnonzero(is_query).tolist():
@@ -256,12 +277,12 @@ def _settle(width: int, numerator: int, denominator: int, bound: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = []
-                for *key, i, c, q, m, s0, s1, s2, s3, t in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                found, texts = [], part.column(11)
+                for row, (*key, i, c, q, m, s0, s1, s2, s3) in enumerate(zip(*(x.to_pylist() for x in part.columns[:11]), strict=True)):
                     if key != group:
                         found += links(*_columns(rows)) if rows else []
                         group, rows = key, []
-                    rows.append((i, c, q, m, (s0, s1, s2, s3), t))
+                    rows.append((i, c, q, m, (s0, s1, s2, s3), (texts, row)))
                 if found:
                     yield _pairs(found)
         if rows and (found := links(*_columns(rows))):
@@ -279,28 +300,76 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
 
-def _between(members: DataFrame, comps: DataFrame, sketches: DataFrame, docs: DataFrame, bound: int, block: int, width: int, numerator: int, denominator: int, id_col: str, text_col: str) -> DataFrame:
+def _near(bound: int):
+    """Those rows of a bucket's block that the sketches let through to a row of another component, each once."""
+
+    def near(comps, is_query, is_member, sketch) -> np.ndarray:
+        comp = np.unique(np.array(comps), return_inverse=True)[1]
+        hit, members = np.zeros(len(comp), bool), np.flatnonzero(is_member)
+        queries = np.flatnonzero(is_query)
+        for at in range(0, len(queries), 128):
+            some = queries[at : at + 128]
+            flips = np.bitwise_count(sketch[some][:, None, :] ^ sketch[members][None, :, :]).sum(axis=2)
+            met = (flips <= bound) & (comp[some][:, None] != comp[members][None, :])
+            hit[some] |= met.any(axis=1)
+            hit[members] |= met.any(axis=0)
+        return hit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def kept():
+            hit = near([r[2] for r in rows], np.array([r[8] for r in rows]), np.array([r[9] for r in rows]), np.array([r[4:8] for r in rows], np.int64).view(np.uint64))
+            found = [rows[i][:8] for i in np.flatnonzero(hit).tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["key", "id", "component", "size", "s0", "s1", "s2", "s3"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                for mb, qb, *row in zip(*(x.to_pylist() for x in batch.slice(at, 2048).columns), strict=True):
+                    if (row[0], mb, qb) != group:
+                        if rows:
+                            yield from kept()
+                        group, rows = (row[0], mb, qb), []
+                    rows.append(row)
+        if rows:
+            yield from kept()
+
+    return run
+
+
+def _blocks(members: DataFrame, block: int, block_bytes: int | None) -> DataFrame:
+    """members (key, id, component, size, s0..s3) in the blocks (key, mb, qb) of their bucket in which they are members (m) or
+    queries (q): each member block of a bucket meets each query block, and queries are what isn't in the largest component."""
+
+    def blocks(n, size):
+        by_rows = F.ceil(n / block)
+        return F.greatest(F.lit(1), by_rows if block_bytes is None else F.greatest(by_rows, F.ceil(size * 8 / block_bytes))).cast("int")
+
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    main = F.max_by(F.struct("component", "n", "size"), F.struct("n", "component"))
+    plan = sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    plan = plan.select("key", F.col("main.component").alias("main"), blocks(F.col("n"), F.col("size")).alias("m_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("q_blocks"))
+    rows = salted(members, plan, ["key"], F.col("id")).withColumns({"mb": F.pmod(F.xxhash64("id"), "m_blocks").cast("int"), "qb": F.pmod(F.xxhash64("id", F.lit(1)), "q_blocks").cast("int"), "q": F.col("component") != F.col("main")})
+    # a query is also a member; where both meet it is one row
+    as_member = F.transform(F.sequence(F.lit(0), F.col("q_blocks") - 1), lambda x: F.struct(F.col("mb").alias("mb"), x.alias("qb"), (F.col("q") & (x == F.col("qb"))).alias("q"), F.lit(True).alias("m")))
+    as_query = F.filter(F.transform(F.sequence(F.lit(0), F.col("m_blocks") - 1), lambda x: F.struct(x.alias("mb"), F.col("qb").alias("qb"), F.lit(True).alias("q"), F.lit(False).alias("m"))), lambda x: x["mb"] != F.col("mb"))
+    at = F.explode(F.when(F.col("q"), F.concat(as_member, as_query)).otherwise(as_member))
+    return rows.select("key", "id", "component", "size", "s0", "s1", "s2", "s3", at.alias("at")).select("at.mb", "at.qb", "key", "id", "component", "size", "s0", "s1", "s2", "s3", "at.q", "at.m")
+
+
+def _between(members: DataFrame, comps: DataFrame, sketches: DataFrame, docs: DataFrame, bound: int, block: int, width: int, numerator: int, denominator: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, sketch_block: int = SKETCH_BLOCK) -> DataFrame:
     """Links (a, b) between different components within these buckets; enough of them to join what any link joins."""
     at = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one != other").select("key")
-    full = cut(at.join(mixed, "key").join(sketches, "id"))
-    q, m = full.alias("q"), full.alias("m")
-    near = (F.col("q.key") == F.col("m.key")) & (F.col("q.component") != F.col("m.component")) & (_flips("q", "m") <= bound)
-    involved = cut(q.join(m, near, "left_semi"))  # a row for each document and bucket, no pairs
+    full = cut(salted(at, mixed, ["key"], F.col("id")).join(sketches, "id"))
+    near = _blocks(full, sketch_block, None).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
+    found = near.mapInArrow(_near(bound), "key long, id long, component long, size long, s0 long, s1 long, s2 long, s3 long")
+    involved = cut(found.distinct())  # a row for each document and bucket, no pairs
     if involved.isEmpty():
         return involved.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    sizes = involved.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    plan = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.sum("n") / block).cast("int").alias("m_blocks"), F.greatest(F.lit(1), F.ceil((F.sum("n") - F.max("n")) / block)).cast("int").alias("q_blocks")
-    )
-    rows = involved.join(plan, "key").withColumns({"mb": F.pmod(F.xxhash64("id"), "m_blocks").cast("int"), "qb": F.pmod(F.xxhash64("id", F.lit(1)), "q_blocks").cast("int"), "q": F.col("component") != F.col("main")})
-    as_member = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("key", "mb", "qb", "id", "component", F.lit(False).alias("q"), F.lit(True).alias("m"), "s0", "s1", "s2", "s3")
-    as_query = rows.where("q").withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1))).select("key", "mb", "qb", "id", "component", F.lit(True).alias("q"), F.lit(False).alias("m"), "s0", "s1", "s2", "s3")
-    dealt = as_member.union(as_query).groupBy("key", "mb", "qb", "id", "component").agg(F.max("q").alias("q"), F.max("m").alias("m"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4)))
-    ids = involved.select("id").distinct()
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = slot_filter(named, F.col("id"), ids, F.col("id")).groupBy("id").agg(F.max("text").alias("text"))
-    ready = dealt.join(texts, "id").select("key", "mb", "qb", "id", "component", "q", "m", "s0", "s1", "s2", "s3", "text")
+    texts = _texts(docs, involved.select("id").distinct(), id_col, text_col)
+    ready = _blocks(involved, block, block_bytes).join(texts, "id").select("key", "mb", "qb", "id", "component", "q", "m", "s0", "s1", "s2", "s3", "text")
     ready = ready.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
     return ready.mapInArrow(_settle(width, numerator, denominator, bound), "a long, b long")
 
@@ -311,20 +380,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     how = (width, numerator, denominator, id_col, text_col)
     sig = cut(signatures(docs, width, id_col, text_col))
     known = sig.where("n_shingles > 0 and id is not null")
+    # an id of several texts is the one of the smallest hash
+    several = cut(sig.where("id is not null").groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("id", "one"))
+    of_several = not several.isEmpty()
+    if of_several:
+        known = salted(known, several, ["id"], F.col("h"), "left").where("one is null or one = h").drop("one")
     # copies are thousands of equal rows: their sums are made before the shuffle
-    classes = cut(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
-    sketches = classes.groupBy(F.col("rep").alias("id")).agg(*(F.first(f"s{i}").alias(f"s{i}") for i in range(4)))
+    classes = cut(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
+    sketches = classes.select(F.col("rep").alias("id"), "size", "s0", "s1", "s2", "s3")
     in_bands = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     buckets = in_bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub != most").select("key", "hub")
-    members = cut(in_bands.join(buckets, "key"))
+    members = cut(salted(in_bands, buckets, ["key"], F.col("id")))
     stars = members.where("id != hub").select("id", "hub").distinct()
-    scored = (
-        stars.join(sketches, "id")
-        .alias("x")
-        .join(sketches.withColumnRenamed("id", "hub").alias("y"), "hub")
-        .select(F.col("id").alias("a"), F.col("hub").alias("b"), _flips("x", "y").alias("flips"))
-        .where(F.col("flips") <= bound)
-    )
+    met = salted(stars.join(sketches, "id"), sketches.select(F.col("id").alias("hub"), F.struct("s0", "s1", "s2", "s3").alias("y")), ["hub"], F.col("id"))
+    flips = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("y.s0"))))
+    scored = met.select(F.col("id").alias("a"), F.col("hub").alias("b"), flips.alias("flips")).where(F.col("flips") <= bound)
     best = scored.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = cut(confirm(best, docs, *how))
     comps = components(links)
@@ -335,8 +405,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
             links = cut(links.union(found))
             comps = components(links)
     own = classes.select("set_key", "rep").join(comps, classes.rep == comps.id, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("id", "n_shingles", "set_key").join(own, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
+    out = salted(sig.select("id", "h", "n_shingles", "set_key"), own, ["set_key"], F.coalesce("id", F.lit(0)), "left")
+    if of_several:
+        named = out.join(several, "id").where("one = h").groupBy("id").agg(F.min("component").alias("whose"), F.max("n_shingles").alias("any"))
+        out = salted(out, named, ["id"], F.coalesce("h", F.lit(0)), "left").withColumn("component", F.when(F.col("any").isNull(), F.col("component")).otherwise(F.coalesce("whose", "id")))
+        out = out.withColumn("shown", F.coalesce("any", "n_shingles"))
+    else:
+        out = out.withColumn("shown", F.col("n_shingles"))
+    component = F.when(F.col("shown") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(component).cast("long")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

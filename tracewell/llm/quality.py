@@ -218,7 +218,7 @@ def with_scores(docs: DataFrame, model, text_col: str = "text", keep_text: bool
 
 def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score), a row for each row of docs."""
-    thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    thin = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return with_scores(thin, model, keep_text=False).select("row.doc_id", "score")
 
 

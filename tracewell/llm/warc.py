@@ -50,7 +50,7 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     Only digests are dealt out to find equal payloads; of the pages only those whose digest may occur under several ids
     are, and one digest's pages go to several tasks."""
     html = F.coalesce("html", F.lit(""))
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    base = pages.select(F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     named = base.withColumns({"payload_digest": F.sha2("html", 256), "payload_bytes": F.octet_length("html").cast("long")})
     thin = named.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     firsts = cut(thin.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("most")).where("first < most").select("payload_digest", "first"))
