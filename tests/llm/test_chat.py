@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.llm import chat
@@ -18,6 +19,14 @@ def test_layouts_become_turns(spark):
         '{"instruction":"i","input":null,"output":"o"}': ("instruction with input", [("user", "i"), ("user", ""), ("assistant", "o")]),
         '{"system":"s","prompt":"p","response":"r"}': ("system, prompt and response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
         '{"role":"bot","text":"t"}': ("message row", [("assistant", "t")]),
+        '{"prompt":"p","messages":[{"role":"user","content":"a","extra":{"role":1}}]}': ("messages", [("user", "a")]),
+        '{"system":"s","instruction":"i","input":"n","output":"o"}': ("system, instruction and input", [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")]),
+        '{"role":"user","text":"t","prompt":"p"}': ("message row", [("user", "t")]),
+        '{"data":{"messages":[{"role":"user","content":"a"}]},"n":[1,[2]]}': ("messages", [("user", "a")]),
+        '{"messages":[]}': ("messages", []),
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"type":"image"},"b"]}]}': ("messages", [("user", "ab")]),
+        '{"messages":[{"role":"user","content":[]},{"role":"user","content":"x"}]}': ("messages", [("user", ""), ("user", "x")]),
+        '{"messages":"none"}': (None, None),
         '{"x":1}': (None, None),
         "{bad": (None, None),
         "[]": (None, None),
@@ -25,7 +34,37 @@ def test_layouts_become_turns(spark):
     }
     df = spark.createDataFrame([(k, "clash") for k in records], "j string, text string")
     for r in chat.canonical_turns(df, F.col("j")).collect():
-        assert (r.layout, r.turns and [tuple(t) for t in r.turns]) == records[r.j]
+        assert (r.layout, r.turns if r.turns is None else [tuple(t) for t in r.turns]) == records[r.j], r.j
+
+
+def test_paths_and_fingerprints(spark):
+    records = ['{"a":{"b":[{"c":1,"d e":2}],"f":null},"g":[[1]]}', '{"g":[[5]],"a":{"f":3,"b":[{"d e":1,"c":"x"}]}}', "{}", "[1]", "3"]
+    df = spark.createDataFrame([(r,) for r in records], "j string").withColumn("v", F.try_parse_json("j"))
+    got = df.select(chat.paths_of_record(F.col("v")).alias("p")).withColumn("h", chat.fingerprint(F.col("p"))).collect()
+    assert got[0].p == ["a", "a.b", "a.b[]", "a.b[].c", "a.b[].d e", "a.f", "g", "g[]", "g[][]"] == got[1].p and got[0].h == got[1].h
+    assert got[2].p == [] and got[3].p == ["[]"] and got[4].p == []
+    assert [chat._hash("\n".join(r.p)) for r in got] == [r.h for r in got]
+    nested = spark.createDataFrame([], "a struct<b:array<struct<c:int>>,f:int>, g array<array<int>>")
+    assert chat.paths_of_schema(nested.schema) == ["a", "a.b", "a.b[]", "a.b[].c", "a.f", "g", "g[]", "g[][]"]
+
+
+def test_tables_have_the_layout_of_their_columns(spark):
+    rows = spark.createDataFrame([("p", None, "x")], "question string, answer string, layout string")
+    r = chat.turns_of_rows(rows).first()
+    assert (r.layout, [tuple(t) for t in r.turns]) == ("question and answer", [("user", "p"), ("assistant", "")])
+    with pytest.raises(ValueError, match="no layout"):
+        chat.turns_of_rows(spark.createDataFrame([], "x int"))
+
+
+def test_every_layout_over_whole_conversations(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    names = ["conv_id", "layout", "n_turns", "turn", "turns_sha256"]
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({chat.ORACLE_LAYOUTS})").fetchall(), key=str)
+    got = sorted((tuple(r[n] for n in names) for r in chat.chat_layouts(spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert got == want and {r[1] for r in got} == {name for name, *_ in chat.LAYOUTS} | {None}
 
 
 def test_template_round_trip_and_mask(spark):

@@ -1,8 +1,13 @@
 """Chat formatting: schema fingerprints choose declarative mappings, a template marks turns; DataFrame functions only.
 
-Records are JSON.  Which of the known field paths a record has is hashed, and the hash selects the mapping that turns
-the record into canonical turns (role, text).  LAYOUTS states the mappings: message rows, message lists under two
-namings, prompt and response, instruction with or without input.  Paths that no mapping knows don't count.
+A record's schema is the set of its own nested field paths: `messages`, `messages[]`, `messages[].role` ...  JSON records
+have theirs read out of `schema_of_variant`, tables have theirs from the DataFrame's schema.  The paths' hash is the
+record's fingerprint.  LAYOUTS states, for each layout, the paths that it needs and the turns that they make; a
+fingerprint that is a layout's own is looked up, any other takes the first layout in the order of LAYOUTS, the most
+specific first, whose paths it has.  Further paths don't hide a layout.  A layout may lie within one of ROOTS.
+
+Contents are strings, or lists of parts, whose `text` fields (or strings) are put together.  A list of messages that is
+empty makes no turns, but has its layout.
 
 Template: `<|im_start|>role<|im_sep|>text<|im_end|>` and a line feed for each turn.  Inside roles and texts a backslash
 is doubled and `<|` becomes `<\\|`, so no control string can occur there and the text can be read back exactly.
@@ -11,37 +16,130 @@ A conversation's turns are formatted in pieces of PIECE turn numbers, and pieces
 meet in small groups first.  Each piece carries its loss mask: spans of the formatted text that are assistant texts.
 
 Cases: null text is empty, null role is the empty role.  Turns are ordered by turn (null first), then role, then text;
-repeated rows are repeated turns.  Unknown layouts and broken JSON give no turns (layout null).  Empty tables give empty
-results.  Extra columns are passed over.
+repeated rows are repeated turns.  Unknown layouts and broken JSON give null turns (layout null).  Empty tables give empty
+results.  Extra columns are passed over; in canonical_turns(), columns named `fingerprint`, `layout` or `turns` are
+replaced.  A JSON string of more than 20 million characters is beyond Spark's parser: such a record is broken JSON; rows
+of a table have no such limit.
 """
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 PIECE = 64
-#: Layouts: the paths that tell them, and their turns as (role, path) or (list path, role field, text field).
-LAYOUTS = {
-    "message row": (("role", "text"), "row"),
-    "messages": (("messages[0].role", "messages[0].content"), ("messages", "role", "content")),
-    "conversations": (("conversations[0].from", "conversations[0].value"), ("conversations", "from", "value")),
-    "prompt and response": (("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
-    "prompt and completion": (("prompt", "completion"), (("user", "prompt"), ("assistant", "completion"))),
-    "instruction": (("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
-    "instruction with input": (("instruction", "input", "output"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    "system, prompt and response": (("system", "prompt", "response"), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-}
+#: Layouts, the most specific first: name, and parts in the order of their turns.  A part is a role and the path of its
+#: text, or a list's path with the names of its items' role and text; a trailing `?` marks a text that may be missing.
+LAYOUTS = (
+    ("messages", (("messages", "role", "content"),)),
+    ("conversations", (("conversations", "from", "value"),)),
+    ("system and conversation", (("system", "system"), ("conversation", "role", "content"))),
+    ("conversation", (("conversation", "role", "content"),)),
+    ("system, instruction and input", (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    ("system and instruction", (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    ("instruction with input", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    ("instruction", (("user", "instruction"), ("assistant", "output"))),
+    ("instruction and response", (("user", "instruction"), ("assistant", "response"))),
+    ("system, prompt and response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    ("prompt and response", (("user", "prompt"), ("assistant", "response"))),
+    ("prompt and completion", (("user", "prompt"), ("assistant", "completion"))),
+    ("question and answer", (("user", "question"), ("assistant", "answer"))),
+    ("message row", (("@role", "text"),)),
+)
+#: Fields within which a layout may lie; the record itself first.
+ROOTS = ("", "data.", "record.", "example.")
 #: Role names that other layouts use.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
-PATHS = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
+TURNS = "array<struct<role:string,text:string>>"
+
+
+def needed(parts: tuple, root: str = "") -> tuple[str, ...]:
+    """The paths that a layout needs, sorted."""
+    out = set()
+    for part in parts:
+        if len(part) == 3:
+            items, role, text = part
+            out |= {f"{root}{items}", f"{root}{items}[]", f"{root}{items}[].{role}", f"{root}{items}[].{text}"}
+        else:
+            out |= {f"{root}{part[1]}", *([f"{root}{part[0][1:]}"] if part[0].startswith("@") else [])}
+    return tuple(sorted(out))
+
+
+def paths_of_schema(fields: T.StructType, before: str = "") -> list[str]:
+    """Nested field paths of a DataFrame's schema."""
+    out = []
+
+    def walk(name: str, kind: T.DataType) -> None:
+        out.append(name)
+        if isinstance(kind, T.StructType):
+            out.extend(paths_of_schema(kind, f"{name}."))
+        elif isinstance(kind, T.ArrayType):
+            walk(f"{name}[]", kind.elementType)
+
+    for f in fields:
+        walk(f"{before}{f.name}", f.dataType)
+    return out
+
+
+def paths_of_record(record: Column) -> Column:
+    """Sorted nested field paths of a VARIANT, from the text of its schema.
 
+    The text is taken apart into field names, `OBJECT<`, `ARRAY<` and `>`; a stack holds the paths that are open."""
+    name, token = r"(?:`(?:[^`]|``)*`|[^\s<>:,`]+): ", r"OBJECT<|ARRAY<|>"
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(f"{name}|{token}"), F.lit(0))
+    state = F.expr("named_struct('open', cast(array() as array<string>), 'at', '', 'paths', cast(array() as array<string>))")
 
-def paths_hash(record: Column) -> Column:
-    """Hash of the known field paths that a VARIANT record has; a path with a JSON null is there."""
-    has = [F.when(F.try_variant_get(record, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in PATHS]
-    return F.xxhash64(F.array_join(F.array_compact(F.array(*has)), ","))
+    def step(s: Column, t: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(t, ": $", ""), "^`|`$", "")
+        path = F.concat(F.element_at(s["open"], -1), plain)
+        inner = F.concat(s["at"], F.lit("[]"))
+        here = lambda open_, at, paths: F.struct(open_.alias("open"), at.alias("at"), paths.alias("paths"))
+        dot = F.when(s["at"] == "", "").otherwise(F.concat(s["at"], F.lit(".")))
+        return (
+            F.when(t == "OBJECT<", here(F.concat(s["open"], F.array(dot)), s["at"], s["paths"]))
+            .when(t == "ARRAY<", here(F.concat(s["open"], F.array(F.lit("["))), inner, F.concat(s["paths"], F.array(inner))))
+            .when(t == ">", here(F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0))), s["at"], s["paths"]))
+            .otherwise(here(s["open"], path, F.concat(s["paths"], F.array(path))))
+        )
+
+    # after `>` the next field's path begins with the open object's own, so `at` needn't be taken back
+    return F.array_sort(F.array_distinct(F.aggregate(tokens, state, step, lambda s: s["paths"])))
+
+
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(paths, "\n"))
+
+
+def layout_of(paths: Column) -> Column:
+    """`root` and `name` of the layout of sorted paths: by the fingerprint if it is a layout's own, else the first that fits."""
+    own, fits = {}, F.lit(None).cast("string")
+    rules = []
+    for root in ROOTS:
+        for layout, parts in LAYOUTS:
+            key, need = f"{root}|{layout}", needed(parts, root)
+            outer = [".".join(root.split(".")[: i + 1]) for i in range(root.count("."))]
+            own.setdefault("\n".join(sorted({*need, *outer})), key)
+            whole = F.size(F.array_intersect(paths, F.array(*map(F.lit, need)))) == len(need)
+            lists = [f"{root}{p[0]}" for p in parts if len(p) == 3]
+            if len(lists) == len(parts):  # an empty list has no paths of items
+                whole = whole | (F.array_contains(paths, f"{lists[0]}[]") & ~_any_begins(paths, f"{lists[0]}[]."))
+            rules.append((whole, key))
+    for whole, key in reversed(rules):
+        fits = F.when(whole, key).otherwise(fits)
+    known = F.create_map(*(F.lit(x) for paths_, key in own.items() for x in (_hash(paths_), key)))
+    return F.coalesce(F.try_element_at(known, fingerprint(paths)), fits)
+
+
+def _any_begins(paths: Column, begin: str) -> Column:
+    return F.exists(paths, lambda p: F.startswith(p, F.lit(begin)))
+
+
+def _hash(text: str) -> int:
+    """What xxhash64() of Spark gives for a string."""
+    return xxhash.xxh64_intdigest(text.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(text.encode(), 42) >> 63)
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -51,29 +149,52 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(known.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def _turns_of_list(record: Column, items: str, role: str, text: str) -> Column:
-    rows = F.try_variant_get(record, f"$.{items}", f"array<struct<{role}:string,{text}:string>>")
-    return F.transform(rows, lambda x: _turn(x[role], x[text]))
+def _said(content: Column) -> Column:
+    """A content as text: a string, or the texts of a list of parts put together."""
+    parts = F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda p: F.when(F.startswith(F.schema_of_variant(p), F.lit("OBJECT")), F.try_variant_get(p, "$.text", "string")).otherwise(F.try_variant_get(p, "$", "string")))
+    return F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), F.array_join(F.array_compact(parts), "")).otherwise(F.try_variant_get(content, "$", "string"))
 
 
-def canonical_turns(df: DataFrame, record: Column) -> DataFrame:
-    """df with `layout` (null: none known) and `turns`, array of (role, text), of a JSON text column."""
-    df = df.withColumn("__v", F.try_parse_json(record)).withColumn("__h", paths_hash(F.col("__v")))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-
-    def get(v: Column, path: str) -> Column:
-        return F.try_variant_get(v, f"$.{path}", "string")
-
-    for name, (paths, mapping) in LAYOUTS.items():
-        if mapping == "row":
-            made = F.array(_turn(get(F.col("__v"), "role"), get(F.col("__v"), "text")))
-        elif isinstance(mapping[0], str):
-            made = _turns_of_list(F.col("__v"), *mapping)
+def _turns_of_list(items: Column, role: str, text: str) -> Column:
+    return F.transform(items, lambda x: _turn(F.try_variant_get(x, f"$.{role}", "string"), _said(F.try_variant_get(x, f"$.{text}", "variant"))))
+
+
+def _made(record: Column, parts: tuple, root: str) -> Column:
+    """The turns of a layout of a VARIANT record."""
+    turns = []
+    for part in parts:
+        if len(part) == 3:
+            items, role, text = part
+            turns.append(_turns_of_list(F.try_variant_get(record, f"$.{root}{items}", "array<variant>"), role, text))
         else:
-            made = F.array(*(_turn(F.lit(role), get(F.col("__v"), path)) for role, path in mapping))
-        fits = F.col("__h") == F.xxhash64(F.lit(",".join(sorted(paths))))
-        layout, turns = F.when(fits, name).otherwise(layout), F.when(fits, made).otherwise(turns)
-    return df.withColumns({"layout": layout, "turns": turns}).drop("__v", "__h")
+            role = F.try_variant_get(record, f"$.{root}{part[0][1:]}", "string") if part[0].startswith("@") else F.lit(part[0])
+            turns.append(F.array(_turn(role, _said(F.try_variant_get(record, f"$.{root}{part[1]}", "variant")))))
+    return F.concat(*(F.coalesce(t, F.expr(f"cast(array() as {TURNS})")) for t in turns))
+
+
+def canonical_turns(df: DataFrame, record: Column) -> DataFrame:
+    """df with `fingerprint`, `layout` (null: none known) and `turns`, array of (role, text), of a JSON text column."""
+    df = df.withColumn("__v", F.try_parse_json(record)).withColumn("__p", paths_of_record(F.col("__v"))).withColumn("__l", layout_of(F.col("__p")))
+    turns = F.lit(None).cast(TURNS)
+    for root in ROOTS:
+        for layout, parts in LAYOUTS:
+            turns = F.when(F.col("__l") == f"{root}|{layout}", _made(F.col("__v"), parts, root)).otherwise(turns)
+    made = df.withColumns({"fingerprint": F.when(F.col("__v").isNotNull(), fingerprint(F.col("__p"))), "layout": F.substring_index("__l", "|", -1), "turns": turns.cast(TURNS)})
+    return made.drop("__v", "__p", "__l")
+
+
+def turns_of_rows(df: DataFrame) -> DataFrame:
+    """df with `fingerprint`, `layout` and `turns` of a table whose own columns are the fields; no layout fits: an error.
+
+    The fingerprint is the same for all rows, so the mapping is chosen when the plan is made."""
+    paths = sorted(paths_of_schema(df.schema))
+    fitting = [(name, parts) for name, parts in LAYOUTS if all(len(p) == 2 for p in parts) and set(needed(parts)) <= set(paths)]
+    if not fitting:
+        raise ValueError(f"no layout has the fields {paths}")
+    exact = [x for x in fitting if list(needed(x[1])) == paths]
+    name, parts = (exact or fitting)[0]
+    turns = [_turn(F.col(f"`{p[0][1:]}`").cast("string") if p[0].startswith("@") else F.lit(p[0]), F.col(f"`{p[1]}`").cast("string")) for p in parts]
+    return df.withColumns({"fingerprint": F.lit(_hash("\n".join(paths))), "layout": F.lit(name), "turns": F.array(*turns)})
 
 
 def escape(text: Column) -> Column:
@@ -118,11 +239,10 @@ def format_pieces(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Whole `conversations` and conversation -1."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").try_cast("long").alias("conv_id"), F.col("turn").try_cast("long").alias("turn"), "role", "text")
     says = f"{END}{START}assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text"))
-    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
-    rows = canonical_turns(rows.unionByName(own), record)
+    rows = turns_of_rows(rows.unionByName(own))
     pieces = format_pieces(rows.select("conv_id", "turn", "turns"))
     read = pieces.withColumn("turns", read_back(F.col("formatted"))).withColumn("masked", F.transform("spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))))
     parts = read.select(
@@ -134,6 +254,51 @@ def op10(spark, sf_dir: str) -> DataFrame:
     return whole.select(F.col("id").alias("conv_id"), F.col("n").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.col("chars").alias("formatted_chars"))
 
 
+#: Records of a row (role, text) in each layout, and what turns they make, as SQL of both engines: name, record, roles and texts.
+RECORDS = (
+    ("message row", "named_struct('role', role, 'text', text, 'prompt', 'x')", "[role]", "[text]"),
+    ("messages", "named_struct('messages', array(named_struct('role', role, 'content', text), named_struct('role', 'human', 'content', 'q')), 'prompt', text)", "[role, 'user']", "[text, 'q']"),
+    ("conversations", "named_struct('conversations', array(named_struct('from', 'gpt', 'value', text)), 'id', 7)", "['assistant']", "[text]"),
+    ("system and conversation", "named_struct('system', 's', 'conversation', array(named_struct('role', role, 'content', text)))", "['system', role]", "['s', text]"),
+    ("conversation", "named_struct('data', named_struct('conversation', array(named_struct('role', role, 'content', text))))", "[role]", "[text]"),
+    ("system, instruction and input", "named_struct('system', 's', 'instruction', 'i', 'input', text, 'output', role)", "['system', 'user', 'user', 'assistant']", "['s', 'i', text, role]"),
+    ("system and instruction", "named_struct('system', text, 'instruction', 'i', 'output', role)", "['system', 'user', 'assistant']", "[text, 'i', role]"),
+    ("instruction with input", "named_struct('instruction', 'i', 'input', text, 'output', role, 'lang', 'en')", "['user', 'user', 'assistant']", "['i', text, role]"),
+    ("instruction", "named_struct('instruction', text, 'output', role)", "['user', 'assistant']", "[text, role]"),
+    ("instruction and response", "named_struct('record', named_struct('instruction', text, 'response', role))", "['user', 'assistant']", "[text, role]"),
+    ("system, prompt and response", "named_struct('system', 's', 'prompt', text, 'response', role)", "['system', 'user', 'assistant']", "['s', text, role]"),
+    ("prompt and response", "named_struct('prompt', text, 'response', role)", "['user', 'assistant']", "[text, role]"),
+    ("prompt and completion", "named_struct('prompt', text, 'completion', role)", "['user', 'assistant']", "[text, role]"),
+    ("question and answer", "named_struct('question', text, 'answer', role)", "['user', 'assistant']", "[text, role]"),
+    ("messages", "named_struct('messages', array(named_struct('role', role, 'content', array(named_struct('type', 'text', 'text', text), named_struct('type', 'text', 'text', '!')))))", "[role]", "[text || '!']"),
+    (None, "named_struct('title', text, 'body', role)", "NULL", "NULL"),
+)
+
+
+def chat_layouts(spark, sf_dir: str) -> DataFrame:
+    """Whole `conversations`, each row as a JSON record in one of RECORDS: (conv_id, turn, layout, n_turns, turns_sha256)."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(len(RECORDS)))
+    record = F.lit(None).cast("string")
+    for i, (_, made, _, _) in enumerate(RECORDS):
+        record = F.when(kind == i, F.to_json(F.expr(made))).otherwise(record)
+    done = canonical_turns(rows.withColumn("record", record), F.col("record"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", "turn", "layout", F.when(F.col("turns").isNotNull(), F.size("turns")).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"))
+
+
+ORACLE_LAYOUTS = (
+    "WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations), r AS (SELECT conv_id, turn, CASE ((coalesce(conv_id, 0) + coalesce(turn, 0)) % "
+    + f"{len(RECORDS)}) "
+    + " ".join(f"WHEN {i} THEN {{'layout': {repr(name) if name else 'NULL::VARCHAR'}, 'roles': {roles}::VARCHAR[], 'texts': {texts}::VARCHAR[]}}" for i, (name, _, roles, texts) in enumerate(RECORDS))
+    + r""" END AS x FROM c)
+SELECT conv_id, turn, x.layout AS layout, len(x.roles)::BIGINT AS n_turns,
+  sha256(array_to_string(list_transform(x.roles, lambda role, i: (CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE role END) || chr(10) || x.texts[i] || chr(10)), '')) AS turns_sha256
+FROM r
+"""
+)
+
+
 ORACLE_OP10 = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

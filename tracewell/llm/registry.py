@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_minhash_near_dedup": neardup.op9,
         "op10_chat_formatting": chat.op10,
+        "chat_layouts": chat.chat_layouts,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.ORACLE_OP5,
         "op9_minhash_near_dedup": neardup.ORACLE_OP9,
         "op10_chat_formatting": chat.ORACLE_OP10,
+        "chat_layouts": chat.ORACLE_LAYOUTS,
     }
