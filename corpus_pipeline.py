@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate, mixing, neardup, quality, toxicity
-from tracewell.llm.common import cut, unpacked
+from tracewell.llm.common import cut, slot_split, unpacked
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of documents linked by five-word shingles and a similarity of 0.8 or more."""
-    found = neardup.near_duplicates(docs, width=5, numerator=80, denominator=100)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    dropped = cut(neardup.near_duplicates(docs, width=5, numerator=80, denominator=100).where("not kept").select("doc_id").distinct())
+    some, others = slot_split(docs, F.col("doc_id"), dropped, F.col("doc_id"))  # so that few texts are dealt out
+    return some.join(dropped, "doc_id", "left_anti").select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
