@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tracewell.plans.materialize import keep as cut
 from tracewell.plans.materialize import shared_folder as shared_dir
 
-__all__ = ["beside_text", "bounded_sample", "cut", "fold", "labelled_texts", "salted", "shared_dir", "slot_filter", "slot_split", "unpacked"]
+__all__ = ["beside_text", "bounded_sample", "cut", "fold", "hot_slots", "join_hot", "labelled_texts", "salted", "shared_dir", "slot_filter", "slot_split", "unpacked"]
 
 #: Upper bound on the distinct slots of `slot_filter`, and so on what it broadcasts (16 bytes a slot).
 SLOTS = 1 << 20
@@ -52,6 +52,26 @@ def salted(many: DataFrame, few: DataFrame, on: list[str], spread: Column, how:
     return dealt.join(every, [*on, "__part"], how).drop("__part")
 
 
+def hot_slots(counts: DataFrame, on: list[str], n: str, most: int, slots: int = SLOTS) -> DataFrame | None:
+    """Slots of the keys of counts (on, n) that have more than `most` rows, for join_hot(); None if there are none."""
+    hot = cut(counts.where(F.col(n) > most).select(F.pmod(F.xxhash64(*on), F.lit(slots)).alias("__slot")).distinct())
+    return None if hot.isEmpty() else hot
+
+
+def join_hot(many: DataFrame, few: DataFrame, on: list[str], spread: str, hot: DataFrame | None, how: str = "inner", parts: int = 16, slots: int = SLOTS) -> DataFrame:
+    """many join few, where few has a row for each key: rows of a key in a hot slot are dealt into parts by a hash of the
+    column `spread`, and few's row goes to each of them.  What is broadcast is at most `slots` slot numbers."""
+    if hot is None:
+        return many.join(few, on, how)
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("__slot", F.pmod(F.xxhash64(*on), F.lit(slots))).join(F.broadcast(hot.withColumn("__hot", F.lit(True))), "__slot", "left").drop("__slot")
+
+    dealt = marked(many).withColumn("__part", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0)).drop("__hot")
+    every = marked(few).withColumn("__part", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return dealt.join(every, [*on, "__part"], how).drop("__part")
+
+
 #: Groups whose shares bounded_sample states in the plan; with more of them the counts are joined.
 STATED = 1024
 

@@ -15,7 +15,8 @@ Plan, for documents whose shingle sets have a Jaccard similarity of `numerator /
     first, on whole shingle sets, and two components that a link joined are not compared again.  So pairs never become
     rows, no link between components is lost to a cap, and thousands of copies cost one link a copy.
 
-A key, hub or label that a third of all rows have is dealt into parts wherever it is joined on (common.salted, _dealt).
+Keys, hubs and sets that more than TOGETHER rows have are dealt into parts wherever rows are joined on them
+(common.join_hot), so no task gets all rows of one.
 
 30 bands of 4 miss a pair at similarity 0.85 with probability (1 - 0.85**4)**30 = 2e-10, at 0.8 with 1e-7.  The
 population-count bound comes from the exact law of the flips at the threshold, so that it misses no more than the bands.
@@ -37,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, salted, slot_filter
+from tracewell.llm.common import cut, hot_slots, join_hot, slot_filter
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 30, 4, 256
 #: Members of a bucket that one task sets against the queries at a time: by sketches alone, and with their texts.
 SKETCH_BLOCK, BLOCK, BLOCK_BYTES = 4096, 1024, 32 << 20
-#: Rows of one key that stay together where keys are dealt into parts.
-TOGETHER = 256
+#: Rows of one key that stay together in a join.
+TOGETHER = 1024
 #: Bands whose buckets are settled together: first a few, which join most components, then the rest.
 BAND_ROUNDS = ((0, 1), (2, BANDS - 1))
 _U = np.uint64
@@ -155,13 +156,6 @@ def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataF
     return slot_filter(_named(docs, id_col, text_col), F.col("id"), ids, F.col("id")).groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", F.col("t.text").alias("text"))
 
 
-def _dealt(many: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
-    """many with `part`, so that TOGETHER rows of a key or so have the same one, and (key, parts) of keys with several."""
-    hot = cut(many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")).where("parts > 1"))
-    with_parts = salted(many, hot, [key], F.col(by), "left")
-    return with_parts.withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), hot
-
-
 def flips_at(similarity: float) -> float:
     """Expected population count of the XOR of two sketches at this similarity of the sets."""
     flipped = 2 * SAMPLES * (1 - similarity)
@@ -209,36 +203,63 @@ def _confirm(width: int, numerator: int, denominator: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole texts are that similar.  Only texts that the pairs name are moved."""
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denominator: int, id_col: str, text_col: str, hot: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose whole texts are that similar.  Only texts that the pairs name are moved; hot: slots of b of many pairs."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = _texts(docs, ids, id_col, text_col)
-    dealt, hot = _dealt(pairs.select("a", "b"), "b", "a")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("left_text"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right_text")).join(hot, "b", "left")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    rows = dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "left_text", "right_text")
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right_text"))
+    rows = join_hot(pairs.select("a", "b").join(left, "a"), right, ["b"], "a", hot).select("a", "b", "left_text", "right_text")
     return rows.mapInArrow(_confirm(width, numerator, denominator), "a long, b long")
 
 
+def roots(links: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(id, component) of links (a, b) that give each a one b < a: what each a reaches in the end, and itself for each such end.
+
+    Each round every pointer jumps to its target's target, so chains halve; nothing is collected but whether any moved."""
+    at = cut(links.select(F.col("a").alias("id"), F.col("b").alias("component")))
+    while True:
+        further = at.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        new = cut(join_hot(at, further, ["component"], "id", hot, "left").select("id", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")))
+        at = new.select("id", "component")
+        if new.where("moved").isEmpty():
+            ends = at.select(F.col("component").alias("id")).distinct()
+            return cut(at.union(ends.select("id", F.col("id").alias("component"))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b), for each id that has a link.
 
     Labels move to neighbours and then jump to their label's label, so chains shorten by powers of two; each round is
-    written out.  Nothing is collected but the count of labels that changed.
+    written out.  Nothing is collected but whether any label changed.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component"))
+    labels = cut(labels)
     while True:
-        near = salted(both, labels.withColumnRenamed("id", "b"), ["b"], F.col("a")).groupBy("a").agg(F.min("component").alias("near"))
+        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         moved = labels.join(near, labels.id == near.a, "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("component").alias("further"))
-        new = cut(salted(moved, jump, ["new"], F.col("id"), "left").select("id", "old", F.least("new", "further").alias("component")))
+        new = cut(moved.join(jump, "new", "left").select("id", "old", F.least("new", "further").alias("component")))
         if new.where(F.col("old") != F.col("component")).isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (id, component) after further links: their components are joined, and ids that had none come in.
+
+    Only components that a link joins are looked at, which are far fewer than documents."""
+    of = {side: comps.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")) for side in ("a", "b")}
+    between = links.select("a", "b").distinct().join(of["a"], "a", "left").join(of["b"], "b", "left")
+    between = cut(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b").distinct())
+    if between.isEmpty():
+        return comps
+    moved = components(between).select(F.col("id").alias("component"), F.col("component").alias("new"))
+    new = moved.join(comps.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("new").alias("component"))
+    return cut(comps.join(moved, "component", "left").select("id", F.coalesce("new", "component").alias("component")).union(new))
+
+
 def _settle(width: int, numerator: int, denominator: int, bound: int):
     """Links between components of one block of a bucket, at most one for each two components that it joins.
 
@@ -338,7 +359,7 @@ def _near(bound: int):
     return run
 
 
-def _blocks(members: DataFrame, block: int, block_bytes: int | None) -> DataFrame:
+def _blocks(members: DataFrame, block: int, block_bytes: int | None, hot: DataFrame | None) -> DataFrame:
     """members (key, id, component, size, s0..s3) in the blocks (key, mb, qb) of their bucket in which they are members (m) or
     queries (q): each member block of a bucket meets each query block, and queries are what isn't in the largest component."""
 
@@ -350,7 +371,7 @@ def _blocks(members: DataFrame, block: int, block_bytes: int | None) -> DataFram
     main = F.max_by(F.struct("component", "n", "size"), F.struct("n", "component"))
     plan = sizes.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     plan = plan.select("key", F.col("main.component").alias("main"), blocks(F.col("n"), F.col("size")).alias("m_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("q_blocks"))
-    rows = salted(members, plan, ["key"], F.col("id")).withColumns({"mb": F.pmod(F.xxhash64("id"), "m_blocks").cast("int"), "qb": F.pmod(F.xxhash64("id", F.lit(1)), "q_blocks").cast("int"), "q": F.col("component") != F.col("main")})
+    rows = join_hot(members, plan, ["key"], "id", hot).withColumns({"mb": F.pmod(F.xxhash64("id"), "m_blocks").cast("int"), "qb": F.pmod(F.xxhash64("id", F.lit(1)), "q_blocks").cast("int"), "q": F.col("component") != F.col("main")})
     # a query is also a member; where both meet it is one row
     as_member = F.transform(F.sequence(F.lit(0), F.col("q_blocks") - 1), lambda x: F.struct(F.col("mb").alias("mb"), x.alias("qb"), (F.col("q") & (x == F.col("qb"))).alias("q"), F.lit(True).alias("m")))
     as_query = F.filter(F.transform(F.sequence(F.lit(0), F.col("m_blocks") - 1), lambda x: F.struct(x.alias("mb"), F.col("qb").alias("qb"), F.lit(True).alias("q"), F.lit(False).alias("m"))), lambda x: x["mb"] != F.col("mb"))
@@ -358,18 +379,18 @@ def _blocks(members: DataFrame, block: int, block_bytes: int | None) -> DataFram
     return rows.select("key", "id", "component", "size", "s0", "s1", "s2", "s3", at.alias("at")).select("at.mb", "at.qb", "key", "id", "component", "size", "s0", "s1", "s2", "s3", "at.q", "at.m")
 
 
-def _between(members: DataFrame, comps: DataFrame, sketches: DataFrame, docs: DataFrame, bound: int, block: int, width: int, numerator: int, denominator: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, sketch_block: int = SKETCH_BLOCK) -> DataFrame:
+def _between(members: DataFrame, hot: DataFrame | None, comps: DataFrame, sketches: DataFrame, docs: DataFrame, bound: int, block: int, width: int, numerator: int, denominator: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, sketch_block: int = SKETCH_BLOCK) -> DataFrame:
     """Links (a, b) between different components within these buckets; enough of them to join what any link joins."""
     at = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one != other").select("key")
-    full = cut(salted(at, mixed, ["key"], F.col("id")).join(sketches, "id"))
-    near = _blocks(full, sketch_block, None).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
+    full = cut(join_hot(at, mixed, ["key"], "id", hot).join(sketches, "id"))
+    near = _blocks(full, sketch_block, None, hot).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
     found = near.mapInArrow(_near(bound), "key long, id long, component long, size long, s0 long, s1 long, s2 long, s3 long")
     involved = cut(found.distinct())  # a row for each document and bucket, no pairs
     if involved.isEmpty():
         return involved.select(F.col("id").alias("a"), F.col("id").alias("b"))
     texts = _texts(docs, involved.select("id").distinct(), id_col, text_col)
-    ready = _blocks(involved, block, block_bytes).join(texts, "id").select("key", "mb", "qb", "id", "component", "q", "m", "s0", "s1", "s2", "s3", "text")
+    ready = _blocks(involved, block, block_bytes, hot).join(texts, "id").select("key", "mb", "qb", "id", "component", "q", "m", "s0", "s1", "s2", "s3", "text")
     ready = ready.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
     return ready.mapInArrow(_settle(width, numerator, denominator, bound), "a long, b long")
 
@@ -384,31 +405,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     several = cut(sig.where("id is not null").groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("id", "one"))
     of_several = not several.isEmpty()
     if of_several:
-        known = salted(known, several, ["id"], F.col("h"), "left").where("one is null or one = h").drop("one")
+        known = known.join(several, "id", "left").where("one is null or one = h").drop("one")
     # copies are thousands of equal rows: their sums are made before the shuffle
-    classes = cut(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
+    classes = cut(known.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))))
     sketches = classes.select(F.col("rep").alias("id"), "size", "s0", "s1", "s2", "s3")
     in_bands = classes.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
-    buckets = in_bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub != most").select("key", "hub")
-    members = cut(salted(in_bands, buckets, ["key"], F.col("id")))
-    stars = members.where("id != hub").select("id", "hub").distinct()
-    met = salted(stars.join(sketches, "id"), sketches.select(F.col("id").alias("hub"), F.struct("s0", "s1", "s2", "s3").alias("y")), ["hub"], F.col("id"))
+    buckets = cut(in_bands.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot_keys = hot_slots(buckets, ["key"], "n", TOGETHER)
+    members = cut(join_hot(in_bands, buckets.select("key", "hub"), ["key"], "id", hot_keys))
+    stars = cut(members.where("id != hub").select("id", "hub").distinct())
+    hot_hubs = hot_slots(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), ["hub"], "n", TOGETHER)
+    met = join_hot(stars.join(sketches, "id"), sketches.select(F.col("id").alias("hub"), F.struct("s0", "s1", "s2", "s3").alias("y")), ["hub"], "id", hot_hubs)
     flips = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("s0").bitwiseXOR(F.col("y.s0"))))
     scored = met.select(F.col("id").alias("a"), F.col("hub").alias("b"), flips.alias("flips")).where(F.col("flips") <= bound)
     best = scored.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = cut(confirm(best, docs, *how))
-    comps = components(links)
+    links = confirm(best, docs, *how, hot_hubs)
+    comps = roots(links, hot_hubs)
     for first, last in BAND_ROUNDS:
         some = members.where(F.col("band").between(first, last)).select("key", "id")
-        found = cut(_between(some, comps, sketches, docs, bound, block, *how))
+        found = cut(_between(some, hot_keys, comps, sketches, docs, bound, block, *how))
         if not found.isEmpty():
-            links = cut(links.union(found))
-            comps = components(links)
+            comps = joined(comps, found)
     own = classes.select("set_key", "rep").join(comps, classes.rep == comps.id, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = salted(sig.select("id", "h", "n_shingles", "set_key"), own, ["set_key"], F.coalesce("id", F.lit(0)), "left")
+    hot_sets = hot_slots(classes.select("set_key", "n"), ["set_key"], "n", TOGETHER)
+    out = join_hot(sig.select("id", "h", "n_shingles", "set_key"), own, ["set_key"], "id", hot_sets, "left")
     if of_several:
         named = out.join(several, "id").where("one = h").groupBy("id").agg(F.min("component").alias("whose"), F.max("n_shingles").alias("any"))
-        out = salted(out, named, ["id"], F.coalesce("h", F.lit(0)), "left").withColumn("component", F.when(F.col("any").isNull(), F.col("component")).otherwise(F.coalesce("whose", "id")))
+        out = out.join(named, "id", "left").withColumn("component", F.when(F.col("any").isNull(), F.col("component")).otherwise(F.coalesce("whose", "id")))
         out = out.withColumn("shown", F.coalesce("any", "n_shingles"))
     else:
         out = out.withColumn("shown", F.col("n_shingles"))
