@@ -42,7 +42,7 @@ from tracewell.llm.common import cut, hot_slots, join_hot, slot_filter
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 30, 4, 256
 #: Members of a bucket that one task sets against the queries at a time: by sketches alone, and with their texts.
-SKETCH_BLOCK, BLOCK, BLOCK_BYTES = 4096, 1024, 32 << 20
+SKETCH_BLOCK, BLOCK, BLOCK_BYTES = 1024, 1024, 32 << 20
 #: Rows of one key that stay together in a join.
 TOGETHER = 1024
 #: Bands whose buckets are settled together: first a few, which join most components, then the rest.
