@@ -34,9 +34,3 @@ def test_a_second_run_adds_nothing(spark):
     _, flat = backfill(*tables(spark), any_author=True, include_low=True)
     once = flat.drop("visibility")
     assert maintenance.backfill_merge(once, once).count() == once.count() == 4
-
-
-def test_commit_range(spark):
-    parents = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("m", "d"), ("m", "x"), ("x", "a")], "commit_sha string, parent string")
-    got = [r.commit_sha for r in maintenance.commit_range(parents, "b", "m").orderBy("pos").collect()]
-    assert sorted(got) == ["c", "d", "m", "x"] and got[-1] == "m" and got.index("c") < got.index("d")

@@ -58,9 +58,36 @@ def test_search_limit_and_flag(spark):
 
 def test_chains_with_a_cycle(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(101, 102), (102, 101), (30, None)], "id long, parent long")
-    got = {(r.id, r.ancestor): r.depth for r in search.chains(links).collect()}
-    assert all(got[(i, j)] == j - i for i in range(31) for j in range(i, 31))
-    assert {k[1] for k in got if k[0] == 101} == {101, 102}
+    asked = spark.createDataFrame([(0,), (7,), (30,), (101,), (500,)], "id long")
+    got = {(r.id, r.ancestor): r.depth for r in search.chains(links, asked).collect()}
+    assert got == {**{(i, j): j - i for i in (0, 7, 30) for j in range(i, 31)}, (101, 101): 0, (101, 102): 1, (500, 500): 0}
+
+
+def test_reach_over_merges_and_long_lines(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = [(i, rng.randrange(i)) for i in range(1, 60) for _ in range(rng.choice([1, 1, 2, 3]))] + [(100 + i + 1, 100 + i) for i in range(3000)] + [(5, 5), (0, None)]
+    parents = {}
+    for a, b in edges:
+        parents.setdefault(a, set()).add(b)
+    for seeds in ([59, 40], [3100], [5], []):
+        want, left = set(), list(seeds)
+        while left:
+            x = left.pop()
+            if x is not None and x not in want:
+                want.add(x)
+                left += parents.get(x, ())
+        got = search.reachable(spark.createDataFrame([(x,) for x in seeds], "id long"), spark.createDataFrame(edges, "id long, parent long"))
+        assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_ranges_of_commits(spark):
+    rows = [("a", None, 1), ("b", "a", 2), ("c", "b", 3), ("m", "c", 5), ("m", "x", 5), ("x", "a", 4), ("z", "m", 6)]
+    parents = spark.createDataFrame(rows, "commit_sha string, parent string, committed_at long")
+    at = lambda x: spark.createDataFrame([(x,)], "commit_sha string")
+    assert [r.commit_sha for r in maintenance.commit_range(parents, at("b"), at("z")).orderBy("pos").collect()] == ["c", "x", "m", "z"]
+    assert maintenance.commit_range(parents, at("z"), at("b")).count() == 0
 
 
 def window(spark, needle, added):
@@ -158,7 +185,12 @@ def test_timeline(spark):
     assert tuple(timeline.totals(turns, r).first()) == (2, 1, 3)
     bullets = {(t.conversation_id, t.turn_index): t.bullet for t in timeline.turn_lines(full, timeline.turn_files(r)).collect()}
     assert bullets[("A", 0)] == '**"p0"** — _f (2 lines)_' and bullets[("B", 5)].startswith('~~"first"~~ _(superseded')
-    assert timeline.markdown(full, timeline.turn_files(r)).count() == 2
+    pr = lambda df: df.withColumn("pr", F.lit(1))
+    changes = spark.createDataFrame([(1,), (2,)], "pr int")
+    bodies = {x.pr: x.body for x in timeline.document(changes, pr(full), pr(timeline.turn_files(r)), pr(r), "agent", "foot").collect()}
+    assert bodies[2] == "## PR Intent Timeline\n\nNo tracked turns in this PR.\nfoot\n"
+    assert bodies[1].startswith("## PR Intent Timeline\n\nThis PR contains 3 turns across 2 agent sessions, plus 3 lines without provenance.\n\n### Session 1 — `A` · 2026-01-01 · 2 turn(s) · m\n\n1. **")
+    assert bodies[1].endswith("### 3 line(s) without provenance\n- `f:3-4` — pre-existing or human-authored.\n- `f:6` — pre-existing or human-authored.\n\nfoot\n")
     line = full.select(timeline.summary_line(F.lit(1), F.lit(2), F.lit(1), "agent").alias("s")).first().s
     assert line == "This PR contains 1 turn across 2 agent sessions, plus 1 line without provenance."
 
@@ -178,13 +210,13 @@ def test_capture_to_note(spark):
     done = {(r.private, r.turn_index): r.completed_at for r in capture.finish_turns(turns, "now").collect()}
     assert done == {(False, 0): None, (False, 1): "now", (True, 0): "now"}
     uses = spark.createDataFrame([("s", 1, "Write", None, None, "/w/f", "", "a\nb", None, "t9")], "session_id string, turn_index int, tool_name string, tool string, tool_use_id string, file string, before string, after string, model string, ts string")
-    staged = capture.edit_records(uses, "/w").withColumn("edit_id", F.lit(0))
+    staged = capture.edit_records(uses, "/w").withColumns({"edit_id": F.lit(0), "private": F.lit(False)})
     added = spark.createDataFrame([("f", 0, 7, "a"), ("f", 1, 8, "b")], "file string, pos int, line_no int, content string")
     sessions = spark.createDataFrame([("s", "mod", "t0")], "session_id string, model string, started_at string")
-    note = capture.flush("c1", staged, added, turns.where("not private"), sessions, picked_from="c0").first()
+    note = capture.flush("c1", staged, added, turns, sessions, picked_from="c0").first()
     assert (note.file, note.line_start, note.line_end, note.prompt, note.model, note.tool, note.derived_from.source_commit) == ("f", 7, 8, "third", "mod", schema.DEFAULT_TOOL, "c0")
     b = blame(spark, (1, "c1", "f", 8, None)).withColumn("current_hash", line_hash(F.lit("b")))
-    assert resolve.resolve(b, capture.flush("c1", staged, added, turns.where("not private"), sessions)).first().status == "unchanged"
+    assert resolve.resolve(b, capture.flush("c1", staged, added, turns, sessions)).first().status == "unchanged"
 
 
 def test_substantial(spark):

@@ -26,7 +26,7 @@ def sides(body):
 
 def check_conflicts(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet").collect()
-    got = sorted(((r.conv_id, r.turn), r.local_sha256, r.incoming_sha256) for r in __spark_entry__.queries()["conflict_split_whole"](spark, d).collect())
+    got = sorted(((r.conv_id, r.turn), r.local_sha256, r.incoming_sha256) for r in __spark_entry__.queries()["conflict_split"](spark, d).collect())
     body = "{{\n<<<<<<< ours\n{1}\n=======\n{0}\n{1}\n>>>>>>> theirs\n}}\n"
     assert got == sorted(((r.conv_id, r.turn), *sides(body.format(r.role or "", r.text or ""))) for r in rows)
 
@@ -58,5 +58,5 @@ def test_whole_documents_as_edits(spark):
         else:
             if min(len(lines), len(other)) * 2 >= len(lines):
                 want[r.pair] = (1, len(other), "proximity")
-    got = {r.pair: (r.match_start, r.match_end, r.strategy) for r in catalog.WHOLE["edit_matching_whole"](spark, SF).collect()}
+    got = {r.pair: (r.match_start, r.match_end, r.strategy) for r in catalog.QUERIES["edit_matching"](spark, SF).collect()}
     assert got == want

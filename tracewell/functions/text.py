@@ -76,8 +76,15 @@ def parse_target(s) -> Column:
 
 
 def phrase_tokens(text) -> Column:
-    """Text as lower-case tokens of letters and digits with one space around each, so a phrase is a substring."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Text as lower-case tokens of letters and digits without accents, with one space around each, so a phrase is a substring."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(without_accents(text)), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def without_accents(text) -> Column:
+    """Canonical decomposition without its combining marks; texts that are all ASCII are left as they are."""
+    t = col(text)
+    apart = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), t, F.lit(False))
+    return F.when(t.isNull() | (F.octet_length(t) == F.char_length(t)), t).otherwise(F.regexp_replace(apart, r"\p{Mn}+", ""))
 
 
 def contains_phrase(text, phrase: str) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tracewell import schema
 from tracewell.functions import redact
 from tracewell.functions.text import ZERO_SHA, edit_key
+from tracewell.operators.index import flatten_edits, rebuild_notes
+from tracewell.operators.search import reachable
+from tracewell.sources.gittext import split_conflicts
+from tracewell.sources.notes import parse_notes, to_json
 
 
 def _keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -97,30 +101,29 @@ def unreachable(notes: DataFrame, reachable: DataFrame) -> DataFrame:
 
 
 def closure(seeds: DataFrame, parents: DataFrame) -> DataFrame:
-    """(commit_sha) of all commits that seeds (commit_sha) reach over parents (commit_sha, parent)."""
-    from tracewell.operators.search import chains
+    """(commit_sha) of all commits that seeds (commit_sha) reach over parents (commit_sha, parent), the seeds too."""
+    return reachable(seeds.select(F.col("commit_sha").alias("id")), parents.select(F.col("commit_sha").alias("id"), "parent")).select(F.col("id").alias("commit_sha"))
 
-    up = chains(parents.select(F.col("commit_sha").alias("id"), "parent"))
-    reach = up.join(seeds.select(F.col("commit_sha").alias("id")), "id", "left_semi").select(F.col("ancestor").alias("commit_sha"))
-    return reach.unionByName(seeds.select("commit_sha")).distinct()
 
+def commit_range(parents: DataFrame, base: DataFrame, head: DataFrame, order: str = "committed_at") -> DataFrame:
+    """(commit_sha, pos): what head (commit_sha) reaches and base (commit_sha) doesn't, the oldest first.
 
-def commit_range(parents: DataFrame, base: str, head: str) -> DataFrame:
-    """(commit_sha, pos): what head reaches and base doesn't, the oldest first; parents (commit_sha, parent)."""
-    from tracewell.operators.search import chains
-
-    up = chains(parents.select(F.col("commit_sha").alias("id"), "parent"))
-    of = lambda sha: up.where(F.col("id") == sha).select("ancestor", "depth")
-    mine = of(head).join(of(base).select("ancestor"), "ancestor", "left_anti")
-    # far ancestors are old; a range is as long as a change, not as its history
-    pos = F.row_number().over(Window.partitionBy(F.lit(head)).orderBy(F.desc("depth"), "ancestor"))
-    return mine.select(F.col("ancestor").alias("commit_sha"), pos.alias("pos"))
+    parents (commit_sha, parent, order), a row for each parent, of a root one with a null parent."""
+    mine = closure(head, parents).join(closure(base, parents), "commit_sha", "left_anti")
+    when = parents.groupBy("commit_sha").agg(F.min(order).alias("at"))
+    # a range is as long as a change, not as its history
+    pos = F.row_number().over(Window.orderBy("at", "commit_sha"))
+    return mine.join(when, "commit_sha", "left").select("commit_sha", pos.alias("pos"))
 
 
 def stale_sessions(activity: DataFrame, now, ttl_seconds: int, at: str = "ts", session: str = "session_id") -> DataFrame:
-    """Sessions whose last activity is more than ttl_seconds before now; one without any counts as stale."""
+    """Sessions whose last activity is more than ttl_seconds before now, a column or a table of one row and column; one
+    without any counts as stale."""
     last = activity.groupBy(session).agg(F.max(at).alias("last"))
-    return last.where(F.coalesce(F.col("last"), F.lit(0)) < now - ttl_seconds)
+    if isinstance(now, DataFrame):
+        one = now.select(F.col(now.columns[0]).alias("__now"), F.lit(1).alias("__k"))
+        last, now = last.withColumn("__k", F.lit(1)).join(F.broadcast(one), "__k").drop("__k"), F.col("__now")
+    return last.where(F.coalesce(F.col("last"), F.lit(0)) < now - ttl_seconds).select(session, "last")
 
 
 def compact(edits: DataFrame, cutoff, blobs: DataFrame) -> DataFrame:
@@ -182,3 +185,33 @@ def secrets_in_push(edits: DataFrame, rules: tuple[str, ...] = (), columns: tupl
     # an outer explode infers no filter, which would be pushed below the passes with all of them copied into it
     found = out.select("commit_sha", F.explode_outer(kinds).alias("kind")).where("kind is not null")
     return found.groupBy("commit_sha").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+
+
+def fetch_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (before, after, new): notes that a fetch brought; fewer than before are none."""
+    n = [d.agg(F.count(F.lit(1)).alias(name)).withColumn("k", F.lit(1)) for d, name in ((before, "before"), (after, "after"))]
+    return n[0].join(n[1], "k").select("before", "after", F.greatest(F.lit(0).cast("long"), F.col("after") - F.col("before")).alias("new"))
+
+
+def resolve_conflicts(conflicts: DataFrame, target_ref: str = schema.PUBLIC_REF, body: str = "body") -> DataFrame:
+    """(commit_sha, body, error) of conflicted notes (commit_sha, body): both sides merged into one note, as JSON.
+
+    A text without markers has to be a note, and stays as it is.  A side that is no note, or is of a version that isn't
+    known, is an error that names the side and the way back; its commit has no body then."""
+    docs = conflicts.select("commit_sha", F.col(body).alias("__text"))
+    sides = split_conflicts(docs.select("commit_sha", F.col("__text").alias("b")), "commit_sha", "b")
+    parsed = {side: parse_notes(sides.select("commit_sha", F.col(side).alias("body"))) for side in ("local", "incoming")}
+    plain = docs.join(sides.select("commit_sha"), "commit_sha", "left_anti")
+    back = F.lit(f"; `git notes --ref={target_ref} merge --abort` backs out")
+    bad = None
+    for side, notes in parsed.items():
+        told = notes.where("error is not null").select("commit_sha", F.concat(F.lit(f"{side} note of "), "commit_sha", F.lit(": "), "error", back).alias("error"))
+        bad = told if bad is None else bad.unionByName(told.join(bad, "commit_sha", "left_anti"))
+    good = [flatten_edits(notes.where("error is null").join(bad, "commit_sha", "left_anti")) for notes in parsed.values()]
+    merged = to_json(rebuild_notes(merge(*good))).select("commit_sha", F.col("body").alias("merged"))
+    empty = F.lit(f'{{"version":{schema.SCHEMA_VERSION},"edits":[]}}')
+    clean = sides.select("commit_sha").join(bad, "commit_sha", "left_anti").join(merged, "commit_sha", "left").select("commit_sha", F.coalesce("merged", empty).alias("body"), F.lit(None).cast("string").alias("error"))
+    as_is = parse_notes(plain.select("commit_sha", F.col("__text").alias("body"))).select("commit_sha", "error").join(plain, "commit_sha")
+    as_is = as_is.select("commit_sha", F.when(F.col("error").isNull(), F.trim("__text")).alias("body"), F.when(F.col("error").isNotNull(), F.concat(F.lit("note of "), "commit_sha", F.lit(": "), "error", back)).alias("error"))
+    failed = bad.select("commit_sha", F.lit(None).cast("string").alias("body"), "error")
+    return clean.unionByName(as_is).unionByName(failed)

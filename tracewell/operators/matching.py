@@ -2,38 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell import schema
 from tracewell.functions.text import half_covered, normalize_line
 
 
-def runs(needles: DataFrame, added: DataFrame, on: tuple[str, ...] = ("pair",)) -> DataFrame:
-    """(*on, needle_start, added_start, length): longest runs of equal lines that both sequences have one after another.
-
-    needles (*on, pos, h), added (*on, pos, h).  Equal lines meet in a join on the pair and the hash; on a diagonal of
-    positions, runs are islands."""
-    n = needles.select(*on, F.col("pos").alias("n_pos"), "h")
-    a = added.select(*on, F.col("pos").alias("a_pos"), "h")
-    met = n.join(a, [*on, "h"]).withColumn("diagonal", F.col("a_pos") - F.col("n_pos"))
-    island = F.col("n_pos") - F.row_number().over(Window.partitionBy(*on, "diagonal").orderBy("n_pos"))
-    grouped = met.withColumn("island", island).groupBy(*on, "diagonal", "island").agg(F.min("n_pos").alias("needle_start"), F.count(F.lit(1)).alias("length"))
-    return grouped.select(*on, "needle_start", (F.col("needle_start") + F.col("diagonal")).alias("added_start"), "length")
+def longest_run(needle: np.ndarray, added: np.ndarray) -> tuple[int, int, int]:
+    """(needle_start, added_start, length) of the longest run that both sequences of numbers have; of equal ones the first
+    in the needle, then the first in the other.
+
+    Runs of 1, 2, 4, ... are numbered so that equal ones have one number; the length is then found by halving."""
+    n, text = len(needle), np.concatenate([needle, [-1], added, [-2]])
+
+    def numbered(k: int) -> np.ndarray:
+        """Numbers of the runs of k that begin at each place; sizes are put together out of powers of two."""
+        out, done = None, 0
+        for power, rank in enumerate(ranks):
+            if k >> power & 1:
+                if out is None:
+                    out, done = rank, 1 << power
+                else:
+                    after = np.full(len(text), -1, np.int64)
+                    after[: len(text) - done] = rank[done:]
+                    out, done = np.unique(out * (len(text) + 2) + after + 1, return_inverse=True)[1].astype(np.int64), done + (1 << power)
+        return out
+
+    ranks = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
+    most = min(n, len(added))
+    while 2 << (len(ranks) - 1) <= most:
+        k = 1 << (len(ranks) - 1)
+        after = np.full(len(text), -1, np.int64)
+        after[: len(text) - k] = ranks[-1][k:]
+        ranks.append(np.unique(ranks[-1] * (len(text) + 2) + after + 1, return_inverse=True)[1].astype(np.int64))
+
+    def first(k: int) -> tuple[int, int] | None:
+        number = numbered(k)
+        a, b = number[: n - k + 1], number[n + 1 : n + 1 + len(added) - k + 1]
+        common = np.isin(a, b)
+        if not common.any():
+            return None
+        at = int(common.argmax())
+        return at, int((b == a[at]).argmax())
+
+    low, high, best = 0, most, None
+    while low < high:
+        k = (low + high + 1) // 2
+        found = first(k)
+        if found is None:
+            high = k - 1
+        else:
+            low, best = k, found
+    return (*best, low) if best else (0, 0, 0)
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            found = [longest_run(np.array(n, np.int64), np.array(a, np.int64)) if n and a else (0, 0, 0) for n, a in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            starts, others, lengths = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(starts, pa.int32()), pa.array(others, pa.int32()), pa.array(lengths, pa.int64())], names=["key", "needle_start", "added_start", "length"])
 
 
 def best_windows(needles: DataFrame, added: DataFrame, on: tuple[str, ...] = ("pair",), most_lines: int = schema.MAX_WINDOW_LINES) -> DataFrame:
-    """(*on, needle_lines, needle_start, added_start, length) of the longest run, if it is half the needle or more.
+    """(*on, needle_lines, needle_start, added_start, length) of the longest run of equal lines, if it is half the needle or more.
+
+    needles (*on, pos, h), added (*on, pos, h).  Of equal runs the first in the needle, then the first in the added lines.
+    Pairs with a side of more than most_lines lines match nothing.  Each pair's two sequences meet in one row, so lines
+    that both have many times cost no more than others."""
 
-    Of equal ones the first in the needle, then the first in the added lines.  Pairs with a side of more than
-    most_lines lines match nothing."""
-    size = needles.groupBy(*on).agg(F.count(F.lit(1)).alias("needle_lines"))
-    other = added.groupBy(*on).agg(F.count(F.lit(1)).alias("added_lines"))
-    fits = size.join(other, list(on)).where((F.col("needle_lines") <= most_lines) & (F.col("added_lines") <= most_lines))
-    some = fits.select(*on)
-    found = runs(needles.join(some, list(on), "left_semi"), added.join(some, list(on), "left_semi"), on)
-    best = found.groupBy(*on).agg(F.min_by(F.struct("needle_start", "added_start", "length"), F.struct(-F.col("length"), "needle_start", "added_start")).alias("b"))
-    return best.join(fits, list(on)).select(*on, "needle_lines", "b.*").where("length * 2 >= needle_lines")
+    def side(lines: DataFrame, name: str) -> DataFrame:
+        one = lines.groupBy(*on).agg(F.count(F.lit(1)).alias(f"{name}_lines"), F.sort_array(F.collect_list(F.struct("pos", F.xxhash64("h").alias("x")))).alias(name))
+        return one.where(F.col(f"{name}_lines") <= most_lines)
+
+    size = lambda d: d.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_lines).select(*on)
+    fits = size(needles).join(size(added), list(on))
+    met = side(needles.join(fits, list(on), "left_semi"), "needle").join(side(added.join(fits, list(on), "left_semi"), "added"), list(on))
+    rows = met.select(F.struct(*on, "needle_lines").alias("key"), F.col("needle.x").alias("needle"), F.col("added.x").alias("added"))
+    shape = T.StructType([rows.schema["key"], *T.StructType.fromDDL("needle_start int, added_start int, length long").fields])
+    return rows.mapInArrow(_longest, shape).select("key.*", "needle_start", "added_start", "length").where("length > 0 and length * 2 >= needle_lines")
 
 
 def match_edits(edits: DataFrame, added: DataFrame) -> DataFrame:
@@ -44,37 +98,36 @@ def match_edits(edits: DataFrame, added: DataFrame) -> DataFrame:
     added lines if it covers half the captured range.  Empty lines of the edit are passed over, empty added lines aren't.
     Edits that match nothing are left out."""
 
-    def contiguous(make) -> DataFrame:
-        made = F.transform("after", make)
-        needle = edits.select("edit_id", "file", F.filter(made, lambda x: x != "").alias("lines"))
-        n = needle.select("edit_id", "file", F.size("lines").alias("n"), F.posexplode("lines").alias("n_pos", "h"))
-        a = added.select("file", F.col("pos").alias("a_pos"), "line_no", make(F.col("content")).alias("h"))
-        met = n.join(a, ["file", "h"]).groupBy("edit_id", "n", (F.col("a_pos") - F.col("n_pos")).alias("start"))
-        whole = met.agg(F.count(F.lit(1)).alias("k"), F.min_by("line_no", "a_pos").alias("s"), F.max_by("line_no", "a_pos").alias("e")).where("k = n")
-        return whole.groupBy("edit_id").agg(F.min_by(F.struct("s", "e"), "start").alias("w"))
-
-    added = added.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
-    exact = contiguous(lambda x: x).select("edit_id", F.col("w").alias("a"))
-    alike = contiguous(normalize_line).select("edit_id", F.col("w").alias("b"))
-    window = added.groupBy("file").agg(F.min_by("line_no", "pos").alias("ws"), F.max_by("line_no", "pos").alias("we"))
-    near = half_covered("line_start", "line_end", "ws", "we")
-    out = edits.join(exact, "edit_id", "left").join(alike, "edit_id", "left").join(window, "file", "left")
-
-    def place(s: str, e: str, how: str):
-        return F.struct(F.col(s).cast("int").alias("s"), F.col(e).cast("int").alias("e"), F.lit(how).alias("how"))
-
-    chosen = F.when(F.col("a").isNotNull(), place("a.s", "a.e", "exact")).when(F.col("b").isNotNull(), place("b.s", "b.e", "normalized")).when(near & F.col("ws").isNotNull(), place("ws", "we", "proximity"))
-    kept = out.withColumn("m", chosen).where("m is not null")
-    return kept.select(*edits.columns, F.col("m.s").alias("match_start"), F.col("m.e").alias("match_end"), F.col("m.how").alias("strategy"))
-
-
-def session_commits(sessions: DataFrame, commits: DataFrame, pad: int = schema.WINDOW_PAD_SECONDS) -> DataFrame:
+    def code(lines) -> Column:
+        # a line is 16 digits and a comma, so a run of lines is a substring
+        return F.array_join(F.transform(lines, lambda x: F.concat(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lit(","))), "")
+
+    def contiguous(name: str, make) -> Column:
+        wanted = F.filter(F.transform("after", make), lambda x: x != "")
+        have = F.transform("__lines", lambda x: make(x["content"]))
+        at = F.instr(code(have), code(wanted))
+        first = F.floor((at - 1) / 17).cast("int")
+        n = F.size(wanted)
+        there = (n > 0) & (at > 0) & (F.slice(have, F.greatest(first + 1, F.lit(1)), n) == wanted)
+        return F.when(there, F.struct(F.get("__lines", first)["line_no"].cast("int").alias("s"), F.get("__lines", first + n - 1)["line_no"].cast("int").alias("e"), F.lit(name).alias("how")))
+
+    files = added.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "line_no", "content"))).alias("__lines"))
+    met = edits.join(files, "file")
+    window = F.struct(F.get("__lines", F.lit(0))["line_no"].cast("int").alias("s"), F.element_at("__lines", -1)["line_no"].cast("int").alias("e"), F.lit("proximity").alias("how"))
+    near = F.when(half_covered("line_start", "line_end", window["s"], window["e"]), window)
+    found = F.coalesce(contiguous("exact", lambda x: x), contiguous("normalized", normalize_line), near)
+    kept = met.withColumn("__m", found).where("__m is not null")
+    return kept.select(*edits.columns, F.col("__m.s").alias("match_start"), F.col("__m.e").alias("match_end"), F.col("__m.how").alias("strategy"))
+
+
+def session_commits(sessions: DataFrame, commits: DataFrame, pad: int = schema.WINDOW_PAD_SECONDS, on: tuple[str, ...] = ()) -> DataFrame:
     """Sessions (session_id, start, end, ...) with the commits (sha, committed_at, ...) within pad seconds of them.
 
-    Both sides are cut into cells of pad seconds, so the join has a key; the exact bounds are a condition."""
+    Both sides are cut into cells of pad seconds, so the join has a key; the exact bounds are a condition.  `on` names
+    what both sides also have in common, as the repository: without it every session of a cell meets every commit of it."""
     s = sessions.withColumn("cell", F.explode(F.expr(f"sequence(floor((start - {pad}) / {pad}), floor((end + {pad}) / {pad}))")))
     c = commits.withColumn("cell", F.expr(f"floor(committed_at / {pad})"))
-    return s.join(c, "cell").where((F.col("committed_at") >= F.col("start") - pad) & (F.col("committed_at") <= F.col("end") + pad)).drop("cell")
+    return s.join(c, [*on, "cell"]).where((F.col("committed_at") >= F.col("start") - pad) & (F.col("committed_at") <= F.col("end") + pad)).drop("cell")
 
 
 def best_commits(scored: DataFrame, session: str = "session_id", score: str = "confidence", pos: str = "pos") -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +38,32 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of the shared file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows that are read by one task, and rows that are broadcast, of a written table whose rows are a few numbers.
+READ_TOGETHER, SMALL = 1 << 16, 1 << 16
+
+
+def counted(df: DataFrame, *flags: Column) -> tuple[DataFrame, list[int]]:
+    """keep(df) for rows of a few numbers, with the count of its rows and of those for which each flag holds.
+
+    They are counted as the rows are written, so no job is run to ask; small tables are read by few tasks.  A task that
+    is run again may be counted again, so the counts are bounds from above; zero is exact."""
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("n"), *(F.count_if(f).alias(f"n{i}") for i, f in enumerate(flags))]
+    kept = keep(df.observe(seen, *metrics))
+    found = [seen.get[m] for m in ("n", *(f"n{i}" for i in range(len(flags))))]
+    return kept.coalesce(max(1, -(-found[0] // READ_TOGETHER))), found
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has few rows of a few numbers."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def release(spark: SparkSession) -> None:
+    """Collects garbage on the driver, after which Spark drops the broadcasts, shuffles and metrics of steps that are over.
+
+    A job of many small steps would else keep them until the driver's memory is full."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()

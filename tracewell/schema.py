@@ -49,4 +49,4 @@ SUBSTANTIAL_LINES = 10
 PUBLIC_REF = "refs/notes/prompts"
 PRIVATE_REF = "refs/notes/prompts-private"
 EDIT_TOOLS = ("Edit", "Write", "MultiEdit")
-PATCH_TOOL = "apply_patch"
+PATCH_TOOL, PATCH_HARNESS = "apply_patch", "codex"

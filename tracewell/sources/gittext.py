@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell import schema
 from tracewell.functions.text import is_full_sha, is_rewrite_subject, text_lines
 
 #: Starts of the lines that mark a conflict's sides.
@@ -38,7 +39,7 @@ def reflog_rewrites(entries: DataFrame) -> DataFrame:
     return pairs.select("ref", "old", F.col("sha").alias("new"))
 
 
-def commits(lines: DataFrame, line: str = "line", pos: str = "pos", most: int = 5000) -> DataFrame:
+def commits(lines: DataFrame, line: str = "line", pos: str = "pos", most: int = schema.MAX_COMMITS) -> DataFrame:
     """(pos, sha, author_email, committed_at) of tab-separated lines, the first `most` by pos."""
     part = F.split(F.col(line), "\t")
     rows = lines.select(F.col(pos).alias("pos"), F.get(part, 0).alias("sha"), F.get(part, 1).alias("author_email"), F.get(part, 2).try_cast("bigint").alias("committed_at"))

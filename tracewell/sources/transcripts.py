@@ -70,19 +70,19 @@ def latest_model(ev: DataFrame) -> DataFrame:
     return per.select("session_file", F.when(F.coalesce(F.col("without") < F.col("named"), F.lit(True)), F.col("model")).alias("model"))
 
 
-def _edits_of(tool: Column) -> Column:
-    """(file, before, after) of a tool use; the parts of a MultiEdit are edits of their own, a patch one for each file."""
+def edits_of_tool(name: Column, given: Column) -> Column:
+    """(file, before, after) of what a tool was given; the parts of a MultiEdit are edits of their own, a patch one for each file."""
     shape = "array<struct<file:string,before:string,after:string>>"
-    name, file = _text(tool, "$.name"), _text(tool, "$.input.file_path")
+    file = _text(given, "$.file_path")
 
     def one(before: Column, after: Column) -> Column:
         return F.struct(file.alias("file"), F.coalesce(before, F.lit("")).alias("before"), after.alias("after"))
 
-    parts = F.try_variant_get(tool, "$.input.edits", "array<variant>")
+    parts = F.try_variant_get(given, "$.edits", "array<variant>")
     multi = F.transform(parts, lambda e: one(_text(e, "$.old_string"), F.coalesce(_text(e, "$.new_string"), F.lit(""))))
-    single = F.array(one(_text(tool, "$.input.old_string"), F.coalesce(_text(tool, "$.input.new_string"), F.lit(""))))
-    write = F.array(one(F.lit(""), F.coalesce(_text(tool, "$.input.content"), F.lit(""))))
-    patch = F.transform(patch_files(_text(tool, "$.input.command")), lambda p: F.struct(p["file"].alias("file"), F.lit("").alias("before"), p["added"].alias("after")))
+    single = F.array(one(_text(given, "$.old_string"), F.coalesce(_text(given, "$.new_string"), F.lit(""))))
+    write = F.array(one(F.lit(""), F.coalesce(_text(given, "$.content"), F.lit(""))))
+    patch = F.transform(patch_files(_text(given, "$.command")), lambda p: F.struct(p["file"].alias("file"), F.lit("").alias("before"), p["added"].alias("after")))
     has = file.isNotNull()
     return F.when((name == "Edit") & has, single).when((name == "Write") & has, write).when((name == "MultiEdit") & has, multi).when(name == schema.PATCH_TOOL, patch).otherwise(F.array()).cast(shape)
 
@@ -103,7 +103,7 @@ def edits(ev: DataFrame, turn_table: DataFrame) -> DataFrame:
     """(session_file, line_no, part, turn_index, tool_name, tool_use_id, file, before, after, model, ts): each belongs to the
     last turn before it in its file, to turn 0 if there is none."""
     uses = ev.where("type = 'assistant'").select("session_file", "line_no", "model", "ts", F.posexplode("tools").alias("use", "tool"))
-    found = uses.select("session_file", "line_no", "use", "model", "ts", _text(F.col("tool"), "$.name").alias("tool_name"), _text(F.col("tool"), "$.id").alias("tool_use_id"), F.posexplode(_edits_of(F.col("tool"))).alias("part", "e"))
+    found = uses.select("session_file", "line_no", "use", "model", "ts", _text(F.col("tool"), "$.name").alias("tool_name"), _text(F.col("tool"), "$.id").alias("tool_use_id"), F.posexplode(edits_of_tool(_text(F.col("tool"), "$.name"), F.try_variant_get("tool", "$.input", "variant"))).alias("part", "e"))
     marks = turn_table.select("session_file", "line_no", F.lit(-1).alias("use"), F.lit(0).alias("part"), F.col("turn_index").alias("t"))
     both = found.withColumn("t", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
     order = Window.partitionBy("session_file").orderBy("line_no", "use", "part").rowsBetween(Window.unboundedPreceding, 0)
