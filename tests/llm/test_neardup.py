@@ -101,3 +101,23 @@ def test_an_id_of_several_texts_is_the_one_of_the_smallest_hash(spark):
 def test_ids_that_are_no_numbers_are_null(spark):
     rows = spark.createDataFrame([("x1", "a b c d"), ("7", "a b c d")], "doc_id string, text string")
     assert sorted(map(str, neardup.near_duplicates(rows).select("doc_id", "component_id", "kept").collect())) == ["Row(doc_id=7, component_id=7, kept=True)", "Row(doc_id=None, component_id=None, kept=True)"]
+
+
+def test_pointers_reach_their_ends(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(40) if i != 20] + [(100, 0), (101, 100)], "a long, b long")
+    at, n = neardup.roots(links)
+    got = {r.id: r.component for r in at.collect()}
+    assert got == {**{i: 0 if i <= 20 else 21 for i in range(41)}, 100: 0, 101: 0} and n == len(got)
+    more, n = neardup.joined(at, n, spark.createDataFrame([(30, 5), (5, 30), (7, 200), (300, 301), (1, 2)], "a long, b long"))
+    got = {r.id: r.component for r in more.collect()}
+    assert got == {**dict.fromkeys([*range(41), 100, 101, 200], 0), 300: 300, 301: 300} and n == len(got)
+
+
+def test_hot_keys_are_dealt_into_parts(spark, monkeypatch):
+    texts = made_texts(8, groups=3, size=12)
+    want = near_components(texts, 3, 85)
+    monkeypatch.setattr(neardup, "TOGETHER", 2)
+    monkeypatch.setattr(neardup, "SMALL", 0)
+    monkeypatch.setattr(neardup, "small", lambda df, n: df)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts), 3, 85, block=4).collect()}
+    assert [got[i] for i in range(len(texts))] == want

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.plans.materialize import counted, small
 from tracewell.plans.materialize import keep as cut
 from tracewell.plans.materialize import shared_folder as shared_dir
 
-__all__ = ["beside_text", "bounded_sample", "cut", "fold", "hot_slots", "join_hot", "labelled_texts", "salted", "shared_dir", "slot_filter", "slot_split", "unpacked"]
+__all__ = ["beside_text", "bounded_sample", "counted", "cut", "fold", "hot_slots", "join_hot", "labelled_texts", "salted", "shared_dir", "slot_filter", "slot_split", "small", "unpacked"]
 
 #: Upper bound on the distinct slots of `slot_filter`, and so on what it broadcasts (16 bytes a slot).
 SLOTS = 1 << 20
@@ -39,7 +40,7 @@ def slot_filter(df: DataFrame, df_key: Column, wanted: DataFrame, wanted_key: Co
 
 def slot_split(df: DataFrame, df_key: Column, wanted: DataFrame, wanted_key: Column, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """(rows of df whose key may be among wanted's keys, rows whose key isn't); bounded like slot_filter."""
-    named = F.broadcast(cut(wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(slots)).alias("__slot")).distinct()))
+    named = F.broadcast(counted(wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(slots)).alias("__slot")).distinct())[0])
     with_slot = df.withColumn("__slot", F.pmod(F.xxhash64(df_key), F.lit(slots)))
     return tuple(with_slot.join(named, "__slot", how).drop("__slot") for how in ("left_semi", "left_anti"))
 
@@ -54,8 +55,8 @@ def salted(many: DataFrame, few: DataFrame, on: list[str], spread: Column, how:
 
 def hot_slots(counts: DataFrame, on: list[str], n: str, most: int, slots: int = SLOTS) -> DataFrame | None:
     """Slots of the keys of counts (on, n) that have more than `most` rows, for join_hot(); None if there are none."""
-    hot = cut(counts.where(F.col(n) > most).select(F.pmod(F.xxhash64(*on), F.lit(slots)).alias("__slot")).distinct())
-    return None if hot.isEmpty() else hot
+    hot, (rows,) = counted(counts.where(F.col(n) > most).select(F.pmod(F.xxhash64(*on), F.lit(slots)).alias("__slot")).distinct())
+    return hot if rows else None
 
 
 def join_hot(many: DataFrame, few: DataFrame, on: list[str], spread: str, hot: DataFrame | None, how: str = "inner", parts: int = 16, slots: int = SLOTS) -> DataFrame:
@@ -76,13 +77,14 @@ def join_hot(many: DataFrame, few: DataFrame, on: list[str], spread: str, hot: D
 STATED = 1024
 
 
-def bounded_sample(df: DataFrame, key: Column, group: Column, per_group: int, salt: str) -> DataFrame:
+def bounded_sample(df: DataFrame, key: Column, group: Column, per_group: int, salt: str, known: dict | None = None) -> DataFrame:
     """About per_group rows of each group that isn't null, chosen by a hash of the key.
 
     Two passes and, but for very many groups, no shuffle of rows: the groups are counted, then each keeps the rows whose
-    hash lies under its own share, so a group of a third of all rows costs no more than any other."""
+    hash lies under its own share, so a group of a third of all rows costs no more than any other.  known: the counts of
+    the groups, where they have been counted."""
     counts = df.groupBy(group.alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where("__g is not null")
-    few = counts.limit(STATED + 1).collect()
+    few = list(known.items()) if known is not None else [tuple(r) for r in counts.limit(STATED + 1).collect()]
     if not few:
         return df.limit(0)
     u = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, salted
+from tracewell.llm.common import counted, cut, salted
 
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
 LEVELS, BITS = 5, 12
@@ -59,38 +59,39 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def with_plan(rows: DataFrame, plan: DataFrame, source: Column, spread: Column) -> DataFrame:
-    """rows with the columns of their source's row in the plan (s, ...), which is written out."""
+def with_plan(rows: DataFrame, plan: DataFrame, sources: int, source: Column, spread: Column) -> DataFrame:
+    """rows with the columns of their source's row in the plan (s, ...)."""
     keyed = plan.withColumn("__none", F.col("s").isNull()).withColumn("__source", F.coalesce("s", F.lit(""))).drop("s")
     at = rows.withColumns({"__none": source.isNull(), "__source": F.coalesce(source, F.lit(""))})
-    if plan.count() <= BROADCAST:
+    if sources <= BROADCAST:
         return at.join(F.broadcast(keyed), ["__none", "__source"]).drop("__none", "__source")
     return salted(at, keyed, ["__none", "__source"], spread).drop("__none", "__source")
 
 
-def plan_mix(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """(s, source_size, target, whole, threshold), a row for each source of (source, size, hash)."""
+def plan_mix(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> tuple[DataFrame, int]:
+    """(s, source_size, target, whole, threshold), a row for each source of (source, size, hash), and how many these are."""
     plan = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("lack", F.col("target") - F.col("whole") * F.col("source_size"))
     # the boundary so far: hashes that begin with `prefix`, `under` words lie before them
-    plan = cut(plan.withColumns({"prefix": F.lit(0).cast("long"), "under": F.lit(0).cast("long")}))
+    plan, (sources,) = counted(plan.withColumns({"prefix": F.lit(0).cast("long"), "under": F.lit(0).cast("long")}))
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        at = with_plan(thin, plan.select(F.col("source").alias("s"), "prefix", "under", "lack"), F.col("source"), F.col("hash"))
+        at = with_plan(thin, plan.select(F.col("source").alias("s"), "prefix", "under", "lack"), sources, F.col("source"), F.col("hash"))
         inside = at.where(F.shiftright("hash", shift + BITS) == F.col("prefix")) if level > 1 else at
         sums = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.first("under").alias("under"), F.first("lack").alias("lack"))
         run = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
         # the last bucket that is begun: what lies before it is wholly within the target
         begun = sums.withColumn("before", F.col("under") + run - F.col("words")).where("before <= lack").groupBy(F.col("source").alias("s")).agg(F.max(F.struct("bucket", "before", "words")).alias("b"))
-        plan = cut(
+        plan, _ = counted(
             plan.join(begun, F.col("source").eqNullSafe(F.col("s")), "left").select(
                 "source", "source_size", "target", "whole", "lack", F.coalesce("b.bucket", F.shiftleft("prefix", BITS)).alias("prefix"), F.coalesce("b.before", "under").alias("under"), F.coalesce("b.words", F.lit(0)).alias("words"),
             )
         )
     # the last hash itself goes with the target if its middle does
     within = F.col("under") + F.col("words") / 2 <= F.col("lack")
-    return cut(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("prefix") + F.when(within, 1).otherwise(0)).alias("threshold")))
+    done, _ = counted(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", (F.col("prefix") + F.when(within, 1).otherwise(0)).alias("threshold")))
+    return done, sources
 
 
 def _copies(hash_: Column, most: int) -> Column:
@@ -104,18 +105,19 @@ def _thin(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), a row for each row of docs."""
     thin = _thin(docs, id_col, text_col, source_col)
-    plan = plan_mix(thin, weights, budget, most)
-    out = with_plan(thin, plan, F.col("source"), F.col("hash")).withColumn("copies", _copies(F.col("hash"), most))
+    plan, sources = plan_mix(thin, weights, budget, most)
+    out = with_plan(thin, plan, sources, F.col("source"), F.col("hash")).withColumn("copies", _copies(F.col("hash"), most))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its number from 1 on in a new column `copy`."""
-    plan = plan_mix(_thin(docs, id_col, text_col, source_col), weights, budget, most).select("s", F.struct("whole", "threshold").alias("__plan"))
+    plan, sources = plan_mix(_thin(docs, id_col, text_col, source_col), weights, budget, most)
+    plan = plan.select("s", F.struct("whole", "threshold").alias("__plan"))
     name = "copy"
     while name in docs.columns:
         name += "_"
-    joined = with_plan(docs, plan, F.col(f"`{source_col}`").cast("string"), id_hash(F.col(f"`{id_col}`")))
+    joined = with_plan(docs, plan, sources, F.col(f"`{source_col}`").cast("string"), id_hash(F.col(f"`{id_col}`")))
     copies = F.least(F.col("__plan.whole") + (id_hash(F.col(f"`{id_col}`")) < F.col("__plan.threshold")).cast("long"), F.lit(most).cast("long"))
     rows = joined.withColumn(name, F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.expr("cast(array() as array<long>)"))))
     return rows.drop("__plan")

@@ -38,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, hot_slots, join_hot, slot_filter
+from tracewell.llm.common import counted, cut, hot_slots, join_hot, slot_filter, small
+from tracewell.plans.materialize import SMALL, release
 
 SAMPLES, BANDS, ROWS, SKETCH_BITS = 128, 30, 4, 256
 #: Members of a bucket that one task sets against the queries at a time: by sketches alone, and with their texts.
@@ -213,18 +214,20 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, numerator: int, denom
     return rows.mapInArrow(_confirm(width, numerator, denominator), "a long, b long")
 
 
-def roots(links: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """(id, component) of links (a, b) that give each a one b < a: what each a reaches in the end, and itself for each such end.
+def roots(links: DataFrame, hot: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """(id, component) of links (a, b) that give each a one b < a: what each a reaches in the end, and itself for each
+    such end; and how many rows that is at most.
 
     Each round every pointer jumps to its target's target, so chains halve; nothing is collected but whether any moved."""
-    at = cut(links.select(F.col("a").alias("id"), F.col("b").alias("component")))
+    at, (n,) = counted(links.select(F.col("a").alias("id"), F.col("b").alias("component")))
     while True:
-        further = at.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = cut(join_hot(at, further, ["component"], "id", hot, "left").select("id", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")))
+        further = small(at.select(F.col("id").alias("component"), F.col("component").alias("next")), n)
+        new, (_, moved) = counted(join_hot(at, further, ["component"], "id", hot if n > SMALL else None, "left").select("id", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")), F.col("moved"))
         at = new.select("id", "component")
-        if new.where("moved").isEmpty():
+        if not moved:
             ends = at.select(F.col("component").alias("id")).distinct()
-            return cut(at.union(ends.select("id", F.col("id").alias("component"))))
+            every, (n,) = counted(at.union(ends.select("id", F.col("id").alias("component"))))
+            return every, n
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,31 +236,32 @@ def components(links: DataFrame) -> DataFrame:
     Labels move to neighbours and then jump to their label's label, so chains shorten by powers of two; each round is
     written out.  Nothing is collected but whether any label changed.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component"))
-    labels = cut(labels)
+    both, (n,) = counted(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = counted(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("component")))[0]
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        moved = labels.join(near, labels.id == near.a, "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        jump = labels.select(F.col("id").alias("new"), F.col("component").alias("further"))
-        new = cut(moved.join(jump, "new", "left").select("id", "old", F.least("new", "further").alias("component")))
-        if new.where(F.col("old") != F.col("component")).isEmpty():
-            return new.select("id", "component")
+        near = both.join(small(labels.withColumnRenamed("id", "b"), n), "b").groupBy("a").agg(F.min("component").alias("near"))
+        moved = labels.join(small(near.withColumnRenamed("a", "id"), n), "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        jump = small(labels.select(F.col("id").alias("new"), F.col("component").alias("further")), n)
+        new, (_, changed) = counted(moved.join(jump, "new", "left").select("id", "old", F.least("new", "further").alias("component")), F.col("old") != F.col("component"))
         labels = new.select("id", "component")
+        if not changed:
+            return labels
 
 
-def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+def joined(comps: DataFrame, n: int, links: DataFrame) -> tuple[DataFrame, int]:
     """comps (id, component) after further links: their components are joined, and ids that had none come in.
 
     Only components that a link joins are looked at, which are far fewer than documents."""
-    of = {side: comps.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")) for side in ("a", "b")}
+    of = {side: small(comps.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), n) for side in ("a", "b")}
     between = links.select("a", "b").distinct().join(of["a"], "a", "left").join(of["b"], "b", "left")
-    between = cut(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b").distinct())
-    if between.isEmpty():
-        return comps
+    between, (pairs,) = counted(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b").distinct())
+    if not pairs:
+        return comps, n
     moved = components(between).select(F.col("id").alias("component"), F.col("component").alias("new"))
-    new = moved.join(comps.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("new").alias("component"))
-    return cut(comps.join(moved, "component", "left").select("id", F.coalesce("new", "component").alias("component")).union(new))
+    ends = comps.select("component").distinct()
+    new = moved.join(small(ends, n), "component", "left_anti").select(F.col("component").alias("id"), F.col("new").alias("component"))
+    every, (n,) = counted(comps.join(small(moved, 2 * pairs), "component", "left").select("id", F.coalesce("new", "component").alias("component")).union(new))
+    return every, n
 
 
 def _settle(width: int, numerator: int, denominator: int, bound: int):
@@ -379,16 +383,16 @@ def _blocks(members: DataFrame, block: int, block_bytes: int | None, hot: DataFr
     return rows.select("key", "id", "component", "size", "s0", "s1", "s2", "s3", at.alias("at")).select("at.mb", "at.qb", "key", "id", "component", "size", "s0", "s1", "s2", "s3", "at.q", "at.m")
 
 
-def _between(members: DataFrame, hot: DataFrame | None, comps: DataFrame, sketches: DataFrame, docs: DataFrame, bound: int, block: int, width: int, numerator: int, denominator: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, sketch_block: int = SKETCH_BLOCK) -> DataFrame:
+def _between(members: DataFrame, hot: DataFrame | None, comps: DataFrame, n: int, sketches: DataFrame, docs: DataFrame, bound: int, block: int, width: int, numerator: int, denominator: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, sketch_block: int = SKETCH_BLOCK) -> DataFrame | None:
     """Links (a, b) between different components within these buckets; enough of them to join what any link joins."""
-    at = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    at = members.join(small(comps, n), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = at.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one != other").select("key")
     full = cut(join_hot(at, mixed, ["key"], "id", hot).join(sketches, "id"))
     near = _blocks(full, sketch_block, None, hot).repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
     found = near.mapInArrow(_near(bound), "key long, id long, component long, size long, s0 long, s1 long, s2 long, s3 long")
-    involved = cut(found.distinct())  # a row for each document and bucket, no pairs
-    if involved.isEmpty():
-        return involved.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    involved, (rows,) = counted(found.distinct())  # a row for each document and bucket, no pairs
+    if not rows:
+        return None
     texts = _texts(docs, involved.select("id").distinct(), id_col, text_col)
     ready = _blocks(involved, block, block_bytes, hot).join(texts, "id").select("key", "mb", "qb", "id", "component", "q", "m", "s0", "s1", "s2", "s3", "text")
     ready = ready.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb", "id")
@@ -402,8 +406,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     sig = cut(signatures(docs, width, id_col, text_col))
     known = sig.where("n_shingles > 0 and id is not null")
     # an id of several texts is the one of the smallest hash
-    several = cut(sig.where("id is not null").groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("id", "one"))
-    of_several = not several.isEmpty()
+    several, (of_several,) = counted(sig.where("id is not null").groupBy("id").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other").select("id", "one"))
     if of_several:
         known = known.join(several, "id", "left").where("one is null or one = h").drop("one")
     # copies are thousands of equal rows: their sums are made before the shuffle
@@ -420,13 +423,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     scored = met.select(F.col("id").alias("a"), F.col("hub").alias("b"), flips.alias("flips")).where(F.col("flips") <= bound)
     best = scored.groupBy("a").agg(F.min(F.struct("flips", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = confirm(best, docs, *how, hot_hubs)
-    comps = roots(links, hot_hubs)
+    comps, n = roots(links, hot_hubs)
     for first, last in BAND_ROUNDS:
+        release(docs.sparkSession)
         some = members.where(F.col("band").between(first, last)).select("key", "id")
-        found = cut(_between(some, hot_keys, comps, sketches, docs, bound, block, *how))
-        if not found.isEmpty():
-            comps = joined(comps, found)
-    own = classes.select("set_key", "rep").join(comps, classes.rep == comps.id, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+        found = _between(some, hot_keys, comps, n, sketches, docs, bound, block, *how)
+        if found is not None:
+            comps, n = joined(comps, n, found)
+    own = classes.select("set_key", "rep").join(small(comps.withColumnRenamed("id", "rep"), n), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    release(docs.sparkSession)
     hot_sets = hot_slots(classes.select("set_key", "n"), ["set_key"], "n", TOGETHER)
     out = join_hot(sig.select("id", "h", "n_shingles", "set_key"), own, ["set_key"], "id", hot_sets, "left")
     if of_several:

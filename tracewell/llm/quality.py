@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import beside_text, bounded_sample, fold, labelled_texts
+from tracewell.plans.materialize import release
 
 DIM, WIDTH, STRIDE, FILTERS, HALF = 6, 8, 4, 24, 256
 LAGS = range(2, 41)
@@ -197,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Constant(float(next(iter(counts), 1)))
-    rows = labelled_texts(docs, bounded_sample(known, F.col("id"), F.col("y"), per_class, "quality"), id_col, text_col, most_bytes)
+    rows = labelled_texts(docs, bounded_sample(known, F.col("id"), F.col("y"), per_class, "quality", counts), id_col, text_col, most_bytes)
+    release(docs.sparkSession)
     if len({y for _, y in rows}) < 2:
         return Constant(counts.get(1, 0) / sum(counts.values()))
     y = np.array([y for _, y in rows])

@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import beside_text, bounded_sample, fold, labelled_texts
+from tracewell.plans.materialize import release
 
 FOLDS, HELD_OUT = 5, 0
 #: Bounds of what is learned from: labelled rows of a class (and rows of any kind), and bytes of all their texts.
-PER_CLASS, MOST_BYTES = 1500, 24 << 20
+PER_CLASS, MOST_BYTES = 1500, 48 << 20
 #: Lexicon voters that are mined at most, and telling terms that the classifier looks at.
 VOTERS, POOL = 60, 2000
 PREFIXES, LEVELS = (4, 5, 6), 3
@@ -284,11 +285,11 @@ def train(
     """Learns from labelled rows outside the held-out fold and from unlabelled rows; per_class and most_bytes bound what comes to the driver."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where((fold(F.col("id"), folds) != held_out) & F.col("y").isin(0, 1)).distinct()
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = labelled_texts(docs, bounded_sample(known, F.col("id"), F.col("y"), per_class, "toxicity"), id_col, text_col, most_bytes)
-    # rows of any kind, their labels unseen
+    # and rows of any kind, their labels unseen
     others = docs.select(F.col(id_col).alias("id"), F.lit(-1).alias("y")).where(F.col("id").isNotNull() & (fold(F.col("id"), folds) != held_out))
-    rows += labelled_texts(docs, bounded_sample(others, F.col("id"), F.col("y"), per_class, "any"), id_col, text_col, most_bytes)
-    rows = sorted((y, t) for t, y in rows)
+    chosen = bounded_sample(known, F.col("id"), F.col("y"), per_class, "toxicity", counts).unionByName(bounded_sample(others, F.col("id"), F.col("y"), per_class, "any"))
+    rows = sorted((y, t) for t, y in labelled_texts(docs, chosen, id_col, text_col, most_bytes))
+    release(docs.sparkSession)
     texts, y = [t for _, t in rows], np.array([a for a, _ in rows])
     copies = Counter(clusters := [(a, _cluster(t)) for a, t in rows])
     weight = np.array([1 / copies[c] for c in clusters])
