@@ -31,7 +31,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """The smallest doc_id of each group of documents linked by five-word shingles and a similarity of 0.8 or more."""
     dropped = cut(neardup.near_duplicates(docs, width=5, numerator=80, denominator=100).where("not kept").select("doc_id").distinct())
     some, others = slot_split(docs, F.col("doc_id"), dropped, F.col("doc_id"))  # so that few texts are dealt out
-    return some.join(dropped, "doc_id", "left_anti").select(*docs.columns).unionByName(others.select(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return some.join(dropped, "doc_id", "left_anti").select(*columns).unionByName(others.select(*columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
