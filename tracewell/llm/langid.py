@@ -32,17 +32,21 @@ from tracewell.llm.common import beside_text, bounded_sample, fold
 
 FOLDS, HELD_OUT = 5, 0
 #: Bytes of a dictionary, of all of them, of a compressed block, and of a piece of a training text.
-DICT_BYTES, ALL_BYTES, BLOCK, PIECE = 96 << 10, 64 << 20, 1024, 64
+DICT_BYTES, ALL_BYTES, BLOCK, PIECE = 96 << 10, 64 << 20, 1024, 80
 #: Matches from 3 bytes on: syllables tell languages apart, and the levels' own settings look for longer ones.
 SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 3, "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 3, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 #: Numbers that aren't decimal digits are word characters to the pattern, but no letters.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NO_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBER_SET, _TO_SPACE = frozenset(_NUMBERS), dict.fromkeys(map(ord, _NUMBERS), " ")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
     """Lower-cased words of letters, one space between."""
-    return _NO_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
+    words = _NO_LETTERS.sub(" ", (text or "").lower()).strip()
+    if not words.isascii() and not _NUMBER_SET.isdisjoint(words):
+        words = " ".join(words.translate(_TO_SPACE).split())
+    return words.encode("utf-8", "surrogatepass")
 
 
 def pieces(data: bytes, share: int) -> bytes:
