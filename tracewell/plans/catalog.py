@@ -854,7 +854,9 @@ def stream_turn_numbering(spark, d):
     ev = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(None).cast("string").alias("prompt"), F.col("ts").cast("timestamp").alias("at"))
     ev.write.json(f"{home}/in")
     streaming.run_to_end(streaming.numbered_turns(streaming.read_events(spark, f"{home}/in", files_per_batch=1_000_000)), f"{home}/out", f"{home}/state")
-    return spark.read.parquet(f"{home}/out").select("session_id", "seq", "turn_index", "kind")
+    out = keep(spark.read.parquet(f"{home}/out").select("session_id", "seq", "turn_index", "kind"))
+    remove(spark, home)
+    return out
 
 
 # --- capture ------------------------------------------------------------------------------------------------------
