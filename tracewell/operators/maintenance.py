@@ -10,6 +10,7 @@ from tracewell.functions import redact
 from tracewell.functions.text import ZERO_SHA, edit_key
 from tracewell.operators.index import flatten_edits, rebuild_notes
 from tracewell.operators.search import reachable
+from tracewell.plans.materialize import keep
 from tracewell.sources.gittext import split_conflicts
 from tracewell.sources.notes import parse_notes, to_json
 
@@ -199,14 +200,14 @@ def resolve_conflicts(conflicts: DataFrame, target_ref: str = schema.PUBLIC_REF,
     A text without markers has to be a note, and stays as it is.  A side that is no note, or is of a version that isn't
     known, is an error that names the side and the way back; its commit has no body then."""
     docs = conflicts.select("commit_sha", F.col(body).alias("__text"))
-    sides = split_conflicts(docs.select("commit_sha", F.col("__text").alias("b")), "commit_sha", "b")
-    parsed = {side: parse_notes(sides.select("commit_sha", F.col(side).alias("body"))) for side in ("local", "incoming")}
+    sides = keep(split_conflicts(docs.select("commit_sha", F.col("__text").alias("b")), "commit_sha", "b"))
+    parsed = {side: keep(parse_notes(sides.select("commit_sha", F.col(side).alias("body")))) for side in ("local", "incoming")}
     plain = docs.join(sides.select("commit_sha"), "commit_sha", "left_anti")
     back = F.lit(f"; `git notes --ref={target_ref} merge --abort` backs out")
     bad = None
     for side, notes in parsed.items():
         told = notes.where("error is not null").select("commit_sha", F.concat(F.lit(f"{side} note of "), "commit_sha", F.lit(": "), "error", back).alias("error"))
-        bad = told if bad is None else bad.unionByName(told.join(bad, "commit_sha", "left_anti"))
+        bad = told if bad is None else keep(bad.unionByName(told.join(bad, "commit_sha", "left_anti")))
     good = [flatten_edits(notes.where("error is null").join(bad, "commit_sha", "left_anti")) for notes in parsed.values()]
     merged = to_json(rebuild_notes(merge(*good))).select("commit_sha", F.col("body").alias("merged"))
     empty = F.lit(f'{{"version":{schema.SCHEMA_VERSION},"edits":[]}}')
