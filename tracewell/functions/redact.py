@@ -170,11 +170,6 @@ def redact(df, text_col: str, rules: Sequence[str] = (), emails: bool = True, ou
     return state.withColumn(out, F.struct(F.col("__t").alias("text"), counts.alias("counts"))).drop("__t", *(c for _, c in kinds))
 
 
-def redacted_text(text, rules: Sequence[str] = (), emails: bool = True) -> Column:
-    """The redacted text alone."""
-    return reduce(lambda t, p: one_pass(t, *p)[0], passes(rules, emails), col(text))
-
-
 def scrub(text, pattern: str, replacement: str = marker("provignore-rule:cli")) -> Column:
     """(text, n): every match of a user's pattern replaced."""
     plain = replacement.replace("\\", "\\\\").replace("$", "\\$")

@@ -20,6 +20,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def trimmed(t) -> Column:
+    """Without white space of Unicode, line ends among it, at both ends."""
+    return F.regexp_replace(col(t), rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
 def line_hash(line) -> Column:
     """Content hash of a line without its terminator; equality is all that is asked of it."""
     return F.sha2(col(line), HASH_BITS)
@@ -116,7 +121,7 @@ def project_dir(path) -> Column:
 
 def quote_prompt(prompt, most: int = 200) -> Column:
     """First line for a bullet: double quotes made single, trimmed, cut, quoted."""
-    first = F.trim(F.translate(F.coalesce(F.get(text_lines(prompt), 0), F.lit("")), '"', "'"))
+    first = trimmed(F.translate(F.coalesce(F.get(text_lines(prompt), 0), F.lit("")), '"', "'"))
     cut = F.when(F.octet_length(first) > most, F.concat(F.substring(first, 1, most), F.lit("…"))).otherwise(first)
     return F.concat(F.lit('"'), cut, F.lit('"'))
 
@@ -162,4 +167,5 @@ def edit_key(e: str = "") -> list[Column]:
 
 
 def strip_ref(target) -> Column:
-    return F.regexp_replace(F.trim(col(target)), r"\Aref: ", "")
+    """What a ref file points at; such a file ends with a line feed."""
+    return F.regexp_replace(trimmed(target), r"\Aref: ", "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schema
 from tracewell.functions import redact
-from tracewell.functions.text import is_private, is_session_id, line_hash, relativize, split_lines
+from tracewell.functions.text import is_private, is_session_id, line_hash, relativize, split_lines, trimmed
 from tracewell.operators.matching import finished_sessions, match_edits
 from tracewell.sources.transcripts import _text, edits_of_tool
 
@@ -60,7 +60,7 @@ def payloads(events: DataFrame, value: str = "value") -> DataFrame:
 
     Empty text counts as an empty object; broken JSON, and payloads beyond the limit, are left out.  The session is the
     payload's session_id, else its turn_id; rows without a valid one are left out too."""
-    text = F.when(F.trim(F.coalesce(value, F.lit(""))) == "", F.lit("{}")).otherwise(F.col(value))
+    text = F.when(trimmed(F.coalesce(value, F.lit(""))) == "", F.lit("{}")).otherwise(F.col(value))
     fit = events.withColumn("__v", F.try_parse_json(text)).where((F.octet_length(text) <= schema.MAX_PAYLOAD_BYTES) & F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT")))
     get = lambda name: _text(F.col("__v"), f"$.{name}")
     out = fit.withColumns(

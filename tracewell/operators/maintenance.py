@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schema
 from tracewell.functions import redact
-from tracewell.functions.text import ZERO_SHA, edit_key
+from tracewell.functions.text import ZERO_SHA, edit_key, trimmed
 from tracewell.operators.index import flatten_edits, rebuild_notes
 from tracewell.operators.search import reachable
 from tracewell.plans.materialize import keep
@@ -213,6 +213,6 @@ def resolve_conflicts(conflicts: DataFrame, target_ref: str = schema.PUBLIC_REF,
     empty = F.lit(f'{{"version":{schema.SCHEMA_VERSION},"edits":[]}}')
     clean = sides.select("commit_sha").join(bad, "commit_sha", "left_anti").join(merged, "commit_sha", "left").select("commit_sha", F.coalesce("merged", empty).alias("body"), F.lit(None).cast("string").alias("error"))
     as_is = parse_notes(plain.select("commit_sha", F.col("__text").alias("body"))).select("commit_sha", "error").join(plain, "commit_sha")
-    as_is = as_is.select("commit_sha", F.when(F.col("error").isNull(), F.trim("__text")).alias("body"), F.when(F.col("error").isNotNull(), F.concat(F.lit("note of "), "commit_sha", F.lit(": "), "error", back)).alias("error"))
+    as_is = as_is.select("commit_sha", F.when(F.col("error").isNull(), trimmed("__text")).alias("body"), F.when(F.col("error").isNotNull(), F.concat(F.lit("note of "), "commit_sha", F.lit(": "), "error", back)).alias("error"))
     failed = bad.select("commit_sha", F.lit(None).cast("string").alias("body"), "error")
     return clean.unionByName(as_is).unionByName(failed)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import schema
-from tracewell.functions.text import is_full_sha, is_rewrite_subject, text_lines
+from tracewell.functions.text import SPACE, is_full_sha, is_rewrite_subject, text_lines, trimmed
 
 #: Starts of the lines that mark a conflict's sides.
 OURS, BETWEEN, THEIRS = "<<<<<<<", "=======", ">>>>>>>"
@@ -16,12 +16,12 @@ OURS, BETWEEN, THEIRS = "<<<<<<<", "=======", ">>>>>>>"
 
 def rewrite_pairs(lines: DataFrame, line: str = "line") -> DataFrame:
     """(old, new) of `old new` lines; other lines are dropped."""
-    part = F.split(F.trim(line), r"\s+")
+    part = F.split(trimmed(line), SPACE + "+")
     return lines.select(F.get(part, 0).alias("old"), F.get(part, 1).alias("new")).where(is_full_sha("old") & is_full_sha("new"))
 
 
 def push_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    part = F.split(F.trim(line), r"\s+")
+    part = F.split(trimmed(line), SPACE + "+")
     names = ("local_ref", "local_sha", "remote_ref", "remote_sha")
     return lines.where(F.size(part) >= 4).select(*(F.get(part, i).alias(n) for i, n in enumerate(names)))
 

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell import schema
+from tracewell.functions.text import trimmed
 
 
 def read_lines(spark: SparkSession, path: str, most_bytes: int = schema.MAX_PAYLOAD_BYTES) -> DataFrame:
     """(session_file, line_no, value) of the .jsonl files at path; files beyond most_bytes are left out."""
     files = spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(path, wholetext=True)
     rows = files.where(F.col("_metadata.file_size") <= most_bytes).select(F.col("_metadata.file_path").alias("session_file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return rows.where(F.trim("value") != "")
+    return rows.where(trimmed("value") != "")
 
 
 def _text(v, path: str) -> Column:
@@ -31,7 +32,7 @@ def events(lines: DataFrame) -> DataFrame:
     blocks = F.try_variant_get("v", "$.message.content", "array<variant>")
     texts = F.transform(F.filter(blocks, lambda b: _text(b, "$.type") == "text"), lambda b: _text(b, "$.text"))
     results = F.exists(blocks, lambda b: F.coalesce(_text(b, "$.type") == "tool_result", F.lit(False)))
-    prompt = F.when(F.schema_of_variant(content) == "STRING", F.trim(F.try_variant_get("v", "$.message.content", "string"))).when(~F.coalesce(results, F.lit(False)), F.trim(F.array_join(F.array_compact(texts), "\n")))
+    prompt = F.when(F.schema_of_variant(content) == "STRING", trimmed(F.try_variant_get("v", "$.message.content", "string"))).when(~F.coalesce(results, F.lit(False)), trimmed(F.array_join(F.array_compact(texts), "\n")))
     return v.select(
         "session_file", "line_no", _text(F.col("v"), "$.type").alias("type"), _text(F.col("v"), "$.sessionId").alias("session_id"), _text(F.col("v"), "$.promptId").alias("prompt_id"),
         F.coalesce(F.try_variant_get("v", "$.isMeta", "boolean"), F.lit(False)).alias("is_meta"), _text(F.col("v"), "$.timestamp").alias("ts"), _text(F.col("v"), "$.cwd").alias("cwd"),
@@ -94,7 +95,7 @@ def patch_files(command: Column) -> Column:
     def section(s: Column) -> Column:
         lines = F.split(s, r"\r?\n")
         added = F.transform(F.filter(F.slice(lines, 2, 1 << 30), lambda x: F.startswith(x, F.lit("+"))), lambda x: F.substring(x, F.lit(2), F.length(x)))
-        return F.struct(F.trim(lines[0]).alias("file"), F.array_join(added, "\n").alias("added"), F.size(added).alias("n"))
+        return F.struct(trimmed(lines[0]).alias("file"), F.array_join(added, "\n").alias("added"), F.size(added).alias("n"))
 
     return F.filter(F.transform(sections, section), lambda p: p["n"] > 0)
 
