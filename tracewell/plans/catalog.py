@@ -705,11 +705,11 @@ def _diffs(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey AS diff_id, 'p' || l_partkey AS file, l_linenumber AS s, (l_tax * 100)::INT % 4 AS n, l_suppkey FROM lineitem) SELECT diff_id, file, (s + i - 1 - CASE WHEN i > 2 THEN 1 ELSE 0 END)::INT AS line_no, l_suppkey || ':' || i AS content
+    """WITH l AS (SELECT l_orderkey AS diff_id, 'p' || l_partkey AS file, l_linenumber AS s, (l_tax * 100)::INT % 4 AS n, l_suppkey FROM lineitem) SELECT diff_id, file, (s + i - 1 - CASE WHEN i > 2 THEN 1 ELSE 0 END)::INT AS line_no, l_suppkey || ':' || i AS content, sha256(l_suppkey || ':' || i) AS hash
   FROM l, LATERAL (SELECT unnest(range(1, n + 1)) AS i) WHERE i <> 2"""
 )
 def diff_parse(spark, d):
-    return diffs.added_lines(_diffs(spark, d)).select("diff_id", "file", "line_no", "content")
+    return diffs.added_lines(_diffs(spark, d)).select("diff_id", "file", "line_no", "content", "hash")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS diff_id, 'p' || l_partkey AS file, l_linenumber AS s, (l_tax * 100)::INT % 4 AS n FROM lineitem) SELECT DISTINCT diff_id, file, (s + i)::INT AS line_no FROM l, LATERAL (SELECT unnest(range(0, n)) AS i)""")
@@ -1047,3 +1047,120 @@ def settings_merge(spark, d):
         return F.array_join(line, ";")
 
     return once.select("name", shown(F.col("m")).alias("merged"), shown(settings.stripped(F.col("m"), "tool run")).alias("stripped"))
+
+
+# --- ids, paths, line protocols and staged turns ------------------------------------------------------------------
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 = 1 THEN u ELSE '/work/' || page_id % 3 || '/' || u END AS inside, replace(replace('/work/' || u, '/', '-'), '.', '-') AS folder, page_id % 4 = 0 AS session_ok, page_id % 3 = 0 AS sha_ok,
+  substr(h, 1, 8) AS short, 'refs/notes/' || page_id AS ref, sha256('"' || replace(coalesce(html, ''), '"', '""') || '"') AS phrase FROM (SELECT *, coalesce(url, '') AS u, sha256(page_id::VARCHAR) AS h FROM pages)"""
+)
+def ids_and_paths(spark, d):
+    """Paths below a root, project folders, session and commit ids, references, and whole pages as quoted phrases."""
+    p = table(spark, d, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("u"), F.coalesce("html", F.lit("")).alias("html"), F.sha2(F.col("page_id").cast("string"), 256).alias("h"))
+    path = F.concat(F.lit("/work/"), (F.col("page_id") % 3).cast("string"), F.lit("/"), "u")
+    session = F.expr("case page_id % 4 when 0 then concat('A_b:-', page_id) when 1 then concat('.', page_id) when 2 then '' else concat('a b', page_id) end")
+    sha = F.expr("case page_id % 3 when 0 then upper(substr(h, 1, 40)) when 1 then substr(h, 1, 41) else concat('g', substr(h, 1, 39)) end")
+    target = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" ref: refs/notes/"), "page_id", F.lit("\n "))).otherwise(F.concat(F.lit("refs/notes/"), "page_id"))
+    return p.select(
+        "page_id", text.relativize(path, F.lit("/work/1/")).alias("inside"), text.project_dir(F.concat(F.lit("/work/"), "u")).alias("folder"), text.is_session_id(session).alias("session_ok"), text.is_full_sha(sha).alias("sha_ok"),
+        text.short_sha("h").alias("short"), text.strip_ref(target).alias("ref"), F.sha2(text.quoted_phrase("html"), 256).alias("phrase"),
+    )
+
+
+@query("SELECT substr(sha256(o_orderkey::VARCHAR), 1, 40) AS old, substr(sha256('n' || o_orderkey), 1, 40) AS new FROM orders WHERE o_orderkey % 3 <> 1")
+def rewrite_pairs_read(spark, d):
+    """`old new` lines of every order, of which a third is too short to be a pair."""
+    line = F.expr("case o_orderkey % 3 when 0 then concat(old, ' ', new) when 1 then concat(old, ' ', substr(new, 2)) else concat('\t ', old, '\t', new, ' more\n') end")
+    both = table(spark, d, "orders").select("o_orderkey", F.expr("substr(sha2(cast(o_orderkey as string), 256), 1, 40)").alias("old"), F.expr("substr(sha2(concat('n', o_orderkey), 256), 1, 40)").alias("new"))
+    return gittext.rewrite_pairs(both.select(line.alias("line")))
+
+
+@query("SELECT substr(sha256(o_orderkey::VARCHAR), 1, 40) AS commit_sha, substr(sha256('b' || o_orderkey), 1, 40) AS blob FROM orders WHERE o_orderkey % 5 < 3")
+def notes_tree(spark, d):
+    """A notes tree with paths of no, one and two slashes; two fifths are folders, or names that aren't commits."""
+    o = table(spark, d, "orders").select("o_orderkey", F.expr("substr(sha2(cast(o_orderkey as string), 256), 1, 40)").alias("s"), F.expr("substr(sha2(concat('b', o_orderkey), 256), 1, 40)").alias("b"))
+    path = "case o_orderkey % 5 when 0 then s when 1 then concat(substr(s, 1, 2), '/', substr(s, 3)) when 4 then 'readme' else concat(substr(s, 1, 2), '/', substr(s, 3, 2), '/', substr(s, 5)) end"
+    return gittext.tree(o.select(F.expr(f"concat('100644 ', if(o_orderkey % 5 = 3, 'tree', 'blob'), ' ', b, '\t', {path})").alias("line")))
+
+
+@query("SELECT o_orderkey AS pos, sha256(o_orderkey::VARCHAR) AS sha, CASE WHEN o_orderkey % 2 = 0 THEN 'a@x.org' ELSE '' END AS author_email, epoch(o_orderdate)::BIGINT AS committed_at FROM orders WHERE o_orderkey % 7 <> 0 ORDER BY 1 LIMIT 5000")
+def commit_log(spark, d):
+    """The log's first commits, as many as are read at most; lines without a time are none."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.expr("concat(sha2(cast(o_orderkey as string), 256), '\t', if(o_orderkey % 2 = 0, 'a@x.org', ''), '\t', if(o_orderkey % 7 = 0, 'then', cast(unix_timestamp(cast(o_orderdate as timestamp)) as string)))").alias("line"))
+    return gittext.commits(o)
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') END AS l FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, i::INT AS line, sha256(l[i]) AS hash FROM t, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)"""
+)
+def work_tree_lines(spark, d):
+    """Every line of every document as a file of the work tree."""
+    lines = resolve.file_lines(table(spark, d, "documents"), "doc_id")
+    return lines.select(F.col("file").alias("doc_id"), "line", text.line_hash("content").alias("hash"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN substr(sha256(o_orderkey::VARCHAR), 1, 40) END AS commit_sha, CASE WHEN o_orderkey % 5 <> 0 THEN (o_custkey % 90 + 1)::INT END AS original_line,
+  CASE WHEN o_orderkey % 5 <> 0 THEN 'Customer ' || o_custkey END AS author, CASE WHEN o_orderkey % 5 NOT IN (0, 1) THEN 'src/' || o_custkey || ' b.py' END AS original_file FROM orders"""
+)
+def blame_reports(spark, d):
+    """A porcelain report of one line for every order: a fifth failed, a fifth doesn't name its file."""
+    o = table(spark, d, "orders").withColumn("s", F.expr("substr(sha2(cast(o_orderkey as string), 256), 1, 40)"))
+    head = "concat(s, ' ', o_custkey % 90 + 1, ' 7 1\nauthor Customer ', o_custkey, '\nauthor-mail <a@x>\n')"
+    report = f"case o_orderkey % 5 when 0 then 'fatal: no such path' when 1 then concat({head}, '\tauthor') else concat({head}, 'filename src/', o_custkey, ' b.py\n\tfilename of the line') end"
+    return diffs.blame_rows(o.select("o_orderkey", F.expr(report).alias("text"))).select("o_orderkey", "commit_sha", "original_line", "author", "original_file")
+
+
+@query(f"WITH {edits_sql()} SELECT commit_sha, edit_idx, CASE WHEN flag = 'R' THEN format('approximate ({{:.2f}})', (discount * 10)::FLOAT::DOUBLE) END AS label FROM e")
+def approximate_labels(spark, d):
+    """What is said beside each edit whose origin is a guess."""
+    return adapters.edits(spark, d).select("commit_sha", "edit_idx", text.approximate_label("derived_from").alias("label"))
+
+
+@query(
+    f"""WITH {edits_sql()} SELECT commit_sha, edit_idx, CASE WHEN turn_index % 2 = 0 THEN 'rewrite' WHEN flag = 'R' THEN 'backfill' WHEN flag = 'A' THEN 'rewrite' END AS kind,
+  CASE WHEN turn_index % 2 = 0 THEN 'c' || conversation_id WHEN flag = 'A' THEN conversation_id END AS source_commit, CASE WHEN turn_index % 2 = 0 THEN 0 WHEN flag = 'A' THEN turn_index END::INT AS source_edit FROM e"""
+)
+def cherry_picked(spark, d):
+    """Edits, half of which came by a cherry-pick; the others keep the origin they had."""
+    e = adapters.edits(spark, d).withColumn("source", F.when(F.col("turn_index") % 2 == 0, F.concat(F.lit("c"), "conversation_id")))
+    return maintenance.stamp_origin(e, "source").select("commit_sha", "edit_idx", *(f"derived_from.{f}" for f in ("kind", "source_commit", "source_edit")))
+
+
+@query(
+    """SELECT conv_id, turn AS seq, turn % 4 = 0 AS private, (row_number() OVER (PARTITION BY conv_id, turn % 4 = 0 ORDER BY turn) - 1)::INT AS turn_index,
+  'Turn ' || turn || ' mails [REDACTED:email]' || CASE WHEN turn % 4 = 0 THEN chr(10) || '#  PROV:private ' ELSE '' END AS prompt FROM conversations WHERE conv_id % 5 <> 4"""
+)
+def captured_prompts(spark, d):
+    """A prompt for each turn of a conversation: redacted, numbered by visibility; a fifth has no valid session."""
+    c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("string").alias("transcript_path"), F.lit("/work").alias("cwd"), F.lit("2026-01-01T00:00:00Z").alias("at"))
+    sent = c.withColumns({"session_id": F.expr("concat(conv_id, if(conv_id % 5 = 4, '.x', ''))"), "prompt": F.expr("concat('Turn ', seq, ' mails some.one@example.org', if(seq % 4 = 0, '\n#  PROV:private ', ''))")})
+    return capture.prompts(sent).select(F.col("session_id").cast("long").alias("conv_id"), "seq", "private", "turn_index", "prompt")
+
+
+@query(
+    """SELECT conv_id, turn::INT AS turn_index, turn % 4 = 0 AS private, CASE WHEN turn % 3 = 0 THEN 'before' WHEN turn = max(turn) OVER (PARTITION BY conv_id, turn % 4 = 0) THEN 'now' END AS completed_at FROM conversations"""
+)
+def stopped_turns(spark, d):
+    """A stop completes the last turn of each session and visibility, unless it was complete."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("turn_index"), (F.col("turn") % 4 == 0).alias("private"), F.when(F.col("turn") % 3 == 0, "before").alias("completed_at"))
+    return capture.finish_turns(c, "now").withColumnRenamed("session_id", "conv_id")
+
+
+@query("SELECT DISTINCT 's:' || conv_id AS session_id FROM conversations WHERE conv_id % 3 <> 0")
+def session_listing(spark, d):
+    """Sessions that have staged records; names that can't be sessions are left out."""
+    return notes.sessions(table(spark, d, "conversations").select(F.expr("concat(if(conv_id % 3 = 0, '../', 's:'), conv_id)").alias("session_id")))
+
+
+@query(f"""WITH {edits_sql()} SELECT commit_sha, edit_idx, file, 'cached' AS body FROM e WHERE commit_sha::BIGINT % 3 = 1 UNION ALL SELECT commit_sha, edit_idx, file, 'public' FROM e WHERE commit_sha::BIGINT % 3 <> 1""")
+def cached_or_public_notes(spark, d):
+    """Notes of every commit: from a cache's JSON where that is good, else public; a third of the cache is of another version, a third is missing."""
+    e = adapters.edits(spark, d)
+    bodies = notes.to_json(index.rebuild_notes(e))
+    third = F.col("commit_sha").cast("long") % 3
+    json = F.when(third == 1, F.replace("body", F.lit('"model":"'), F.lit('"model":"cached-'))).otherwise('{"version":9,"edits":[]}')
+    cache = index.cached_notes(bodies.where(third != 2).select("commit_sha", json.alias("json")))
+    found = index.cached_or_public(bodies.select("commit_sha"), cache, notes.parse_notes(bodies)).select("commit_sha", F.posexplode("edits").alias("edit_idx", "e"))
+    return found.select("commit_sha", "edit_idx", "e.file", F.when(F.startswith("e.model", F.lit("cached-")), "cached").otherwise("public").alias("body"))
