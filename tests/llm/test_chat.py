@@ -79,7 +79,7 @@ def test_template_round_trip_and_mask(spark):
 
 
 def test_conversations_by_brute_force(spark, tmp_path):
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (2, None, None, "n"), (2, 500, "assistant", "<|x"), (2, 3, "user", "m"), (None, 0, "assistant", "q"), (1, 0, "user", "a")] + [(9, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300)]
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (2, None, None, "n"), (2, 500, "assistant", "<|x"), (2, 3, "user", "m"), (None, 0, "assistant", "q"), (1, 0, "user", "a"), (3, 0, "human", "hi"), (3, 1, "gpt", "yo"), (3, 2, "bot", "so")] + [(9, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in chat.op10(spark, str(tmp_path)).collect()}
     says = "<|im_end|><|im_start|>assistant ok"
@@ -93,6 +93,13 @@ def test_conversations_by_brute_force(spark, tmp_path):
         assert got[c].n_turns == len(some)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in some).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    names = [x[0] for x in db.execute(chat.ORACLE_OP10).description]
+    want = {tuple(sorted(zip(names, row, strict=True))) for row in db.execute(chat.ORACLE_OP10).fetchall()}
+    assert {tuple(sorted(r.asDict().items())) for r in got.values()} == want
 
 
 def test_no_conversations(spark, tmp_path):

@@ -142,9 +142,10 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(text.encode(), 42) >> 63)
 
 
-def _turn(role: Column, text: Column) -> Column:
+def _turn(role: Column, text: Column, names: dict[str, str] | None = None) -> Column:
+    """A turn; names: what roles of other layouts are called here (ROLES unless told otherwise)."""
     known = F.coalesce(role, F.lit(""))
-    for other, name in ROLES.items():
+    for other, name in (ROLES if names is None else names).items():
         known = F.when(known == other, name).otherwise(known)
     return F.struct(known.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
@@ -186,14 +187,15 @@ def canonical_turns(df: DataFrame, record: Column) -> DataFrame:
 def turns_of_rows(df: DataFrame) -> DataFrame:
     """df with `fingerprint`, `layout` and `turns` of a table whose own columns are the fields; no layout fits: an error.
 
-    The fingerprint is the same for all rows, so the mapping is chosen when the plan is made."""
+    The fingerprint is the same for all rows, so the mapping is chosen when the plan is made.  Roles that a column
+    names stay as they are: ROLES translates what JSON records of other layouts say."""
     paths = sorted(paths_of_schema(df.schema))
     fitting = [(name, parts) for name, parts in LAYOUTS if all(len(p) == 2 for p in parts) and set(needed(parts)) <= set(paths)]
     if not fitting:
         raise ValueError(f"no layout has the fields {paths}")
     exact = [x for x in fitting if list(needed(x[1])) == paths]
     name, parts = (exact or fitting)[0]
-    turns = [_turn(F.col(f"`{p[0][1:]}`").cast("string") if p[0].startswith("@") else F.lit(p[0]), F.col(f"`{p[1]}`").cast("string")) for p in parts]
+    turns = [_turn(F.col(f"`{p[0][1:]}`").cast("string") if p[0].startswith("@") else F.lit(p[0]), F.col(f"`{p[1]}`").cast("string"), {}) for p in parts]
     return df.withColumns({"fingerprint": F.lit(_hash("\n".join(paths))), "layout": F.lit(name), "turns": F.array(*turns)})
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, fingerprints, html_extract, langid, mixing, neardup, quality, toxicity, warc
+from tracewell.llm import chat, decontaminate, fim, fingerprints, html_extract, langid, mixing, neardup, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_minhash_near_dedup": neardup.op9,
         "op10_chat_formatting": chat.op10,
+        "op12_fill_in_middle": fim.op12,
         "chat_layouts": chat.chat_layouts,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.ORACLE_OP5,
         "op9_minhash_near_dedup": neardup.ORACLE_OP9,
         "op10_chat_formatting": chat.ORACLE_OP10,
+        "op12_fill_in_middle": fim.ORACLE_OP12,
         "chat_layouts": chat.ORACLE_LAYOUTS,
     }
