@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, fim, fingerprints, html_extract, langid, mixing, neardup, quality, toxicity, warc
+from tracewell.llm import chat, decontaminate, fim, fingerprints, html_extract, langid, mixing, neardup, quality, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_minhash_near_dedup": neardup.op9,
         "op10_chat_formatting": chat.op10,
         "op12_fill_in_middle": fim.op12,
+        "op13_embedding_whitening": whitening.op13,
         "chat_layouts": chat.chat_layouts,
     }
 
