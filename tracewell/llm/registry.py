@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm import chat, decontaminate, fim, fingerprints, html_extract, langid, mixing, neardup, quality, toxicity, warc, whitening
+from tracewell.llm import chat, decontaminate, fim, fingerprints, html_extract, langid, mixing, neardup, quality, substrings, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_minhash_near_dedup": neardup.op9,
         "op10_chat_formatting": chat.op10,
+        "op11_substring_dedup": substrings.op11,
         "op12_fill_in_middle": fim.op12,
         "op13_embedding_whitening": whitening.op13,
         "chat_layouts": chat.chat_layouts,
@@ -30,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.ORACLE_OP5,
         "op9_minhash_near_dedup": neardup.ORACLE_OP9,
         "op10_chat_formatting": chat.ORACLE_OP10,
+        "op11_substring_dedup": substrings.ORACLE_OP11,
         "op12_fill_in_middle": fim.ORACLE_OP12,
         "chat_layouts": chat.ORACLE_LAYOUTS,
     }
