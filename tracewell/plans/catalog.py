@@ -1164,3 +1164,6 @@ def cached_or_public_notes(spark, d):
     cache = index.cached_notes(bodies.where(third != 2).select("commit_sha", json.alias("json")))
     found = index.cached_or_public(bodies.select("commit_sha"), cache, notes.parse_notes(bodies)).select("commit_sha", F.posexplode("edits").alias("edit_idx", "e"))
     return found.select("commit_sha", "edit_idx", "e.file", F.when(F.startswith("e.model", F.lit("cached-")), "cached").otherwise("public").alias("body"))
+
+
+from tracewell.plans import indexed  # noqa: E402, F401  registers its queries
