@@ -34,11 +34,12 @@ def edit_matches(edits: DataFrame, pairs: DataFrame, added: DataFrame) -> DataFr
     return window.groupBy(*key).agg(F.first("file").alias("file"), F.min_by("line_no", "pos").alias("line_start"), F.max_by("line_no", "pos").alias("line_end"), hashes.alias("content_hashes"))
 
 
-def best_sessions(sessions: DataFrame, edits: DataFrame, commits: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+def best_sessions(sessions: DataFrame, edits: DataFrame, commits: DataFrame, added: DataFrame, on: tuple[str, ...] = ("repo",)) -> tuple[DataFrame, DataFrame]:
     """Each session's commit with its confidence (matched edits of all edits), and the edits' matches in it.
 
-    sessions (session_id, start, end), commits (sha, committed_at, author_email, pos)."""
-    pairs = matching.session_commits(sessions.select("session_id", "start", "end"), commits)
+    sessions (session_id, start, end, repo), commits (sha, committed_at, author_email, pos, repo): `on` names the columns
+    that say where both were made, and a session only meets commits made there."""
+    pairs = matching.session_commits(sessions.select("session_id", "start", "end", *on), commits, on=on)
     found = keep(edit_matches(edits, pairs, added))  # read for the scores and for the edits
     total = edits.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
     scored = found.groupBy("session_id", "sha").agg(F.count(F.lit(1)).alias("matched")).join(total, "session_id").join(commits, "sha")
@@ -47,12 +48,12 @@ def best_sessions(sessions: DataFrame, edits: DataFrame, commits: DataFrame, add
     return best, found.join(best.select("session_id", "sha"), ["session_id", "sha"], "left_semi")
 
 
-def backfill(sessions: DataFrame, edits: DataFrame, commits: DataFrame, added: DataFrame, author: str | None = None, any_author: bool = False, include_low: bool = False, rules: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def backfill(sessions: DataFrame, edits: DataFrame, commits: DataFrame, added: DataFrame, author: str | None = None, any_author: bool = False, include_low: bool = False, rules: tuple[str, ...] = (), on: tuple[str, ...] = ("repo",)) -> tuple[DataFrame, DataFrame]:
     """(outcomes, new edits).  outcomes: (session_id, status, sha, confidence), a row for each session.  New edits are flat
     ones with `visibility`, marked as reconstructed, prompts redacted; sessions below the floor or by others have none.
 
     edits also (turn_index, prompt, tool_use_id, model, tool, ts, transcript_path)."""
-    best, matches = best_sessions(sessions, edits, commits, added)
+    best, matches = best_sessions(sessions, edits, commits, added, on)
     judged = matching.accepted(best, author, any_author, include_low)
     outcomes = sessions.select("session_id").join(judged.select("session_id", "sha", "confidence", "status"), "session_id", "left")
     outcomes = outcomes.withColumn("status", F.coalesce("status", F.lit("skipped-no-match")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell import schema
 from tracewell.functions import redact, settings, text, timefmt
-from tracewell.operators import backfill, capture, index, maintenance, matching, reports, resolve, search, timeline
+from tracewell.operators import backfill, capture, index, intervals, maintenance, matching, reports, resolve, search, timeline
 from tracewell.plans import adapters
 from tracewell.plans.adapters import RESOLVED_SQL, TWINS_SQL, edits_sql, table
 from tracewell.plans.materialize import keep, remove, shared_folder
@@ -169,6 +169,22 @@ def range_join_candidates(spark, d):
     return found.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.min("edit_idx").alias("first_edit"), F.max("edit_idx").alias("last_edit"))
 
 
+@query(
+    """WITH e AS (
+  SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'hot' ELSE 'p' || (l_partkey % 50) END AS file, l_orderkey * 4 + l_linenumber AS line_start, l_orderkey * 4 + l_linenumber + l_quantity::BIGINT * l_quantity::BIGINT AS line_end FROM lineitem
+), b AS (SELECT o_orderkey AS line_id, CASE WHEN o_orderkey % 3 < 2 THEN 'hot' ELSE 'p' || (o_custkey % 50) END AS file, o_orderkey * 4 + 3 AS line FROM orders)
+SELECT line_id, count(*)::BIGINT AS n, min(line_start)::BIGINT AS first_start, max(line_end)::BIGINT AS last_end FROM b JOIN e ON b.file = e.file AND line BETWEEN line_start AND line_end GROUP BY line_id"""
+)
+def range_join_hot_file(spark, d):
+    """Half of all edits, and two thirds of the lines, are of one file of one commit."""
+    line, commit = table(spark, d, "lineitem"), F.lit("c").alias("commit_sha")
+    start = F.col("l_orderkey") * 4 + F.col("l_linenumber")
+    edits = line.select(commit, F.when(F.col("l_orderkey") % 2 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("l_partkey") % 50)).alias("file"), start.alias("line_start"), (start + F.col("l_quantity").cast("long") * F.col("l_quantity").cast("long")).alias("line_end"))
+    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("line_id"), commit, F.when(F.col("o_orderkey") % 3 < 2, "hot").otherwise(F.concat(F.lit("p"), F.col("o_custkey") % 50)).alias("file"), (F.col("o_orderkey") * 4 + 3).alias("line"))
+    found = intervals.interval_join(lines, edits, ["commit_sha", "file"], "line", "line_start", "line_end")
+    return found.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), F.min("line_start").alias("first_start"), F.max("line_end").alias("last_end"))
+
+
 @query(
     f"""WITH {TWINS_SQL}, x AS (SELECT pair, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM t), y AS (SELECT pair, unnest(string_split(other, chr(10))) AS line, unnest(range(0, len(string_split(other, chr(10))))) AS i FROM t)
   SELECT x.pair, count(*)::BIGINT AS lines, count(*) FILTER (y.line IS NULL OR sha256(x.line) <> sha256(y.line))::BIGINT AS drifted FROM x LEFT JOIN y USING (pair, i) GROUP BY x.pair"""
@@ -662,8 +678,8 @@ def edit_matching(spark, d):
 def backfill_outcomes(spark, d):
     """Each document as a session of one edit, the document before it as the one commit of its time."""
     t = adapters.twins(spark, d).select(F.col("pair").cast("string").alias("session_id"), (F.col("pair") * 100000).alias("at"), "text", "other", F.col("pair").alias("pos"))
-    sessions = t.select("session_id", F.col("at").alias("start"), F.col("at").alias("end"))
-    commits = t.select(F.col("session_id").alias("sha"), F.col("at").alias("committed_at"), F.lit("a@x").alias("author_email"), "pos")
+    sessions = t.select("session_id", F.col("at").alias("start"), F.col("at").alias("end"), F.lit("r").alias("repo"))
+    commits = t.select(F.col("session_id").alias("sha"), F.col("at").alias("committed_at"), F.lit("a@x").alias("author_email"), "pos", F.lit("r").alias("repo"))
     none = {c: F.lit(None).cast("string") for c in ("tool_use_id", "model", "tool", "transcript_path")}
     edits = t.select("session_id", F.lit(0).alias("edit_no"), F.lit("/w/f").alias("file"), F.col("text").alias("after"), F.lit(0).alias("turn_index"), F.lit("p").alias("prompt"), F.lit("t").alias("ts")).withColumns(none)
     added = t.select(F.col("session_id").alias("sha"), F.lit("f").alias("file"), F.posexplode(text.split_lines("other")).alias("pos", "line")).select("sha", "file", "pos", (F.col("pos") + 1).alias("line_no"), text.line_hash("line").alias("hash"))
@@ -672,6 +688,34 @@ def backfill_outcomes(spark, d):
     return outcomes.join(n, "session_id", "left").select(F.col("session_id").cast("long").alias("session_id"), "status", "lines")
 
 
+@query(
+    f"""WITH {edits_sql()}, s AS (SELECT o_orderkey::VARCHAR AS session_id, o_custkey AS repo, (o_orderkey % 20) * 3600 AS at FROM orders WHERE o_orderpriority = '1-URGENT'),
+  c AS (SELECT o_orderkey::VARCHAR AS sha, o_orderkey AS pos, o_custkey AS repo, (o_orderkey % 20) * 3600 + 1800 AS at, o_custkey % 2 AS author FROM orders WHERE o_orderpriority <> '1-URGENT'),
+  p AS (SELECT s.session_id, c.sha, c.pos, c.author FROM s JOIN c ON s.repo = c.repo AND c.at BETWEEN s.at - 14400 AND s.at + 14400),
+  a AS (SELECT DISTINCT commit_sha AS sha, line_start % 2 AS f, conversation_id::BIGINT % 9 AS l FROM e), t AS (SELECT commit_sha AS session_id, count(*) AS total FROM e GROUP BY 1),
+  m AS (SELECT p.session_id, p.sha, p.pos, p.author, count(*) AS matched FROM p JOIN e ON e.commit_sha = p.session_id JOIN a ON a.sha = p.sha AND a.f = e.line_start % 2 AND a.l = e.conversation_id::BIGINT % 9 GROUP BY 1, 2, 3, 4),
+  b AS (SELECT * FROM (SELECT session_id, sha, author, matched, total, row_number() OVER (PARTITION BY session_id ORDER BY matched / total DESC, pos) AS r FROM m JOIN t USING (session_id)) WHERE r = 1),
+  o AS (SELECT s.session_id, CASE WHEN b.sha IS NULL THEN 'skipped-no-match' WHEN matched / total < 0.6 THEN 'skipped-low-confidence' WHEN author <> 1 THEN 'skipped-cross-author' ELSE 'written' END AS status, b.sha, round((matched / total)::FLOAT::DOUBLE, 4) AS confidence, matched
+    FROM s LEFT JOIN b USING (session_id))
+  SELECT session_id, status, CASE WHEN status = 'written' THEN sha END AS sha, confidence, CASE WHEN status = 'written' THEN matched ELSE 0 END::BIGINT AS new_edits FROM o"""
+)
+def backfill_statuses(spark, d):
+    """Urgent orders as sessions, their line items as edits, other orders as commits; a customer is a repository."""
+    e = adapters.edits(spark, d)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("repo"), ((F.col("o_orderkey") % 20) * 3600).alias("at"), "o_orderpriority")
+    sessions = o.where("o_orderpriority = '1-URGENT'").select(F.col("id").alias("session_id"), F.col("at").alias("start"), F.col("at").alias("end"), "repo")
+    commits = o.where("o_orderpriority <> '1-URGENT'").select(F.col("id").alias("sha"), (F.col("at") + 1800).alias("committed_at"), F.concat(F.lit("a"), F.col("repo") % 2, F.lit("@x")).alias("author_email"), "pos", "repo")
+    line = F.concat(F.lit("l"), F.col("conversation_id").cast("long") % 9)
+    name = F.concat(F.lit("f"), F.col("line_start") % 2)
+    edits = e.select(
+        F.col("commit_sha").alias("session_id"), F.col("edit_idx").alias("edit_no"), F.concat(F.lit("/w/"), name).alias("file"), F.concat(line, F.lit("\nq"), "line_end").alias("after"), "turn_index", "prompt", "tool_use_id", "model", "tool", "ts", F.lit("f.jsonl").alias("transcript_path"),
+    ).join(sessions.select("session_id"), "session_id", "left_semi")
+    added = e.select(F.col("commit_sha").alias("sha"), name.alias("file"), F.col("edit_idx").alias("pos"), (F.col("edit_idx") + 1).alias("line_no"), text.line_hash(line).alias("hash"))
+    outcomes, flat = backfill.backfill(sessions, edits, commits, added, author="a1@X")
+    n = flat.groupBy(F.col("conversation_id").alias("session_id")).agg(F.count(F.lit(1)).alias("n"))
+    return outcomes.join(n, "session_id", "left").select("session_id", "status", "sha", F.round(F.col("confidence").cast("double"), 4).alias("confidence"), F.coalesce("n", F.lit(0)).cast("long").alias("new_edits"))
+
+
 @query(
     """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0, least(l_quantity::INT, l_linenumber + p_size - 1) - greatest(1, l_linenumber) + 1)::INT AS overlap, greatest(0, least(l_quantity::INT, l_linenumber + p_size - 1) - greatest(1, l_linenumber) + 1) * 2 >= l_quantity::INT AS near
   FROM lineitem JOIN part ON p_partkey = l_partkey"""
