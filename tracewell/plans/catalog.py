@@ -1210,4 +1210,4 @@ def cached_or_public_notes(spark, d):
     return found.select("commit_sha", "edit_idx", "e.file", F.when(F.startswith("e.model", F.lit("cached-")), "cached").otherwise("public").alias("body"))
 
 
-from tracewell.plans import indexed  # noqa: E402, F401  registers its queries
+from tracewell.plans import indexed, streams  # noqa: E402, F401  register their queries
