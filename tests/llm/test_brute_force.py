@@ -6,6 +6,7 @@ import re
 import numpy as np
 import zstandard
 from helpers import docs
+from pyspark.sql import functions as F
 
 from tracewell.llm import fingerprints, langid, quality, toxicity
 
@@ -43,7 +44,21 @@ def test_numbers_are_no_letters_and_many_languages_are_learned(spark):
     assert len(model.langs) > 512 and sum(map(len, model.dicts)) <= langid.ALL_BYTES
     got = {r.doc_id: r.lang_pred for r in langid.predictions(table.where("doc_id >= 5000"), model).collect()}
     assert [got[5000 + i] for i in range(3)] == ["und"] * 3 and got[5003] != "und"
-    assert langid.pieces(b"a" * 5000 + b"b" * 5000, 640).count(b"b") == 320
+
+
+def test_training_texts_are_whole(spark):
+    long = [" ".join(f"wort{chr(97 + (i + j) % 26)}{chr(97 + j % 26)}" for j in range(n)) for i, n in enumerate((30, 400, 3000, 9, 60))]
+    rows = [(i, t, "de") for i, t in enumerate(long)] + [(99, " ".join(f"mot{chr(97 + j % 26)}" for j in range(2000)), "fr"), (99, "un mot", "fr"), (98, "", "it"), (97, None, "it")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table, folds=7, held_out=6, dict_bytes=4000)
+    in_dict = {lang: d.decode() for lang, d in zip(model.langs, model.dicts, strict=True)}
+    whole = [t for i, t in enumerate(long) if i in {r.doc_id for r in table.where("lang = 'de'").where(langid.fold(F.col("doc_id"), 7) != 6).collect()}]
+    taken = [t for t in whole if t in in_dict["de"]]
+    assert taken and in_dict["de"] == " ".join(sorted(taken)) and len(in_dict["de"]) <= 4000
+    assert in_dict["fr"] in ("un mot", "") or "un mot" in in_dict["fr"]
+    only = langid.train(table.where("lang = 'fr' and length(text) > 100"), folds=7, held_out=6, dict_bytes=4000)
+    assert [d.decode() for d in only.dicts] == [rows[5][1]]  # longer than a dictionary, and whole
+    assert langid.fitting([(1, 10), (2, 5000), (3, 90), (4, 30)], 100) == [1, 4]
 
 
 def loops(net, text):

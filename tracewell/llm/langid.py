@@ -5,13 +5,14 @@ bytes, so that it can't become its own dictionary; each block is compressed with
 the smallest total is the answer.  `reject_margin` is the lead, as a share of the runner-up's size, under which the
 operator answers `und`; 0 never rejects for a narrow lead.
 
-Dictionaries are made of the whole texts of about `per_lang` documents at most with that language outside the held-out
-fold, chosen by a hash of the id: where these have more letters than a dictionary holds, each gives its share, in pieces
-of PIECE bytes from its first letter to its last.  Prediction takes whole texts.
+Dictionaries are made of whole texts.  Of each language about `per_lang` documents outside the held-out fold, chosen by a
+hash, are looked at; they are taken one after another, short ones first (up to SHORT of a dictionary), as long as they fit
+`dict_bytes`.  What doesn't fit is left out as a document; no text is ever cut, and where none fits the shortest one is the
+dictionary.  Prediction takes whole texts.
 
 Cases: null texts and texts without a letter (a character of category L) are `und` with score 0.  Of languages with
 equal sizes the one with more rows wins, then the first by name.  Nothing learned: every text is `und`.  Equal texts
-have equal answers.  Any number of languages is learned; beyond ALL_BYTES / DICT_BYTES of them their dictionaries get
+have equal answers.  Any number of languages is learned; beyond all_bytes / dict_bytes of them their dictionaries get
 shorter.  Extra columns are passed over.
 """
 
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import beside_text, bounded_sample, fold
 
 FOLDS, HELD_OUT = 5, 0
-#: Bytes of a dictionary, of all of them, of a compressed block, and of a piece of a training text.
-DICT_BYTES, ALL_BYTES, BLOCK, PIECE = 96 << 10, 64 << 20, 1024, 80
+#: Bytes of a dictionary, of all of them, and of a compressed block; texts that are taken first are this share of a
+#: dictionary at most, so that it has many.
+DICT_BYTES, ALL_BYTES, BLOCK, SHORT = 96 << 10, 64 << 20, 1024, 1 / 32
 #: Matches from 3 bytes on: syllables tell languages apart, and the levels' own settings look for longer ones.
 SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 3, "window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 3, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 #: Numbers that aren't decimal digits are word characters to the pattern, but no letters.
@@ -49,27 +51,24 @@ def letters(text: str | None) -> bytes:
     return words.encode("utf-8", "surrogatepass")
 
 
-def pieces(data: bytes, share: int) -> bytes:
-    """About `share` bytes of the data, evenly from all over it."""
-    if len(data) <= share:
-        return data
-    n = max(1, share // PIECE)
-    starts = [round(i * (len(data) - PIECE) / max(1, n - 1)) for i in range(n)]
-    return b"".join(data[at : at + PIECE] for at in starts)
+def fitting(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """Which of some texts (hash, bytes) are taken into a dictionary: in the order of their hashes, short ones first, while
+    they fit; if none does, the shortest."""
+    taken, left = [], most
+    for short in (True, False):
+        for h, size in sorted(sizes):
+            if (size <= most * SHORT) is short and size < left:
+                taken.append(h)
+                left -= size + 1
+    return taken or [min((size, h) for h, size in sizes)[1]] if sizes else []
 
 
 class Model:
-    def __init__(self, samples: dict[str, list[bytes]], sizes: dict[str, int], reject_margin: float = 0.0, dict_bytes: int = DICT_BYTES):
-        """samples: the letters of each language's documents; sizes: how many rows each language has."""
+    def __init__(self, samples: dict[str, list[bytes]], sizes: dict[str, int], reject_margin: float = 0.0):
+        """samples: the letters of each language's training texts; sizes: how many rows each language has."""
         self.langs = sorted(samples, key=lambda x: (-sizes[x], x))
         self.reject_margin = reject_margin
-        most = min(dict_bytes, max(1024, ALL_BYTES // max(1, len(samples))))
-        self.dicts = []
-        for lang in self.langs:
-            data = sorted(d for d in samples[lang] if d)
-            whole = sum(len(d) + 1 for d in data) <= most
-            share = most // max(1, len(data))
-            self.dicts.append(b" ".join(d if whole else pieces(d, share) for d in data)[:most])
+        self.dicts = [b" ".join(sorted(d for d in samples[lang] if d)) for lang in self.langs]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "coders"}
@@ -79,7 +78,7 @@ class Model:
             self.coders = []
             for d in self.dicts:
                 dictionary = zstandard.ZstdCompressionDict(d or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                how = zstandard.ZstdCompressionParameters(**SEARCH)
+                how = zstandard.ZstdCompressionParameters(**SEARCH | {"window_log": max(SEARCH["window_log"], (len(d) + BLOCK).bit_length())})
                 dictionary.precompute_compress(compression_params=how)
                 self.coders.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=how))
         return self.coders
@@ -104,31 +103,37 @@ class Model:
         return ("und" if lead < self.reject_margin else self.langs[best]), score, lead
 
 
-def _letters(shares: dict[str, int]):
-    """(lang, d): letters of training texts; where they are more than twice the document's share, pieces of the whole text."""
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h, d): letters of training texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = pa.array([letters(t) for t in part.column("t").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), found], names=["lang", "h", "d"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lang = part.column("lang").to_pylist()
-                found = [pieces(letters(t), 2 * shares[x]) for t, x in zip(part.column("t").to_pylist(), lang, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(found, pa.binary())], names=["lang", "d"])
 
-    return run
+def train(docs: DataFrame, per_lang: int = 400, folds: int = FOLDS, held_out: int = HELD_OUT, reject_margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = DICT_BYTES, all_bytes: int = ALL_BYTES) -> Model:
+    """Learns from whole documents with a language outside the held-out fold.
 
-
-def train(docs: DataFrame, per_lang: int = 400, folds: int = FOLDS, held_out: int = HELD_OUT, reject_margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from documents with a language outside the held-out fold; per_lang bounds what comes to the driver."""
+    What comes to the driver are the hashes and sizes of about per_lang documents a language, and texts of dict_bytes a
+    language (all_bytes together), or one text where none is that short."""
     known = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"), F.col(lang_col).cast("string").alias("lang")).where((fold(F.col("id"), folds) != held_out) & F.col("lang").isNotNull())
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
-    samples: dict[str, list[bytes]] = {lang: [] for lang in sizes}
-    # rows of one id are chosen together, however many they are: equal texts count once
-    chosen = bounded_sample(known, F.col("id"), F.col("lang"), per_lang, "language").select("lang", "t").distinct()
-    shares = {lang: max(PIECE, DICT_BYTES // min(per_lang, n)) for lang, n in sizes.items()}
-    for r in chosen.mapInArrow(_letters(shares), "lang string, d binary").collect():
-        samples[r.lang].append(bytes(r.d))
-    return Model({k: v for k, v in samples.items() if v}, sizes, reject_margin)
+    known = known.withColumn("h", F.xxhash64("t"))
+    # equal texts of a language count once; different texts of one id are chosen for themselves
+    sampled = bounded_sample(known, F.struct("id", "h"), F.col("lang"), per_lang, "language", known=sizes).select("lang", "h", "t")
+    by_lang: dict[str, list[tuple[int, int]]] = {}
+    for r in sampled.select("lang", "h", F.octet_length("t").alias("size")).distinct().collect():
+        by_lang.setdefault(r.lang, []).append((r.h, r.size))
+    most = min(dict_bytes, max(1024, all_bytes // max(1, len(sizes))))
+    wanted = [(lang, h) for lang, found in by_lang.items() for h in fitting([x for x in found if x[1]] or found, most)]
+    samples: dict[str, list[bytes]] = {}
+    if wanted:
+        named = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, h long"))
+        texts = sampled.join(named, ["lang", "h"]).groupBy("lang", "h").agg(F.first("t").alias("t")).mapInArrow(_letters, "lang string, h long, d binary")
+        for r in texts.collect():
+            samples.setdefault(r.lang, []).append(bytes(r.d))
+    return Model(samples, sizes, reject_margin)
 
 
 def predictions(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
