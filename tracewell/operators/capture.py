@@ -11,7 +11,8 @@ from tracewell import schema
 from tracewell.functions import redact
 from tracewell.functions.text import is_private, is_session_id, line_hash, relativize, split_lines, trimmed
 from tracewell.operators.matching import finished_sessions, match_edits
-from tracewell.sources.transcripts import _text, edits_of_tool
+from tracewell.sources import transcripts
+from tracewell.sources.transcripts import _text
 
 
 def prompts(payloads: DataFrame, rules: Sequence[str] = ()) -> DataFrame:
@@ -89,9 +90,8 @@ def tool_edits(sent: DataFrame, harness: str = schema.DEFAULT_TOOL) -> DataFrame
     An Edit or a Write is one edit, a MultiEdit one for each of its parts, a patch one for each file that gets lines.
     Each harness only sends its own tools."""
     has = F.try_variant_get("tool_input", "$.file_path", "variant").isNotNull()
-    found = edits_of_tool(F.col("tool_name"), F.col("tool_input"))
     own = F.col("tool_name") == schema.PATCH_TOOL if harness == schema.PATCH_HARNESS else F.col("tool_name").isin(*schema.EDIT_TOOLS) & has
-    rows = sent.where(own).select("*", F.posexplode(found).alias("part", "__e")).withColumns({"tool": F.lit(harness), "file": F.col("__e.file"), "before": F.col("__e.before"), "after": F.col("__e.after")})
+    rows = transcripts.tool_edits(sent.where(own), "tool_name", "tool_input").withColumnRenamed("e", "__e").withColumns({"tool": F.lit(harness), "file": F.col("__e.file"), "before": F.col("__e.before"), "after": F.col("__e.after")})
     return rows.drop("__e", "tool_input")
 
 

@@ -963,8 +963,9 @@ def _payloads(spark, d):
       when 3 then {tool('MultiEdit', f"named_struct('file_path', {path}, 'edits', array(named_struct('old_string', 'x', 'new_string', 'y'), named_struct('old_string', text, 'new_string', 'z')))")}
       when 4 then to_json(named_struct('turn_id', {sid}, 'model', concat('m', turn)))
       when 5 then {tool('Edit', "named_struct('old_string', 'a')")}
-      when 6 then '{{broken' else {tool('Read', f"named_struct('file_path', {path})")} end"""
-    return capture.payloads(c.select("conv_id", "turn", "k", F.col("turn").alias("seq"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("at"), F.expr(value).alias("value")))
+      when 6 then '{{broken' when 7 then {tool('apply_patch', f"named_struct('command', concat('*** Begin Patch\\n*** Update File: ', {path}, '\\n-gone\\n+', replace(text, '\\n', '\\n+'), '\\n*** Add File: /w/none\\n context only\\n*** Add File: /w/g\\n+one\\n*** End Patch'))")} else {tool('Read', f"named_struct('file_path', {path})")} end"""
+    # written, as a harness sends text: else the expression that makes it up would be planned wherever the text is looked at
+    return capture.payloads(keep(c.select("conv_id", "turn", "k", F.col("turn").alias("seq"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("at"), F.expr(value).alias("value"))))
 
 
 @query(
@@ -985,6 +986,23 @@ def payload_edits(spark, d):
     )
 
 
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '\r\n', chr(10), 'g') AS text, turn % 8 AS k FROM conversations), e AS (
+    SELECT conv_id, turn, 0 AS part, 'f' || (conv_id % 3) AS file, text AS after FROM c WHERE k = 7 UNION ALL SELECT conv_id, turn, 1, 'g', 'one' FROM c WHERE k = 7)
+  SELECT conv_id, turn, part, 'codex' AS tool, file, sha256('') AS before_sha256, sha256(after) AS after_sha256, len(string_split(after, chr(10)))::INT AS lines,
+    greatest(0, (SELECT count(*) FROM c p WHERE p.conv_id = e.conv_id AND p.turn < e.turn AND p.k = 0) - 1)::INT AS turn_index FROM e"""
+)
+def payload_patches(spark, d):
+    """Payloads of the harness that sends patches: an edit for each file that gets lines."""
+    sent = _payloads(spark, d)
+    prompts = sent.where("k = 0").select("session_id", F.lit(False).alias("private"), F.expr("cast(row_number() over (partition by session_id order by seq) - 1 as int)").alias("turn_index"), "seq")
+    rows = capture.captured_edits(sent.where("tool_name is not null"), prompts, "/w", schema.PATCH_HARNESS)
+    return rows.select(
+        F.col("session_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"), "part", "tool", "file", F.sha2("before", 256).alias("before_sha256"), F.sha2("after", 256).alias("after_sha256"),
+        F.get("line_range", F.lit(1)).alias("lines"), "turn_index",
+    )
+
+
 @query(
     """WITH s AS (SELECT conv_id::VARCHAR AS session_id, 'm' || turn AS model, lpad(turn::VARCHAR, 6, '0') AS started_at FROM conversations WHERE turn % 8 = 4), l AS (SELECT session_id, arg_max(model, started_at) AS model, max(started_at) AS started_at FROM s GROUP BY 1)
   SELECT coalesce(l.session_id, h.session_id) AS session_id, coalesce(l.model, 'old') AS model, coalesce(l.started_at, '0') AS started_at FROM l FULL JOIN (SELECT DISTINCT conv_id::VARCHAR AS session_id FROM conversations WHERE conv_id % 3 = 0) h USING (session_id)"""

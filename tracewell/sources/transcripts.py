@@ -71,21 +71,26 @@ def latest_model(ev: DataFrame) -> DataFrame:
     return per.select("session_file", F.when(F.coalesce(F.col("without") < F.col("named"), F.lit(True)), F.col("model")).alias("model"))
 
 
-def edits_of_tool(name: Column, given: Column) -> Column:
-    """(file, before, after) of what a tool was given; the parts of a MultiEdit are edits of their own, a patch one for each file."""
-    shape = "array<struct<file:string,before:string,after:string>>"
-    file = _text(given, "$.file_path")
+_EDIT_ROWS = "array<struct<file:string,before:string,after:string>>"
 
-    def one(before: Column, after: Column) -> Column:
-        return F.struct(file.alias("file"), F.coalesce(before, F.lit("")).alias("before"), after.alias("after"))
 
-    parts = F.try_variant_get(given, "$.edits", "array<variant>")
-    multi = F.transform(parts, lambda e: one(_text(e, "$.old_string"), F.coalesce(_text(e, "$.new_string"), F.lit(""))))
-    single = F.array(one(_text(given, "$.old_string"), F.coalesce(_text(given, "$.new_string"), F.lit(""))))
-    write = F.array(one(F.lit(""), F.coalesce(_text(given, "$.content"), F.lit(""))))
-    patch = F.transform(patch_files(_text(given, "$.command")), lambda p: F.struct(p["file"].alias("file"), F.lit("").alias("before"), p["added"].alias("after")))
-    has = file.isNotNull()
-    return F.when((name == "Edit") & has, single).when((name == "Write") & has, write).when((name == "MultiEdit") & has, multi).when(name == schema.PATCH_TOOL, patch).otherwise(F.array()).cast(shape)
+def tool_edits(uses: DataFrame, name: str, given: str) -> DataFrame:
+    """uses with (part, e), a row for each edit (file, before, after) of what a tool was given; the parts of a MultiEdit are
+    edits of their own, a patch one for each file.
+
+    The fields of the variant are columns first, so that each is read once."""
+    v = F.col(given)
+    fields = {"file": _text(v, "$.file_path"), "old": _text(v, "$.old_string"), "new": _text(v, "$.new_string"), "content": _text(v, "$.content"), "command": _text(v, "$.command")}
+    read = uses.withColumns({f"__{k}": c for k, c in fields.items()} | {"__parts": F.try_variant_get(v, "$.edits", "array<variant>")})
+    text = lambda c: F.coalesce(c, F.lit(""))
+    one = lambda before, after: F.struct(F.col("__file").alias("file"), before.alias("before"), after.alias("after"))
+    multi = F.transform("__parts", lambda e: one(text(_text(e, "$.old_string")), text(_text(e, "$.new_string"))))
+    patch = F.transform(patch_files(F.col("__command")), lambda p: F.struct(p["file"].alias("file"), F.lit("").alias("before"), p["added"].alias("after")))
+    is_write, has = F.col(name) == "Write", F.col("__file").isNotNull()
+    single = F.array(one(F.when(is_write, "").otherwise(text(F.col("__old"))), F.when(is_write, text(F.col("__content"))).otherwise(text(F.col("__new")))))
+    kinds = ((F.col(name).isin("Edit", "Write") & has, single), ((F.col(name) == "MultiEdit") & has, multi), (F.col(name) == schema.PATCH_TOOL, patch))
+    made = [read.where(which).select(*uses.columns, F.posexplode(found.cast(_EDIT_ROWS)).alias("part", "e")) for which, found in kinds]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 def patch_files(command: Column) -> Column:
@@ -104,7 +109,8 @@ def edits(ev: DataFrame, turn_table: DataFrame) -> DataFrame:
     """(session_file, line_no, part, turn_index, tool_name, tool_use_id, file, before, after, model, ts): each belongs to the
     last turn before it in its file, to turn 0 if there is none."""
     uses = ev.where("type = 'assistant'").select("session_file", "line_no", "model", "ts", F.posexplode("tools").alias("use", "tool"))
-    found = uses.select("session_file", "line_no", "use", "model", "ts", _text(F.col("tool"), "$.name").alias("tool_name"), _text(F.col("tool"), "$.id").alias("tool_use_id"), F.posexplode(edits_of_tool(_text(F.col("tool"), "$.name"), F.try_variant_get("tool", "$.input", "variant"))).alias("part", "e"))
+    given = uses.select("session_file", "line_no", "use", "model", "ts", _text(F.col("tool"), "$.name").alias("tool_name"), _text(F.col("tool"), "$.id").alias("tool_use_id"), F.try_variant_get("tool", "$.input", "variant").alias("given"))
+    found = tool_edits(given, "tool_name", "given").drop("given")
     marks = turn_table.select("session_file", "line_no", F.lit(-1).alias("use"), F.lit(0).alias("part"), F.col("turn_index").alias("t"))
     both = found.withColumn("t", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
     order = Window.partitionBy("session_file").orderBy("line_no", "use", "part").rowsBetween(Window.unboundedPreceding, 0)
