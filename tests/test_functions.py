@@ -115,3 +115,36 @@ def test_entropy(spark):
 def test_scrub_counts(spark):
     r = one(spark, redact.scrub("s", "[0-9]+", "$1\\x"), s="a1b22")
     assert (r.text, r.n) == ("a$1\\xb$1\\x", 2)
+
+
+def test_rules_that_overlap_are_taken_from_left_to_right(spark):
+    import random
+    import re
+
+    from tracewell.functions import redact
+
+    rules = [r"ab+", r"(a)(b)?c\2", r"b|cc", r"x*", r"([cd])\1", r"d e"]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcde x") for _ in range(rng.randrange(30))) for _ in range(300)] + ["", "ab﷐ab"]
+
+    def brute(text):
+        out, at, counts, clean = [], 0, {}, text.translate(dict.fromkeys((0xFDD0, 0xFDD1, 0xFDD2)))
+        while at <= len(clean):
+            for i, r in enumerate(rules):
+                m = re.compile(r).match(clean, at)
+                if m:
+                    break
+            else:
+                m = None
+            if m and m.end() > at:
+                out.append(f"[REDACTED:provignore-rule:{i}]")
+                counts[f"provignore-rule:{i}"] = counts.get(f"provignore-rule:{i}", 0) + 1
+                at = m.end()
+                continue
+            out.append(clean[at : at + 1])
+            at += 1
+        return "".join(out), counts
+
+    got = redact.redact(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text", rules).collect()
+    for r in got:
+        assert (r.redacted.text, dict(r.redacted.counts)) == brute(texts[r.i]), texts[r.i]

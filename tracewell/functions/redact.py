@@ -2,10 +2,14 @@
 
 Passes run in order, each on what the one before it left.  The result is the text and, for each kind in order of the
 passes, how many replacements it made.
+
+A user's rules are one pass: all are looked for on the same text, from left to right.  Where several match at a place the
+one declared first counts, and what it took is nobody else's.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -38,6 +42,7 @@ GATES = {
 }
 ANY_CASE = {"key-value-secret": ("key", "secret", "passw", "token", "auth", "credential")}
 SERVICE_ACCOUNT = r'"type"\s*:\s*"service_account"'
+RULE = "provignore-rule:"
 ENTROPY, ENTROPY_LEAST, ENTROPY_BYTES, REDACTED = "high-entropy", 3.5, 24, "[REDACTED:"
 
 
@@ -115,9 +120,9 @@ def service_accounts(text) -> Column:
 
 
 def passes(rules: Sequence[str] = (), emails: bool = True) -> list[tuple[str, str]]:
-    """(kind, pattern) in order; the last pass, over words of high entropy, has no pattern."""
+    """(kind, pattern) in order; those of rules are one pass, and the last, over words of high entropy, has no pattern."""
     typed = [(k, p) for k, p in TYPED.items() if emails or k != "email"]
-    return [*typed, *((f"provignore-rule:{i}", rule) for i, rule in enumerate(rules)), (ENTROPY, "")]
+    return [*typed, *((f"{RULE}{i}", rule) for i, rule in enumerate(rules)), (ENTROPY, "")]
 
 
 def one_pass(text: Column, kind: str, pattern: str) -> tuple[Column, Column]:
@@ -141,6 +146,45 @@ def one_pass(text: Column, kind: str, pattern: str) -> tuple[Column, Column]:
     return F.when(may, F.regexp_replace(text, pattern, replacement)).otherwise(text), F.when(may, F.regexp_count(text, F.lit(pattern))).otherwise(0)
 
 
+#: Noncharacters, which no text has that is interchanged: before a match, between the rules' captures, after a match.
+_BEGIN, _NEXT, _END = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def alternation(rules: Sequence[str]) -> tuple[str, list[int]]:
+    """One pattern of all rules, a group around each, and the groups' numbers; references inside a rule follow its groups."""
+    parts, at, numbers = [], 0, []
+    for rule in rules:
+        numbers.append(at + 1)
+        shift = at + 1
+        parts.append("(" + re.sub(r"(?<!\\)((?:\\\\)*)\\([1-9])", lambda m, k=shift: f"{m[1]}\\{int(m[2]) + k}", rule) + ")")
+        at += 1 + re.compile(rule).groups
+    return "|".join(parts), numbers
+
+
+def rule_pass(text: Column, rules: Sequence[str]) -> Column:
+    """The text with each match marked by which rule made it, to be read by spliced()."""
+    pattern, numbers = alternation(rules)
+    clean = F.translate(text, _BEGIN + _NEXT + _END, "")
+    captured = _BEGIN + _NEXT.join(f"${n}" for n in numbers) + _END
+    return F.when(text.rlike(pattern), F.regexp_replace(clean, pattern, captured)).otherwise(text)
+
+
+def _taken(i: int, n: int) -> str:
+    """Pattern of a match that rule i of n made."""
+    other = f"[^{_BEGIN}{_NEXT}{_END}]"
+    return f"{_BEGIN}{_NEXT * i}{other}+{_NEXT * (n - 1 - i)}{_END}"
+
+
+def spliced(marked: Column, n: int) -> tuple[Column, list[Column]]:
+    """(text, replacements by rule) of what rule_pass() marked for n rules; a match of nothing leaves nothing."""
+    some = F.contains(marked, F.lit(_BEGIN))
+    counts = [F.when(some, F.regexp_count(marked, F.lit(_taken(i, n)))).otherwise(0) for i in range(n)]
+    out = marked
+    for i in range(n):
+        out = F.regexp_replace(out, _taken(i, n), marker(f"provignore-rule:{i}"))
+    return F.when(some, F.replace(out, F.lit(_BEGIN + _NEXT * (n - 1) + _END), F.lit(""))).otherwise(marked), counts
+
+
 def _gate(text: Column, kind: str) -> Column:
     if kind in GATES:
         return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in GATES[kind]))
@@ -157,6 +201,13 @@ def redact(df, text_col: str, rules: Sequence[str] = (), emails: bool = True, ou
     state = df.withColumn("__t", col(text_col))
     kinds = []
     for i, (kind, pattern) in enumerate(passes(rules, emails)):
+        if kind.startswith(RULE):
+            if kind == f"{RULE}0":
+                state = state.withColumn("__t", rule_pass(F.col("__t"), rules))
+                text, counts = spliced(F.col("__t"), len(rules))
+                state = state.withColumns({"__t": text, **{f"__n{i + k}": n.cast("int") for k, n in enumerate(counts)}})
+            kinds.append((kind, f"__n{i}"))
+            continue
         text, n = one_pass(F.col("__t"), kind, pattern)
         if kind == ENTROPY:  # one column, so that words are looked at once for both
             state = state.withColumn("__last", F.struct(text.alias("t"), n.alias("n")))
