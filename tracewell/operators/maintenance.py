@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tracewell import schema
 from tracewell.functions import redact
 from tracewell.functions.text import ZERO_SHA, edit_key, trimmed
+from tracewell.operators import history
 from tracewell.operators.index import flatten_edits, rebuild_notes
-from tracewell.operators.search import reachable
 from tracewell.plans.materialize import keep
 from tracewell.sources.gittext import split_conflicts
 from tracewell.sources.notes import parse_notes, to_json
@@ -103,18 +103,18 @@ def unreachable(notes: DataFrame, reachable: DataFrame) -> DataFrame:
 
 def closure(seeds: DataFrame, parents: DataFrame) -> DataFrame:
     """(commit_sha) of all commits that seeds (commit_sha) reach over parents (commit_sha, parent), the seeds too."""
-    return reachable(seeds.select(F.col("commit_sha").alias("id")), parents.select(F.col("commit_sha").alias("id"), "parent")).select(F.col("id").alias("commit_sha"))
+    known = history.labels(parents.select("commit_sha", "parent"))
+    found = history.reached(known, history.reach(known, keep(history.links(known, parents)), seeds))
+    return found.union(seeds.select("commit_sha")).distinct()
 
 
 def commit_range(parents: DataFrame, base: DataFrame, head: DataFrame, order: str = "committed_at") -> DataFrame:
     """(commit_sha, pos): what head (commit_sha) reaches and base (commit_sha) doesn't, the oldest first.
 
     parents (commit_sha, parent, order), a row for each parent, of a root one with a null parent."""
-    mine = closure(head, parents).join(closure(base, parents), "commit_sha", "left_anti")
+    known = history.labels(parents.select("commit_sha", "parent"))
     when = parents.groupBy("commit_sha").agg(F.min(order).alias("at"))
-    # a range is as long as a change, not as its history
-    pos = F.row_number().over(Window.orderBy("at", "commit_sha"))
-    return mine.join(when, "commit_sha", "left").select("commit_sha", pos.alias("pos"))
+    return history.commit_range(known, keep(history.links(known, parents)), base, head, when)
 
 
 def stale_sessions(activity: DataFrame, now, ttl_seconds: int, at: str = "ts", session: str = "session_id") -> DataFrame:

@@ -56,6 +56,20 @@ def counted(df: DataFrame, *flags: Column) -> tuple[DataFrame, list[int]]:
     return kept.coalesce(max(1, -(-found[0] // READ_TOGETHER))), found
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its rows numbered from 1 in an order, by no task that sees them all: rows are dealt out by ranges and sorted
+    there, and each range's numbers begin after those of the ranges before it."""
+    dealt = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)  # the id is the number of the partition, and below it that of the row in it
+    counts = sorted((r.p, r.n) for r in dealt.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    begins, at = [], 0
+    for p, n in counts:
+        begins.append((p, at))
+        at += n
+    known = F.broadcast(df.sparkSession.createDataFrame(begins, "__p long, __b long"))
+    return dealt.withColumn("__p", part).join(known, "__p").withColumn(name, F.col("__b") + F.col("__m").bitwiseAND((1 << 33) - 1) + 1).drop("__m", "__p", "__b")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast if it has few rows of a few numbers."""
     return F.broadcast(df) if rows <= SMALL else df
