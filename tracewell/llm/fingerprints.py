@@ -30,7 +30,7 @@ from tracewell.llm.common import cut, slot_filter
 #: Ids a bucket holds about, and buckets there are at most (their heads' ids come to the driver).
 BUCKET_ROWS, MAX_BUCKETS = 1000, 16384
 LEAST = -(1 << 63)
-
+#: Runs of white space of any kind.
 SPACES = r"[\s\p{Z}\x{85}\x1C-\x1F]+"
 
 
