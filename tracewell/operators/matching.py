@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell import schema
-from tracewell.functions.text import half_covered, normalize_line
+from tracewell.functions.text import normalize_line
+from tracewell.plans.materialize import counted, small
 
 
 def longest_run(needle: np.ndarray, added: np.ndarray) -> tuple[int, int, int]:
@@ -90,34 +92,79 @@ def best_windows(needles: DataFrame, added: DataFrame, on: tuple[str, ...] = ("p
     return rows.mapInArrow(_longest, shape).select("key.*", "needle_start", "added_start", "length").where("length > 0 and length * 2 >= needle_lines")
 
 
-def match_edits(edits: DataFrame, added: DataFrame) -> DataFrame:
+class Lines:
+    """Lines in which runs of lines are looked for: a suffix array over their numbers, by doubling."""
+
+    def __init__(self, lines: list[str | None]):
+        self.numbers: dict[str | None, int] = {}
+        self.text = [self.numbers.setdefault(x, len(self.numbers)) for x in lines]
+        rank, k, n = np.array(self.text, np.int64), 1, len(lines)
+        while k < n and len(np.unique(rank)) < n:
+            after = np.zeros(n, np.int64)
+            after[: n - k] = rank[k:] + 1
+            rank, k = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64), 2 * k
+        self.order = np.argsort(rank, kind="stable").tolist()
+
+    def find(self, wanted: list[str]) -> int | None:
+        """The first place at which the wanted lines stand one after another."""
+        run = [self.numbers.get(x, -1) for x in wanted]
+        if not run or -1 in run:
+            return None
+        beginning = lambda i: self.text[i : i + len(run)]
+        low = bisect_left(self.order, run, key=beginning)
+        high = bisect_right(self.order, run, low, key=beginning)
+        return min(self.order[low:high]) if low < high else None
+
+
+def _located(edits: pa.Table, added: pa.Table) -> pa.Table:
+    """Edits of a file that match its added lines, with where and how; the lines are put in order once for all edits."""
+    keep, places = [], []
+    if edits.num_rows and added.num_rows:
+        added = added.sort_by("pos")
+        number = added.column("line_no").to_pylist()
+        ways = [(name, edits.column(mine).to_pylist(), Lines(added.column(theirs).to_pylist())) for name, mine, theirs in (("exact", "after", "content"), ("normalized", "__after", "__content"))]
+        for i, (start, end) in enumerate(zip(edits.column("line_start").to_pylist(), edits.column("line_end").to_pylist(), strict=True)):
+            for name, lines, have in ways:
+                wanted = [x for x in lines[i] or () if x]
+                at = have.find(wanted)
+                if at is not None:
+                    keep.append(i)
+                    places.append((number[at], number[at + len(wanted) - 1], name))
+                    break
+            else:
+                n = 0 if start is None or end is None else max(0, end - start + 1)
+                if n and max(0, min(end, number[-1]) - max(start, number[0]) + 1) * 2 >= n:
+                    keep.append(i)
+                    places.append((number[0], number[-1], "proximity"))
+    out = edits.drop_columns(["__after", "__part"]).take(pa.array(keep, pa.int64()))
+    first, last, how = zip(*places, strict=True) if places else ((), (), ())
+    return out.append_column("match_start", pa.array(first, pa.int32())).append_column("match_end", pa.array(last, pa.int32())).append_column("strategy", pa.array(how, pa.string()))
+
+
+#: Edits of a file that are looked for in one task.
+TOGETHER = 4096
+
+
+def match_edits(edits: DataFrame, added: DataFrame, together: int = TOGETHER) -> DataFrame:
     """edits with (match_start, match_end, strategy): where a staged edit lies in a commit's added lines.
 
     edits (edit_id, file, after array<string>, line_start, line_end), added (file, pos, line_no, content).  First the
     edit's lines as they are, one after another among the added lines; then both normalised; then the whole window of
     added lines if it covers half the captured range.  Empty lines of the edit are passed over, empty added lines aren't.
-    Edits that match nothing are left out."""
-
-    def code(lines) -> Column:
-        # a line is 16 digits and a comma, so a run of lines is a substring
-        return F.array_join(F.transform(lines, lambda x: F.concat(F.lpad(F.hex(F.xxhash64(x)), 16, "0"), F.lit(","))), "")
-
-    def contiguous(name: str, make) -> Column:
-        wanted = F.filter(F.transform("after", make), lambda x: x != "")
-        have = F.transform("__lines", lambda x: make(x["content"]))
-        at = F.instr(code(have), code(wanted))
-        first = F.floor((at - 1) / 17).cast("int")
-        n = F.size(wanted)
-        there = (n > 0) & (at > 0) & (F.slice(have, F.greatest(first + 1, F.lit(1)), n) == wanted)
-        return F.when(there, F.struct(F.get("__lines", first)["line_no"].cast("int").alias("s"), F.get("__lines", first + n - 1)["line_no"].cast("int").alias("e"), F.lit(name).alias("how")))
-
-    files = added.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "line_no", "content"))).alias("__lines"))
-    met = edits.join(files, "file")
-    window = F.struct(F.get("__lines", F.lit(0))["line_no"].cast("int").alias("s"), F.element_at("__lines", -1)["line_no"].cast("int").alias("e"), F.lit("proximity").alias("how"))
-    near = F.when(half_covered("line_start", "line_end", window["s"], window["e"]), window)
-    found = F.coalesce(contiguous("exact", lambda x: x), contiguous("normalized", normalize_line), near)
-    kept = met.withColumn("__m", found).where("__m is not null")
-    return kept.select(*edits.columns, F.col("__m.s").alias("match_start"), F.col("__m.e").alias("match_end"), F.col("__m.how").alias("strategy"))
+    Edits that match nothing are left out.
+
+    A file's edits and its added lines meet once; edits of a file that has very many are dealt into parts."""
+    sides = edits.withColumn("__after", F.transform("after", normalize_line)), added.select("file", "pos", F.col("line_no").cast("int").alias("line_no"), "content", normalize_line("content").alias("__content"))
+    many, (n,) = counted(edits.groupBy("file").count().where(F.col("count") > together).select("file", F.ceil(F.col("count") / together).cast("int").alias("__n")))
+    if n:
+        parts = small(many, n)
+        mine = sides[0].join(parts, "file", "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*(c for c in edits.columns if c != "file")), F.col("__n")), F.lit(0)).cast("int")).drop("__n")
+        theirs = sides[1].join(parts, "file", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))).drop("__n")
+    else:
+        mine, theirs = (d.withColumn("__part", F.lit(0)) for d in sides)
+    mine = mine.select(*edits.columns, "__after", "__part")
+    schema_ = T.StructType([*edits.schema.fields, *T.StructType.fromDDL("match_start int, match_end int, strategy string").fields])
+    return mine.groupBy("file", "__part").cogroup(theirs.groupBy("file", "__part")).applyInArrow(_located, schema_)
 
 
 def session_commits(sessions: DataFrame, commits: DataFrame, pad: int = schema.WINDOW_PAD_SECONDS, on: tuple[str, ...] = ()) -> DataFrame:
