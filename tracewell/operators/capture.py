@@ -109,18 +109,12 @@ def flush(commit_sha: str, staged: DataFrame, added: DataFrame, turns: DataFrame
     that its added lines hold, with the prompt of their turn of the same visibility and the model of edit or session.
 
     Edits are numbered within their visibility's note.  Private edits never see a public prompt, nor public ones a private."""
-    e = staged.select("edit_id", "file", split_lines("after").alias("after"), F.get("line_range", F.lit(0)).alias("line_start"), F.get("line_range", F.lit(1)).alias("line_end"))
-    places = match_edits(e, added).select("edit_id", "match_start", "match_end")
-    prompts_ = turns.groupBy("session_id", "private", "turn_index").agg(F.min_by("prompt", F.struct("started_at", "prompt")).alias("prompt"))
-    models = sessions.groupBy("session_id").agg(F.min("model").alias("session_model"))
-    rows = staged.join(places, "edit_id").join(prompts_, ["session_id", "private", "turn_index"], "left").join(models, "session_id", "left")
-    origin = F.struct(F.lit("rewrite").alias("kind"), F.lit(picked_from).alias("source_commit"), F.lit(0).alias("source_edit"), F.lit(None).cast("float").alias("confidence"), F.lit(None).cast("string").alias("transcript_path"))
-    number = F.row_number().over(Window.partitionBy("private").orderBy("edit_id")) - 1  # a note is one commit's edits
-    return rows.select(
-        F.lit(commit_sha).alias("commit_sha"), number.alias("edit_idx"), "file", F.col("match_start").alias("line_start"), F.col("match_end").alias("line_end"),
-        "content_hashes", F.lit(None).cast("string").alias("original_blob_sha"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.col("session_id").alias("conversation_id"), "turn_index", "tool_use_id",
-        F.lit(None).cast("string").alias("preceding_turns_summary"), F.coalesce("model", "session_model", F.lit(schema.UNKNOWN_MODEL)).alias("model"), "tool", F.col("timestamp").alias("ts"),
-        (origin if picked_from else F.lit(None).cast(schema.DERIVED_FROM)).alias("derived_from"), "session_id", "edit_id", "private",
+    of = lambda df: df.withColumn("commit_sha", F.lit(commit_sha))
+    commits = staged.sparkSession.createDataFrame([(commit_sha, picked_from)], "commit_sha string, picked_from string")
+    none = F.lit(None).cast("string")
+    return flush_commits(commits, of(staged), of(added), of(turns), of(sessions)).select(
+        "commit_sha", "edit_idx", "file", "line_start", "line_end", "content_hashes", none.alias("original_blob_sha"), "prompt", "conversation_id", "turn_index", "tool_use_id",
+        none.alias("preceding_turns_summary"), "model", "tool", "ts", "derived_from", "session_id", "edit_id", "private",
     )
 
 

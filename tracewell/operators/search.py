@@ -43,7 +43,9 @@ def log_file(rows: DataFrame, edits: DataFrame, files: list | None = None) -> Da
 
 def search_with_origin(rows: DataFrame, edits: DataFrame, phrase: str, limit: int) -> DataFrame:
     """The latest hits of a phrase in the cache's rows, each with the origin that its note has."""
-    return with_origin(search(rows, phrase, limit), edits)
+    hits = keep(search(rows, phrase, limit))
+    theirs = edits.join(F.broadcast(hits.select("commit_sha", "edit_idx")), ["commit_sha", "edit_idx"], "left_semi")  # limit rows at most
+    return with_origin(hits, theirs)
 
 
 def jumps(links: DataFrame, most_rounds: int = 64) -> Iterator[DataFrame]:
