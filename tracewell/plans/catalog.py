@@ -1122,29 +1122,28 @@ def commit_range(spark, d):
     return maintenance.commit_range(o, base, head).select("commit_sha", F.col("pos").cast("long").alias("pos"))
 
 
-_SETTINGS = {
-    "empty": "{}",
-    "foreign": '{"hooks":{"Stop":[{"command":"other"}],"Other":[{"x":1}]},"more":2}',
-    "owned": '{"hooks":{"Stop":[{"hooks":[{"command":"tool run a"}]},{"command":"mine"}],"Start":[{"command":"tool run b"}]}}',
-    "broken": "{",
-}
-
-
 @query(
-    """SELECT * FROM (VALUES ('empty', 'Start:{"command":"tool run new"};Stop:{"command":"tool run stop"}', ''), ('foreign', 'Other:{"x":1};Start:{"command":"tool run new"};Stop:{"command":"other"},{"command":"tool run stop"}', 'Other:{"x":1};Stop:{"command":"other"}'),
-  ('owned', 'Start:{"command":"tool run new"};Stop:{"command":"mine"},{"command":"tool run stop"}', 'Stop:{"command":"mine"}'), ('broken', 'Start:{"command":"tool run new"};Stop:{"command":"tool run stop"}', '')) v(name, merged, stripped)"""
+    """WITH c AS (SELECT c_custkey, (c_custkey % 4)::INT AS k, c_nationkey::VARCHAR AS n FROM customer)
+  SELECT c_custkey, CASE k WHEN 1 THEN 'Other:{"x":' || n || '};Start:{"command":"tool run new"};Stop:{"command":"other ' || n || '"},{"command":"tool run stop"}'
+      WHEN 2 THEN 'Start:{"command":"tool run new"};Stop:{"command":"mine ' || n || '"},{"command":"tool run stop"}' ELSE 'Start:{"command":"tool run new"};Stop:{"command":"tool run stop"}' END AS merged,
+    CASE k WHEN 1 THEN 'Other:{"x":' || n || '};Stop:{"command":"other ' || n || '"}' WHEN 2 THEN 'Stop:{"command":"mine ' || n || '"}' ELSE '' END AS stripped FROM c"""
 )
 def settings_merge(spark, d):
-    """Shipped entries merged twice into settings, and stripped again."""
-    rows = spark.createDataFrame(list(_SETTINGS.items()), "name string, document string")
+    """Each customer's settings (empty, of others, of this tool and others, broken): shipped entries merged twice, and stripped again."""
+    n = F.col("c_nationkey").cast("string")
+    foreign = F.concat(F.lit('{"hooks":{"Stop":[{"command":"other '), n, F.lit('"}],"Other":[{"x":'), n, F.lit('}]},"more":2}'))
+    owned = F.concat(F.lit('{"hooks":{"Stop":[{"hooks":[{"command":"tool run a"}]},{"command":"mine '), n, F.lit('"}],"Start":[{"command":"tool run b"}]}}'))
+    k = F.col("c_custkey") % 4
+    rows = table(spark, d, "customer").select("c_custkey", F.when(k == 0, "{}").when(k == 1, foreign).when(k == 2, owned).otherwise("{").alias("document"))
     shipped = settings.hooks(F.lit('{"hooks":{"Start":[{"command":"tool run new"}],"Stop":[{"command":"tool run stop"}]}}'))
-    once = rows.withColumn("m", settings.merged(settings.hooks("document"), shipped, "tool run")).withColumn("m", settings.merged(F.col("m"), shipped, "tool run"))
+    once = rows.withColumn("m", settings.merged(settings.hooks("document"), shipped, "tool run"))
+    twice = once.withColumn("m", settings.merged(F.col("m"), shipped, "tool run"))
 
     def shown(events):
         line = F.transform(F.array_sort(F.map_keys(events)), lambda k: F.concat(k, F.lit(":"), F.array_join(F.transform(F.try_element_at(events, k), lambda e: F.to_json(e)), ",")))
         return F.array_join(line, ";")
 
-    return once.select("name", shown(F.col("m")).alias("merged"), shown(settings.stripped(F.col("m"), "tool run")).alias("stripped"))
+    return twice.select("c_custkey", shown(F.col("m")).alias("merged"), shown(settings.stripped(F.col("m"), "tool run")).alias("stripped"))
 
 
 # --- ids, paths, line protocols and staged turns ------------------------------------------------------------------
