@@ -38,3 +38,15 @@ def test_totals_of_very_many_commits_in_one_window(spark):
     commits = spark.range(n).selectExpr("id AS sha", "id % 600 AS committed_at")
     got = matching.session_totals(sessions, commits, together=8000)
     assert got.where(f"commits = {n} and first_sha = 0 and last_sha = {n - 1}").count() == n
+
+
+def test_bests_of_windows_over_several_blocks_and_parts(spark):
+    s, c, sessions, commits = made(spark, 60, 300)
+    want = {}
+    for k, a, b in s:
+        of = [(-score, sha) for sha, t, score in c if a - 100 <= t <= b + 100]
+        if of:
+            want[k] = min(of)
+    for together in (7, 1000):
+        got = matching.best_commits(matching.session_bests(sessions, commits, "score", "sha", pad=100, block=700, together=together), score="score", pos="sha").collect()
+        assert {r.session_id: (-r.score, r.sha) for r in got} == want and len(got) == len(want)
