@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tracewell.operators import matching
+from tracewell.plans import catalog
 
 
 def made(spark, sessions, commits):
@@ -50,3 +51,12 @@ def test_bests_of_windows_over_several_blocks_and_parts(spark):
     for together in (7, 1000):
         got = matching.best_commits(matching.session_bests(sessions, commits, "score", "sha", pad=100, block=700, together=together), score="score", pos="sha").collect()
         assert {r.session_id: (-r.score, r.sha) for r in got} == want and len(got) == len(want)
+
+
+def test_outcomes_of_very_many_sessions_and_commits_in_one_window(spark, tmp_path):
+    """All sessions see all commits: 400 million pairs."""
+    n = 20000
+    events = spark.range(n).selectExpr("id AS event_id", "timestamp_seconds(1700000000 + id % 3600) AS ts", "id AS user_id", "'purchase' AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.status: r.n for r in catalog.QUERIES["outcome_counts"](spark, str(tmp_path)).collect()}
+    assert got == {"skipped-cross-author": n}  # everybody's best is a commit with sha % 5 = 4, one's own or the first
