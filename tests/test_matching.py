@@ -49,3 +49,23 @@ def test_a_file_of_ten_thousand_edits_and_equal_lines():
         assert lines.find([f"l{i % 4999}", f"l{i % 4999 + 1}"]) == 5000 + i % 4999
     assert lines.find(["}"] * 5000) == 0 and lines.find(["}"] * 5001) is None and lines.find([]) is None and lines.find(["l4999", "}"]) == 9999
     assert time.perf_counter() - began < 30
+
+
+def test_files_that_very_many_paths_are_called_like(spark):
+    """All of 20 000 paths and 20 000 files have the same last part."""
+    n = 20000
+    paths = spark.range(n).selectExpr("id", "concat('/w/', id, '/a.rs') AS path")
+    files = spark.range(n).selectExpr("concat(id % 10000, '/a.rs') AS file")
+    got = {r.id: r.file for r in matching.locate_files(paths, files).collect()}
+    want = {}
+    for i in range(n):  # of five digits only the last four can be a file, or fewer where those begin with 0
+        ends = [str(i)[k:] for k in range(len(str(i)))]
+        want[i] = next(e for e in ends if int(e) < 10000 and str(int(e)) == e) + "/a.rs" if any(str(int(e)) == e and int(e) < 10000 for e in ends) else "a.rs"
+    assert got == want
+
+
+def test_files_by_ends_and_whole_paths(spark):
+    paths = [(1, "src/a.rs"), (2, "/x/src/a.rs"), (3, "/x/osrc/a.rs"), (4, "a.rs"), (5, None), (6, "/x/"), (7, "é/b"), (7, "é/b"), (8, "/x/c.rs")]
+    files = [("src/a.rs",), ("a.rs",), ("rs",), ("/",), ("/b",), (".rs",), (None,)]
+    got = matching.locate_files(spark.createDataFrame(paths, "id long, path string"), spark.createDataFrame(files, "file string")).collect()
+    assert sorted((r.id, r.file) for r in got) == [(1, "src/a.rs"), (2, "src/a.rs"), (3, "src/a.rs"), (4, "a.rs"), (6, "/"), (7, "/b")]
