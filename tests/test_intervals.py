@@ -45,3 +45,25 @@ def test_a_hot_key_is_joined_on_segments(spark):
     found = intervals.interval_join(spark.createDataFrame(p, "id long, k string, at long"), spark.createDataFrame(r, "rid long, k string, lo long, hi long"), ["k"], "at", "lo", "hi", 50)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "__level" in plan and "Union" in plan
+
+
+def test_totals_of_ranges_of_all_lengths(spark):
+    rng = random.Random(8)
+    ranges = [(rng.choice("ab"), a := rng.randrange(-300, 300), a + rng.choice([-1, 0, 1, 7, 40, 700, 20000])) for _ in range(150)] + [("a", 5, None), ("b", None, 9)]
+    points = [(i, rng.choice("abc"), rng.randrange(-400, 1500)) for i in range(400)] + [(400, "a", None), (401, "a", 3), (402, "a", 3)]
+    want = {}
+    for i, k, p in points:
+        held = [(a, b) for key, a, b in ranges if key == k and None not in (a, b, p) and a <= p <= b]
+        if held:
+            want[i] = (len(held), min(a for a, _ in held), max(b for _, b in held))
+    for bits in (3, 16):
+        got = intervals.interval_totals(spark.createDataFrame(points, "id long, k string, p long"), spark.createDataFrame(ranges, "k string, a long, b long"), ["k"], "p", "a", "b", bits=bits).collect()
+        assert {r.id: (r.n, r.first_start, r.last_end) for r in got} == want and len(got) == len(want)
+
+
+def test_totals_where_every_range_holds_every_point(spark):
+    """900 million pairs."""
+    n = 30000
+    points = spark.range(n).selectExpr("id", "'f' AS k", "50000 + id % 9 AS p")
+    ranges = spark.range(n).selectExpr("'f' AS k", "id AS a", "100000 + id AS b")
+    assert intervals.interval_totals(points, ranges, ["k"], "p", "a", "b").where(f"n = {n} and first_start = 0 and last_end = {99999 + n}").count() == n

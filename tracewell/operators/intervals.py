@@ -9,8 +9,11 @@ key against every range of it.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.text import col
 from tracewell.plans.materialize import counted
@@ -70,3 +73,51 @@ def interval_join(points: DataFrame, ranges: DataFrame, on: list[str], point: st
     part = lambda df, how: df.withColumn("__slot", slot).join(F.broadcast(many), "__slot", how).drop("__slot")
     few = part(points, "left_anti").join(part(ranges, "left_anti"), on).where(within)
     return few.unionByName(segment_join(part(points, "left_semi"), part(ranges, "left_semi"), on, point, start, end))
+
+
+#: Bits of the numbers of a cell in which points meet sums of ranges, and how many more the next size of cells has.
+CELL_BITS, MORE_BITS = 16, 4
+
+
+def _totals(points: pa.Table, events: pa.Table) -> pa.Table:
+    """Of a cell's points: how many ranges hold them, the least start and the greatest end of those.
+
+    In order of starts, the greatest end so far tells both: the first place at which it reaches a point is the first range
+    that does, and at the last start up to a point it is the greatest end."""
+    events = events.sort_by("__at")
+    at, ends = events.column("__at").to_numpy(), np.maximum.accumulate(events.column("__last").to_numpy())
+    begun, over = (np.concatenate([[0], np.cumsum(events.column(c).to_numpy())]) for c in ("__begin", "__over"))
+    p = points.column("__point").to_numpy()
+    upto = np.searchsorted(at, p, "right")
+    n = begun[upto] - over[np.searchsorted(at, p, "left")]
+    held = np.flatnonzero(n > 0)
+    out = points.drop_columns(["__level", "__cell"]).take(pa.array(held))
+    found = (("n", n[held]), ("first_start", at[np.searchsorted(ends, p[held], "left")]), ("last_end", ends[upto[held] - 1]))
+    for name, column in found:
+        out = out.append_column(name, pa.array(column, pa.int64()))
+    return out
+
+
+def interval_totals(points: DataFrame, ranges: DataFrame, on: list[str], point: str, start: str, end: str, bits: int = CELL_BITS) -> DataFrame:
+    """points with n, first_start and last_end: how many ranges of their keys hold them, ends included, the least start and
+    the greatest end of these; points that no range holds are left out.
+
+    No point meets a range.  A range lies in two cells at most, of a size that goes with its length; a cell has a row for each
+    number at which ranges begin or end and each number that is asked for, so it is bounded however many of them there are."""
+    first, last, p = col(start).cast("long"), col(end).cast("long"), col(point).cast("long")
+    level = F.greatest(F.lit(0), F.ceil((F.length(F.bin(last - first)) - bits) / MORE_BITS)).cast("int")
+    sized = ranges.where(first <= last).select(*on, first.alias("__first"), last.alias("__end"), level.alias("__level"))
+    levels = sorted(r[0] for r in sized.select("__level").distinct().collect())
+    shift = lambda c: F.call_function("shiftright", c, F.lit(bits) + F.lit(MORE_BITS) * F.col("__level"))
+    celled = sized.withColumn("__cell", F.explode(F.sequence(shift(F.col("__first")), shift(F.col("__end")))))
+    mark = lambda at, begin, over, until: F.struct(at.alias("at"), F.lit(begin).cast("long").alias("begin"), F.lit(over).cast("long").alias("over"), until.alias("last"))
+    none = F.lit(-(1 << 63)).cast("long")
+    events = celled.select(*on, "__level", "__cell", F.explode(F.array(mark(F.col("__first"), 1, 0, F.col("__end")), mark(F.col("__end"), 0, 1, none))).alias("e"))
+    events = events.groupBy(*on, "__level", "__cell", F.col("e.at").alias("__at")).agg(F.sum("e.begin").alias("__begin"), F.sum("e.over").alias("__over"), F.max("e.last").alias("__last"))
+    asked = points.select(*on, p.alias("__point")).where("__point is not null").distinct()
+    asked = asked.withColumn("__level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("__cell", shift(F.col("__point")))
+    keys = [*on, "__level", "__cell"]
+    shape = T.StructType([*(points.schema[k] for k in on), *T.StructType.fromDDL("__point long, n long, first_start long, last_end long").fields])
+    met = asked.groupBy(*keys).cogroup(events.groupBy(*keys)).applyInArrow(lambda a, b: _totals(a, b), shape)
+    found = met.groupBy(*on, "__point").agg(F.sum("n").alias("n"), F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"))
+    return points.withColumn("__point", p).join(found, [*on, "__point"]).drop("__point")
