@@ -67,3 +67,13 @@ def test_totals_where_every_range_holds_every_point(spark):
     points = spark.range(n).selectExpr("id", "'f' AS k", "50000 + id % 9 AS p")
     ranges = spark.range(n).selectExpr("'f' AS k", "id AS a", "100000 + id AS b")
     assert intervals.interval_totals(points, ranges, ["k"], "p", "a", "b").where(f"n = {n} and first_start = 0 and last_end = {99999 + n}").count() == n
+
+
+def test_by_some_of_the_keys(spark):
+    p, r = made(5, 200, 120)
+    points = spark.createDataFrame([(*x, x[0] % 7) for x in p], "id long, file string, p long, c int")
+    ranges = spark.createDataFrame([(*x, x[0] % 7) for x in r], "edit long, file string, a long, b long, c int")
+    want = sorted((i, e) for i, k, x in p for e, key, a, b in r if None not in (k, key, x, a, b) and k == key and i % 7 == e % 7 and a <= x <= b)
+    for together in (5, 20, 1000):
+        got = intervals.interval_join(points, ranges, ["c", "file"], "p", "a", "b", together=together, by=["c"])
+        assert sorted((x.id, x.edit) for x in got.collect()) == want

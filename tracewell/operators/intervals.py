@@ -62,16 +62,27 @@ def segment_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str
     return key(at).join(key(cut), [*on, "__level", "__index"]).drop("__level", "__index")
 
 
-def interval_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str, start: str, end: str, together: int = TOGETHER) -> DataFrame:
+def interval_join(points: DataFrame, ranges: DataFrame, on: list[str], point: str, start: str, end: str, together: int = TOGETHER, by: list[str] | None = None) -> DataFrame:
     """points join ranges on the keys `on` where point lies in the range, ends included: keys with few ranges test them one
-    by one, others join segments.  No column but the keys may be on both sides."""
-    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
-    many, (n,) = counted(ranges.groupBy(*on).count().where(F.col("count") > together).select(slot.alias("__slot")).distinct())
+    by one, others join segments.  No column but the keys may be on both sides.
+
+    by: some of the keys, by which few ranges are told and met, so that ranges that lie dealt out by these stay there."""
+    by = by or on
+    slot = F.pmod(F.xxhash64(*by), F.lit(SLOTS))
+    many, (n,) = counted(ranges.groupBy(*by).count().where(F.col("count") > together).select(slot.alias("__slot")).distinct())
     within = (F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end))
+
+    def tested(points: DataFrame, ranges: DataFrame) -> DataFrame:
+        other = [c for c in on if c not in by]
+        met = points.join(ranges.withColumnsRenamed({c: f"__{c}" for c in other}), by).where(within)
+        for c in other:
+            met = met.where((F.col(c) >= F.col(f"__{c}")) & (F.col(c) <= F.col(f"__{c}")))  # an equality would become a key of the join, and ranges be dealt out anew
+        return met.select(*on, *(c for c in (*points.columns, *ranges.columns) if c not in on))
+
     if not n:
-        return points.join(ranges, on).where(within)
+        return tested(points, ranges)
     part = lambda df, how: df.withColumn("__slot", slot).join(F.broadcast(many), "__slot", how).drop("__slot")
-    few = part(points, "left_anti").join(part(ranges, "left_anti"), on).where(within)
+    few = tested(part(points, "left_anti"), part(ranges, "left_anti"))
     return few.unionByName(segment_join(part(points, "left_semi"), part(ranges, "left_semi"), on, point, start, end))
 
 

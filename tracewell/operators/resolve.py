@@ -11,10 +11,10 @@ from tracewell.operators.intervals import interval_join
 def candidates(lines: DataFrame, edits: DataFrame) -> DataFrame:
     """lines (line_id, commit_sha, file, line) with each edit of their commit whose range holds the line, ends included.
 
-    The join is on commit and file; where a file of a commit has very many edits, also on the segments of their ranges, so
-    that not every line meets every edit."""
+    The join is on the commit, by which edits may lie dealt out already; where a commit has very many edits, on commit, file
+    and the segments of their ranges, so that not every line meets every edit."""
     e = edits.select("commit_sha", "file", "edit_idx", "line_start", "line_end", "content_hashes", "ts", "conversation_id", "turn_index", "prompt", "model", "derived_from")
-    return interval_join(lines, e, ["commit_sha", "file"], "line", "line_start", "line_end")
+    return interval_join(lines, e, ["commit_sha", "file"], "line", "line_start", "line_end", by=["commit_sha"])
 
 
 def resolve(blame: DataFrame, edits: DataFrame, notes: DataFrame | None = None) -> DataFrame:
