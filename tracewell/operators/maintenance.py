@@ -9,10 +9,9 @@ from tracewell import schema
 from tracewell.functions import redact
 from tracewell.functions.text import ZERO_SHA, edit_key, trimmed
 from tracewell.operators import history
-from tracewell.operators.index import flatten_edits, rebuild_notes
 from tracewell.plans.materialize import keep
 from tracewell.sources.gittext import split_conflicts
-from tracewell.sources.notes import parse_notes, to_json
+from tracewell.sources.notes import note_json, parse_notes
 
 
 def _keys(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -194,25 +193,42 @@ def fetch_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return n[0].join(n[1], "k").select("before", "after", F.greatest(F.lit(0).cast("long"), F.col("after") - F.col("before")).alias("new"))
 
 
+def merge_within(notes: DataFrame, local: str = "local", incoming: str = "incoming") -> DataFrame:
+    """notes with `edits`: what merge() makes of the two sides of each note, arrays of edits that lie in its row already, so
+    that nothing is moved."""
+
+    def side(name: str, n: int):
+        def one(e, i):
+            first, last = (F.get(e["line_range"], F.lit(k)) for k in (0, 1))
+            tells = lambda f: {"line_start": first, "line_end": last}[f] if f.startswith("line_") else e[f]
+            whole = F.struct(*(F.array(first, last).alias(f) if f == "line_range" else e[f].alias(f) for f in schema.EDIT.fieldNames()))
+            return F.struct(F.struct(*edit_key(c=tells)).alias("key"), e["timestamp"].alias("ts"), F.lit(-n).alias("side"), (-i).alias("at"), whole.alias("e"))
+
+        return F.transform(name, one)
+
+    def place(x):
+        e = x["e"]
+        order = (x["ts"], e["conversation_id"], e["turn_index"], e["tool_use_id"], e["file"], e["line_range"][0], e["line_range"][1], -x["side"], -x["at"])
+        return F.struct(*(c.alias(f"o{n}") for n, c in enumerate(order)), e.alias("e"))
+
+    keyed = notes.withColumn("__m", F.sort_array(F.concat(side(local, 0), side(incoming, 1))))
+    # of each key the last is the latest, and of equal instants the first to arrive
+    kept = keyed.withColumn("__m", F.filter("__m", lambda x, i: ~x["key"].eqNullSafe(F.get("__m", i + 1)["key"])))
+    return kept.withColumn("edits", F.transform(F.sort_array(F.transform("__m", place)), lambda x: x["e"])).drop("__m")
+
+
 def resolve_conflicts(conflicts: DataFrame, target_ref: str = schema.PUBLIC_REF, body: str = "body") -> DataFrame:
     """(commit_sha, body, error) of conflicted notes (commit_sha, body): both sides merged into one note, as JSON.
 
     A text without markers has to be a note, and stays as it is.  A side that is no note, or is of a version that isn't
-    known, is an error that names the side and the way back; its commit has no body then."""
-    docs = conflicts.select("commit_sha", F.col(body).alias("__text"))
-    sides = keep(split_conflicts(docs.select("commit_sha", F.col("__text").alias("b")), "commit_sha", "b"))
-    parsed = {side: keep(parse_notes(sides.select("commit_sha", F.col(side).alias("body")))) for side in ("local", "incoming")}
-    plain = docs.join(sides.select("commit_sha"), "commit_sha", "left_anti")
+    known, is an error that names the side and the way back; its commit has no body then.  All is done in the note's row."""
+    docs = conflicts.select("commit_sha", F.col(body).alias("__body"))
+    sides = split_conflicts(docs, "commit_sha", "__body", "__plain").withColumn("incoming", F.when(F.col("__plain"), note_json(F.array().cast(schema.NOTE["edits"].dataType))).otherwise(F.col("incoming")))
+    mine = parse_notes(sides, body="local", beside=("local", "incoming", "__plain")).select("commit_sha", F.col("edits").alias("__local"), F.col("error").alias("__error"), "local", "incoming", "__plain")
+    both = parse_notes(mine, body="incoming", beside=("local", "__local", "__error", "__plain")).withColumnRenamed("edits", "__incoming")
+    merged = merge_within(both, "__local", "__incoming")
+    whose = F.when(F.col("__plain"), "note of ").when(F.col("__error").isNotNull(), "local note of ").otherwise("incoming note of ")
     back = F.lit(f"; `git notes --ref={target_ref} merge --abort` backs out")
-    bad = None
-    for side, notes in parsed.items():
-        told = notes.where("error is not null").select("commit_sha", F.concat(F.lit(f"{side} note of "), "commit_sha", F.lit(": "), "error", back).alias("error"))
-        bad = told if bad is None else keep(bad.unionByName(told.join(bad, "commit_sha", "left_anti")))
-    good = [flatten_edits(notes.where("error is null").join(bad, "commit_sha", "left_anti")) for notes in parsed.values()]
-    merged = to_json(rebuild_notes(merge(*good))).select("commit_sha", F.col("body").alias("merged"))
-    empty = F.lit(f'{{"version":{schema.SCHEMA_VERSION},"edits":[]}}')
-    clean = sides.select("commit_sha").join(bad, "commit_sha", "left_anti").join(merged, "commit_sha", "left").select("commit_sha", F.coalesce("merged", empty).alias("body"), F.lit(None).cast("string").alias("error"))
-    as_is = parse_notes(plain.select("commit_sha", F.col("__text").alias("body"))).select("commit_sha", "error").join(plain, "commit_sha")
-    as_is = as_is.select("commit_sha", F.when(F.col("error").isNull(), trimmed("__text")).alias("body"), F.when(F.col("error").isNotNull(), F.concat(F.lit("note of "), "commit_sha", F.lit(": "), "error", back)).alias("error"))
-    failed = bad.select("commit_sha", F.lit(None).cast("string").alias("body"), "error")
-    return clean.unionByName(as_is).unionByName(failed)
+    bad = F.coalesce("__error", "error")
+    told = F.when(bad.isNotNull(), F.concat(whose, "commit_sha", F.lit(": "), bad, back))
+    return merged.select("commit_sha", F.when(bad.isNull(), F.when(F.col("__plain"), trimmed("local")).otherwise(note_json())).alias("body"), told.alias("error"))

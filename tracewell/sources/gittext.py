@@ -66,11 +66,12 @@ def rules(text: str) -> list[str]:
     return out
 
 
-def split_conflicts(docs: DataFrame, key: str, body: str) -> DataFrame:
+def split_conflicts(docs: DataFrame, key: str, body: str, plain: str | None = None) -> DataFrame:
     """(key, local, incoming): both sides of conflicted texts; lines outside the markers belong to both.
 
     Each line's side follows from the last marker that counted before it: the middle one only counts inside the first
-    side, the end only inside the second.  Texts without a marker are left out."""
+    side, the end only inside the second.  Texts without a marker are left out, or with `plain` stay, and a column of that
+    name tells them: their one side is the text, the other null."""
     step = F.aggregate(
         text_lines(body),
         F.expr("named_struct('side', 0, 'seen', false, 'local', cast(array() as array<string>), 'incoming', cast(array() as array<string>))"),
@@ -84,12 +85,17 @@ def split_conflicts(docs: DataFrame, key: str, body: str) -> DataFrame:
             )
         ),
     )
-    parts = docs.select(F.col(key), step.alias("s")).where("s.seen")
+    parts = docs.select(F.col(key), step.alias("s"), *([F.col(body).alias("__text")] if plain else []))
+    if plain is None:
+        parts = parts.where("s.seen")
 
     def joined(side: str):
         return F.array_join(F.transform(F.col(f"s.{side}"), lambda x: F.concat(x, F.lit("\n"))), "").alias(side)
 
-    return parts.select(key, joined("local"), joined("incoming"))
+    if plain is None:
+        return parts.select(key, joined("local"), joined("incoming"))
+    seen = F.coalesce("s.seen", F.lit(False))
+    return parts.select(key, F.when(seen, joined("local")).otherwise(F.col("__text")).alias("local"), F.when(seen, joined("incoming")).alias("incoming"), (~seen).alias(plain))
 
 
 def _side(s, side: int, seen: bool | None = None):
