@@ -60,3 +60,15 @@ def test_outcomes_of_very_many_sessions_and_commits_in_one_window(spark, tmp_pat
     events.write.parquet(f"{tmp_path}/events.parquet")
     got = {r.status: r.n for r in catalog.QUERIES["outcome_counts"](spark, str(tmp_path)).collect()}
     assert got == {"skipped-cross-author": n}  # everybody's best is a commit with sha % 5 = 4, one's own or the first
+
+
+def test_a_window_is_one_row_and_is_met_once(spark):
+    """Sessions of a day meet commits in one row each, in the pairs too; pieces of longer windows don't make pairs twice."""
+    day = spark.range(40).selectExpr("id AS session_id", "id * 86400 AS start", "id * 86400 + 86399 AS end")
+    assert matching._pieces(day, 14400, 2 * matching.BLOCK).count() == 40
+    s, c, sessions, commits = made(spark, 60, 300)
+    want = sorted((k, sha) for k, a, b in s for sha, t, _ in c if a - 100 <= t <= b + 100)
+    for width in (None, 37, 5000):
+        assert sorted((r.session_id, r.sha) for r in matching.session_commits(sessions, commits, pad=100, width=width).collect()) == want
+    back = spark.createDataFrame([("x", 500, 200), ("y", None, 3)], "session_id string, start long, end long")
+    assert matching.session_commits(back, commits, pad=100).count() == 0 and matching.session_totals(back, commits, pad=100).count() == 0
