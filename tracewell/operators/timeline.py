@@ -23,15 +23,14 @@ def turns(resolved: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A row for each turn: prompt and instant of its first line (by file, then line), whether any line's origin is a
     guess, and the least confidence of those."""
     some = resolved.where("status != 'no_provenance'").withColumn("a", approximate("derived_from"))
-    first = F.min_by(F.struct("prompt", "ts", "model"), F.struct("file", "line", "ts", "prompt", "model"))
+    first = F.min(F.struct("file", "line", "ts", "prompt", "model"))
     t = some.groupBy(*by, "conversation_id", "turn_index").agg(first.alias("f"), F.bool_or("a.approximate").alias("approximate"), F.min("a.confidence").alias("confidence"), F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("files"))
     return t.select(*by, "conversation_id", "turn_index", "f.prompt", "f.ts", "f.model", "approximate", "confidence", "lines", "files")
 
 
 def with_superseded(survivors: DataFrame, pr_turns: DataFrame) -> DataFrame:
     """Turns of a change: those that explain a line, and those of its commits (first edit of each) that don't any more."""
-    order = Window.partitionBy("conversation_id", "turn_index").orderBy("commit_pos", "edit_idx")
-    first = pr_turns.withColumn("__r", F.row_number().over(order)).where("__r = 1")
+    first = pr_turns.groupBy("conversation_id", "turn_index").agg(F.min_by(F.struct("prompt", "ts", "model", "derived_from"), F.struct("commit_pos", "edit_idx")).alias("f")).select("conversation_id", "turn_index", "f.*")
     gone = first.join(survivors.select("conversation_id", "turn_index"), ["conversation_id", "turn_index"], "left_anti")
     a = approximate("derived_from")
     lost = gone.select("conversation_id", "turn_index", "prompt", "ts", "model", a["approximate"].alias("approximate"), a["confidence"].alias("confidence"), F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("files"))
@@ -76,6 +75,14 @@ def totals(turn_table: DataFrame, resolved: DataFrame) -> DataFrame:
     return t.join(n, "k").drop("k")
 
 
+def counts(resolved: DataFrame) -> DataFrame:
+    """totals() of resolved lines, which are read once: sums by turn, then of these."""
+    silent = F.col("status") == "no_provenance"
+    each = resolved.groupBy("conversation_id", "turn_index").agg(F.count_if(silent).alias("silent"), F.count_if(~silent).alias("told"))
+    told = F.col("told") > 0
+    return each.agg(F.count_if(told).alias("turns"), F.count_distinct(F.when(told, F.col("conversation_id"))).alias("sessions"), F.coalesce(F.sum("silent"), F.lit(0)).alias("unexplained"))
+
+
 def summary_line(turns_: Column, sessions_: Column, unexplained: Column, product: str) -> Column:
     tail = F.when(unexplained > 0, F.concat(F.lit(SAYS["plus"]), counted(unexplained, "line", "lines"), F.lit(SAYS["unexplained"]))).otherwise("")
     return F.concat(F.lit(SAYS["contains"]), counted(turns_, "turn", "turns"), F.lit(SAYS["across"]), sessions_.cast("string"), F.lit(f" {product} "), F.when(sessions_ == 1, "session").otherwise("sessions"), tail, F.lit("."))
