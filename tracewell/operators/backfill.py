@@ -9,29 +9,35 @@ from tracewell import schema
 from tracewell.functions.redact import redact
 from tracewell.functions.text import is_private, line_hash, split_lines
 from tracewell.operators import matching
-from tracewell.plans.materialize import keep
+from tracewell.plans.materialize import counted, keep, small
 
 
-def edit_matches(edits: DataFrame, pairs: DataFrame, added: DataFrame) -> DataFrame:
+def edit_matches(edits: DataFrame, pairs: DataFrame, added: DataFrame, most_lines: int = schema.MAX_WINDOW_LINES) -> DataFrame:
     """(session_id, edit_no, sha, file, line_start, line_end, content_hashes): the longest common run of an edit's lines and a
     commit's added lines, if it is half the edit or more.
 
     edits (session_id, edit_no, file, after), pairs (session_id, sha), added (sha, file, pos, line_no, hash).  An edit's file
-    is the commit's file that its path ends with, the longest of several."""
+    is the commit's file that its path ends with, the longest of several.  Edits and files of more than most_lines lines match
+    nothing.  A file's added lines are one row, which each edit that is looked for in it meets; no line is moved for a pair."""
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    files = added.select("sha", F.col("file").alias("in_diff")).distinct().withColumn("base", base(F.col("in_diff")))
+    added = added.where("sha is not null and file is not null")
+    each = added.select("sha", F.col("file").alias("in_diff"), "pos", "line_no", "hash")
+    files = each.select("sha", "in_diff").distinct().withColumn("base", base(F.col("in_diff")))
     met = edits.join(pairs.select("session_id", "sha"), "session_id").withColumn("base", base(F.col("file"))).join(files, ["sha", "base"]).where(F.endswith(F.col("file"), F.col("in_diff")))
     best_file = F.max_by("in_diff", F.struct(F.col("in_diff") == F.col("file"), F.length("in_diff"), "in_diff"))
-    at = met.groupBy("session_id", "edit_no", "sha").agg(best_file.alias("in_diff"), F.first("after").alias("after"))
     key = ("session_id", "edit_no", "sha")
-    needles = at.select(*key, F.posexplode(split_lines("after")).alias("pos", "line")).select(*key, "pos", line_hash("line").alias("h"))
-    lines = at.select(*key, F.col("in_diff").alias("file")).join(added, ["sha", "file"]).select(*key, "file", "pos", "line_no", F.col("hash").alias("h"))
-    order = F.expr("cast(row_number() over (partition by session_id, edit_no, sha order by pos) - 1 as int)")
-    lines = lines.withColumn("pos", order)
-    found = matching.best_windows(needles, lines.select(*key, "pos", "h"), key)
-    window = found.join(lines, list(key)).where("pos between added_start and added_start + length - 1")
-    hashes = F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"])
-    return window.groupBy(*key).agg(F.first("file").alias("file"), F.min_by("line_no", "pos").alias("line_start"), F.max_by("line_no", "pos").alias("line_end"), hashes.alias("content_hashes"))
+    at = met.groupBy(*key).agg(best_file.alias("in_diff"), F.first("after").alias("after"))
+    long, (n,) = counted(each.groupBy("sha", "in_diff").count().where(F.col("count") > most_lines).select("sha", "in_diff"))
+    fits = each.join(small(long, n), ["sha", "in_diff"], "left_anti") if n else each
+    lines = fits.groupBy("sha", "in_diff").agg(F.sort_array(F.collect_list(F.struct("pos", "line_no", "hash"))).alias("lines"))
+    needles = at.select(*key, "in_diff", split_lines("after").alias("needle")).where(F.size("needle").between(1, most_lines))
+    rows = needles.join(lines, ["sha", "in_diff"]).select(
+        F.struct(*key, F.col("in_diff").alias("file"), F.size("needle").alias("needle_lines"), "lines").alias("key"),
+        F.transform("needle", lambda x: F.xxhash64(line_hash(x))).alias("needle"), F.transform("lines", lambda x: F.xxhash64(x["hash"])).alias("added"),
+    )
+    found = matching.longest_runs(rows).withColumn("run", F.slice("lines", F.col("added_start") + 1, F.col("length").cast("int")))
+    last = F.element_at("run", -1)["line_no"]
+    return found.select(*key, "file", F.element_at("run", 1)["line_no"].alias("line_start"), last.alias("line_end"), F.transform("run", lambda x: x["hash"]).alias("content_hashes"))
 
 
 def best_sessions(sessions: DataFrame, edits: DataFrame, commits: DataFrame, added: DataFrame, on: tuple[str, ...] = ("repo",)) -> tuple[DataFrame, DataFrame]:
