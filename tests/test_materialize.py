@@ -1,5 +1,7 @@
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
 from tracewell.plans import materialize
 
 
@@ -17,3 +19,8 @@ def test_keep_releases_once_the_heap_is_half_full(spark, monkeypatch):
     monkeypatch.setattr(materialize, "relieve", seen.append)
     assert materialize.keep(spark.range(3)).count() == 3
     assert len(seen) == 2
+
+
+def test_many_rows_are_counted_and_written_as_parquet(spark):
+    rows, (n, even) = materialize.counted(spark.range(10), F.col("id") % 2 == 0, write=materialize.stored)
+    assert (n, even, rows.count()) == (10, 5, 10) and rows.inputFiles()
